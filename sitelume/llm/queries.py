@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .near_dup import near_duplicates
+from .toxicity import learn_lexicon, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = learn_lexicon(docs, labels.where(_remainder(5) != 0))
+    found = score_toxicity(docs, lexicon)
+    return found.select(
+        "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits"
+    )
+
+
 def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op10_minmax_near_dup": op10_minmax_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {}
