@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_dup import near_duplicates
+from .packing import pack_documents
 from .toxicity import learn_lexicon, score_toxicity
 
 
@@ -20,6 +21,10 @@ def _remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     lexicon = learn_lexicon(docs, labels.where(_remainder(5) != 0))
@@ -34,6 +39,7 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op10_minmax_near_dup": op10_minmax_near_dup,
 }
