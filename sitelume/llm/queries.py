@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .toxicity import learn_lexicon, score_toxicity
@@ -21,6 +22,10 @@ def _remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op10_minmax_near_dup": op10_minmax_near_dup,
