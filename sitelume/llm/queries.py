@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
 from .near_dup import near_duplicates
+from .oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
 from .packing import pack_documents
 from .toxicity import learn_lexicon, score_toxicity
 
@@ -56,33 +57,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op10_minmax_near_dup": op10_minmax_near_dup,
 }
-_OP4_SQL = r"""
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents),
-n AS (SELECT doc_id, text, len(all_lines) AS n_lines, all_lines,
-  list_filter(range(1, len(all_lines) + 1), lambda i: regexp_matches(all_lines[i], '[^\x20\x09-\x0D]')) AS pos FROM l),
-w AS (SELECT *, list_transform(pos, lambda i: len(regexp_extract_all(all_lines[i], '[^\x20\x09-\x0D]+'))) AS words FROM n),
-s AS (SELECT doc_id, pos, words, all_lines, unnest(range(1, len(pos) + 1)) AS i FROM w),
-runs AS (
-  SELECT doc_id, pos, all_lines, i AS a, i + min(z.k) AS b FROM s, range(0, 50) z(k)
-  WHERE i + z.k <= len(pos) AND list_sum(words[i:i + z.k]) >= 50 GROUP BY ALL
-  UNION
-  SELECT doc_id, pos, all_lines, i - min(z.k) AS a, i AS b FROM s, range(0, 50) z(k)
-  WHERE i - z.k >= 1 AND list_sum(words[i - z.k:i]) >= 50 GROUP BY ALL),
-named AS (SELECT doc_id, a, b, array_to_string(list_transform(pos[a:b], lambda p: all_lines[p]), chr(10)) AS run FROM runs),
-told AS (SELECT *, first_value(doc_id) OVER f AS doc_1, first_value(b) OVER f AS b_1, row_number() OVER f AS r
-  FROM named WINDOW f AS (PARTITION BY run ORDER BY doc_id, a)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_1 = doc_id THEN greatest(a, b_1 + 1) ELSE a END, b + 1)) AS i
-  FROM told WHERE r > 1),
-island AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone),
-cut AS (SELECT doc_id, min(i) AS i, max(i) AS j FROM island GROUP BY doc_id, g),
-cuts AS (SELECT c.doc_id, list(n.pos[c.i]) AS froms, list(n.pos[c.j]) AS tos FROM cut c JOIN n USING (doc_id) GROUP BY c.doc_id),
-out AS (SELECT n.doc_id, n.text AS old, n.n_lines, c.froms, list_filter(range(1, n_lines + 1),
-    lambda p: c.froms IS NULL OR len(list_filter(range(1, len(c.froms) + 1), lambda q: c.froms[q] <= p AND p <= c.tos[q])) = 0) AS kept,
-    n.all_lines FROM n LEFT JOIN cuts c USING (doc_id))
-SELECT doc_id, CASE WHEN froms IS NULL THEN old ELSE array_to_string(list_transform(kept, lambda p: all_lines[p]), chr(10)) END AS text,
-  CAST(n_lines AS INT) AS n_lines, CAST(n_lines - len(kept) AS INT) AS n_removed,
-  froms IS NOT NULL AND NOT regexp_matches(array_to_string(list_transform(kept, lambda p: all_lines[p]), chr(10)), '[^\x20\x09-\x0D]') AS emptied
-FROM out
-""".replace("\\\\", "\\")
-
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _OP4_SQL}
