@@ -104,6 +104,7 @@ class Mix:
             F.col(source_col).alias("source"),
             words_in(F.col(text_col)).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"),
+            F.monotonically_increasing_id().alias("row"),  # fixed, as the table is written
             *[F.col(c).alias(f"carry_{c}") for c in carry],
         )
         self.sized = sized = self.scratch.keep(sized)
@@ -145,12 +146,13 @@ class Mix:
     def _place(self) -> DataFrame:
         """Documents with k and [start, start + size), their words' places in their source's stream."""
         sources = F.broadcast(self.sources().select("k", F.col("source").alias("name")))
-        docs = self.sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+        docs = self.sized.select("row", "doc_id", "source", "size", "order")
+        docs = docs.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
         docs = docs.withColumn("lane", F.pmod("order", F.lit(self.lanes)))
         lanes = docs.groupBy("k", "lane").agg(F.sum("size").alias("lane_size"))
         before = Window.partitionBy("k").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
         lanes = lanes.select("k", "lane", F.coalesce(F.sum("lane_size").over(before), F.lit(0)).alias("lane_start"))
-        inside = Window.partitionBy("k", "lane").orderBy("order", "doc_id", "size")
+        inside = Window.partitionBy("k", "lane").orderBy("order", "row")
         inside = inside.rowsBetween(Window.unboundedPreceding, -1)
         docs = docs.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         docs = docs.join(lanes, ["k", "lane"]).withColumn("start", F.col("lane_start") + F.col("before"))
@@ -235,23 +237,23 @@ class Mix:
         return ((j * step + shift) % F.col("blocks")).cast("long")
 
     def taken_blocks(self) -> DataFrame:
-        """Joined by index: k, start (of the document), shard, pass, block, words of the document in the block."""
+        """Joined by index: row (of the document), shard, k, pass, block, words of the document in the block."""
         size = self.block_words
         first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
-        pieces = self.placed.where("size > 0").select("k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        pieces = self.placed.where("size > 0").select(
+            "row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block")
+        )
         words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size) - F.greatest(
             F.col("start"), F.col("block") * size
         )
-        pieces = pieces.select("k", "start", "block", words.alias("words"))
+        pieces = pieces.select("row", "k", "block", words.alias("words"))
         return self.slots().join(pieces, ["k", "block"])
 
     def documents(self) -> DataFrame:
         """Every document of the input: doc_id, size, source_size, target, taken (words the mix takes)."""
-        taken = self.taken_blocks().groupBy("k", "start").agg(F.sum("words").alias("taken"))
+        taken = self.taken_blocks().groupBy("row").agg(F.sum("words").alias("taken"))
         sources = F.broadcast(self.sources().select("k", "source_size", "target"))
-        full, empty = self.placed.where("size > 0"), self.placed.where("size = 0")
-        out = full.join(taken, ["k", "start"], "left").unionByName(empty.withColumn("taken", F.lit(0).cast("long")))
-        return out.join(sources, "k").select(
+        return self.placed.join(taken, "row", "left").join(sources, "k").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
@@ -261,24 +263,20 @@ class Mix:
         A document all of whose blocks are taken comes whole, unchanged. `text_col` must be carried.
         """
         size, text = self.block_words, F.col(f"carry_{text_col}")
-        got = self.taken_blocks().groupBy("k", "start", "pass").agg(
-            F.sum("words").alias("taken"), F.collect_list("block").alias("blocks")  # at most a document's blocks
+        # at most one entry for each block of a document
+        got = self.taken_blocks().groupBy("row", "pass").agg(
+            F.sum("words").alias("taken"), F.collect_list("block").alias("blocks")
         )
-        out = self.placed.where("size > 0").join(got, ["k", "start"])
+        places = self.placed.where("size > 0").select("row", "size", "start")
+        out = self.sized.drop("size", "order").join(got.join(places, "row"), "row")
         first = F.floor(F.col("start") / size)
         last = F.floor((F.col("start") + F.col("size") - 1) / size)
-        flags = F.transform(F.sequence(first, last), lambda b: F.array_contains("blocks", b))
-        parts = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-        out = out.withColumn("flags", flags)
-        some = F.array_join(
-            F.filter(
-                parts,
-                lambda _, i: F.element_at(
-                    "flags", (F.floor((F.col("start") + i) / size) - F.floor(F.col("start") / size) + 1).cast("int")
-                ),
-            ),
-            "",
-        )
+        out = out.withColumn(
+            "flags", F.transform(F.sequence(first, last), lambda b: F.array_contains("blocks", b))
+        ).withColumn("first", first)
+        words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        of_word = lambda i: (F.floor((F.col("start") + i) / size) - F.col("first") + 1).cast("int")
+        some = F.array_join(F.filter(words, lambda _, i: F.element_at("flags", of_word(i))), "")
         out = out.withColumn(f"carry_{text_col}", F.when(F.col("taken") == F.col("size"), text).otherwise(some))
         carried = [c for c in out.columns if c.startswith("carry_")]
         return out.select("doc_id", "source", "pass", "taken", *[F.col(c).alias(c[6:]) for c in carried])

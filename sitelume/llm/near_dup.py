@@ -32,6 +32,7 @@ def near_duplicates(
     size: int = 5,
     rows: int = 5,
     scratch: Scratch | None = None,
+    with_body: bool = False,
 ) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` % or more.
 
@@ -54,16 +55,18 @@ def near_duplicates(
     kept, component_id = doc_id. Fewer than `size` words: the whole sequence is
     the one shingle. Null doc_id: takes part and is last, so it is kept only in
     a component without any doc_id. Repeated rows are each returned. Empty
-    table: no rows. Extra columns are ignored.
+    table: no rows. Extra columns are ignored. With `with_body`, body (hash of
+    the text) and node_of (the component) follow.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.withColumn("body", F.xxhash64("text"))
     bands = band_count(percent, rows)
 
     signed = scratch.keep(
         docs.mapInArrow(
-            _signer(size, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>"
+            _signer(size, bands, rows), "doc_id long, body long, n_shingles long, node long, bands array<long>"
         )
     )
     # one row for each set: the bands of equal sets are equal
@@ -101,13 +104,29 @@ def near_duplicates(
     by_class = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     by_class = by_class.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     root = by_class.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_class = scratch.keep(by_class.join(root, "label").select("node", "component_id"))
+    by_class = scratch.keep(by_class.join(root, "label").select("node", "component_id", "label"))
     # sets of one document need no lookup; only what shares its set or a link does
-    out = signed.select("doc_id", "n_shingles", "node").join(by_class, "node", "left")
+    out = signed.select("doc_id", "body", "n_shingles", "node").join(by_class, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    more = ["body", F.col("label").alias("node_of")] if with_body else []
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *more)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with one document of each group of near duplicates, the one of the smallest id; all columns stay.
+
+    A document is an id with a text: rows equal in both are one. In a group
+    without any id one document stays. Texts without words all stay.
+    """
+    body = F.xxhash64(F.col(text_col))
+    found = near_duplicates(docs, id_col, text_col, with_body=True, **options)
+    kept = found.where("kept")
+    kept = kept.where("n_shingles > 0").dropDuplicates(["node_of"]).unionByName(kept.where("n_shingles = 0"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("body").alias("kept_body"))
+    told = docs.select(F.struct(*docs.columns).alias("row"), body.alias("body"), F.col(id_col).cast("long").alias("id"))
+    told = told.join(kept, F.expr("body = kept_body AND id <=> kept_id"), "left_semi").dropDuplicates(["id", "body"])
+    return told.select("row.*")
 
 
 def near_duplicate_links(docs: DataFrame, **options) -> DataFrame:
@@ -160,13 +179,14 @@ def _signer(size: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
+                        batch.column(2)[a:b],
                         pa.array(counts.astype(np.int64)),
                         pa.array(_nodes(hashes, at)),
                         pa.ListArray.from_arrays(
                             pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
                         ),
                     ],
-                    ["doc_id", "n_shingles", "node", "bands"],
+                    ["doc_id", "body", "n_shingles", "node", "bands"],
                 )
 
     return sign

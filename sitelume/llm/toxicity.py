@@ -127,6 +127,23 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     )
 
 
+def reject_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of `docs`, unchanged, whose whole text scores below `limit`; null and empty texts stay."""
+    told = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `max_terms` terms
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = told.value
+        automaton = use.automaton()
+        # the score grows with the evidence, so the limit is one on the evidence
+        most = (math.log(limit / (1 - limit)) - use.bias) / use.slope if use.slope > 0 else math.inf
+        for batch in batches:
+            keep = [evidence(automaton, fold(text.as_py() or "")) < most for text in batch.column(place)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def learn_lexicon(
     docs: DataFrame,
     labels: DataFrame,
