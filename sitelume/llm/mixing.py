@@ -247,7 +247,8 @@ class Mix:
             F.col("start"), F.col("block") * size
         )
         pieces = pieces.select("row", "k", "block", words.alias("words"))
-        return self.slots().join(pieces, ["k", "block"])
+        # slots come from few rows of counts, so their number can't be told from the plan: never broadcast them
+        return self.slots().hint("merge").join(pieces, ["k", "block"])
 
     def documents(self) -> DataFrame:
         """Every document of the input: doc_id, size, source_size, target, taken (words the mix takes)."""
