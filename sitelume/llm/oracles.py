@@ -45,4 +45,18 @@ SELECT doc_id, new AS text, CAST(coalesce(len(v), 0) AS INT) AS n_lines,
 FROM joined
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": TOP_K, "op4_line_dedup": LINE_DEDUP}

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_by_collisions
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
 from .packing import pack_documents
+from .topk import exact_top_k
 from .toxicity import learn_lexicon, score_toxicity
 
 
@@ -24,6 +26,10 @@ def _remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -46,14 +52,20 @@ def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_collisions(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
+    "op9_collision_ann": op9_collision_ann,
     "op10_minmax_near_dup": op10_minmax_near_dup,
 }
