@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import crawl_queries
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = [crawl_queries.R]
+QUERIES: dict[str, Query] = {name: query for r in _ALL for name, query in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for r in _ALL for name, sql in r.oracle.items()}
