@@ -60,7 +60,7 @@ class _Page(HTMLParser):
         a = {k: v if v is not None else "" for k, v in reversed(attrs)}
         if tag not in VOID:
             self.stack.append((tag, a))
-        depth = len(self.stack)
+        depth = len(self.stack) + (tag in VOID)
         if tag == "body":
             self.in_body = True
         if "data-nosnippet" in a and self.in_body:
