@@ -33,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are drawn to their target shares: a row for each document and pass, with the words it gives."""
-    mixed = Mix(docs, carry=("text", "lang")).texts()
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    mixed = Mix(docs, carry=carry).texts(with_pass=False)
     mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(docs.columns)
 

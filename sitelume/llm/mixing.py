@@ -258,7 +258,7 @@ class Mix:
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
-    def texts(self, text_col: str = "text") -> DataFrame:
+    def texts(self, text_col: str = "text", with_pass: bool = True) -> DataFrame:
         """The mix as texts: for each document and pass the words it takes, in order, with the carried columns.
 
         A document all of whose blocks are taken comes whole, unchanged. `text_col` must be carried.
@@ -280,7 +280,8 @@ class Mix:
         some = F.array_join(F.filter(words, lambda _, i: F.element_at("flags", of_word(i))), "")
         out = out.withColumn(f"carry_{text_col}", F.when(F.col("taken") == F.col("size"), text).otherwise(some))
         carried = [c for c in out.columns if c.startswith("carry_")]
-        return out.select("doc_id", "source", "pass", "taken", *[F.col(c).alias(c[6:]) for c in carried])
+        told = ["pass", "taken"] if with_pass else []
+        return out.select("doc_id", "source", *told, *[F.col(c).alias(c[6:]) for c in carried])
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
