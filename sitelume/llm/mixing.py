@@ -270,14 +270,19 @@ class Mix:
         )
         places = self.placed.where("size > 0").select("row", "size", "start")
         out = self.sized.drop("size", "order").join(got.join(places, "row"), "row")
-        first = F.floor(F.col("start") / size)
-        last = F.floor((F.col("start") + F.col("size") - 1) / size)
-        out = out.withColumn(
-            "flags", F.transform(F.sequence(first, last), lambda b: F.array_contains("blocks", b))
-        ).withColumn("first", first)
         words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-        of_word = lambda i: (F.floor((F.col("start") + i) / size) - F.col("first") + 1).cast("int")
-        some = F.array_join(F.filter(words, lambda _, i: F.element_at("flags", of_word(i))), "")
+        start, end = F.col("start"), F.col("start") + F.col("size")
+
+        def of_block(held: Column, block: Column) -> Column:
+            begin = F.greatest(block * size, start)
+            n = F.least((block + 1) * size, end) - begin
+            return F.slice(held, (begin - start + 1).cast("int"), n.cast("int"))
+
+        # a lambda's variable holds the words, so that they are found once and not for each block
+        join = lambda held: F.array_join(
+            F.flatten(F.transform(F.sort_array("blocks"), lambda b: of_block(held, b))), ""
+        )
+        some = F.transform(F.array(words), join)[0]
         out = out.withColumn(f"carry_{text_col}", F.when(F.col("taken") == F.col("size"), text).otherwise(some))
         carried = [c for c in out.columns if c.startswith("carry_")]
         told = ["pass", "taken"] if with_pass else []
