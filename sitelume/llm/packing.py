@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from .scratch import only
 
 #: Tokens and documents packed together at most (one longer document stands alone).
 GROUP_TOKENS, GROUP_DOCS = 4_000_000, 8_192
+#: Characters of a text that is split in Python: the encoder's own splitter overflows on a million white-space characters.
+LONG_TEXT = 500_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -43,6 +46,14 @@ def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text of any length; names of special tokens in it are ordinary text."""
+    if len(text) < LONG_TEXT:
+        return encoder.encode_ordinary(text)
+    pieces = (m[0].encode() for m in regex.finditer(encoder._pat_str, text))
+    return [i for piece in pieces for i in encoder._encode_single_piece(piece)]
+
+
 def capacities(tokens: int, capacity: int) -> list[int]:
     """Lengths of sequences that hold exactly `tokens`: full ones, then powers of two for the rest."""
     rest = tokens % capacity
@@ -139,14 +150,14 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        encoder = encoding(path, pattern)
         first = TaskContext.get().partitionId() << 32
         group: list[tuple[object, np.ndarray]] = []
         held = 0
         for batch in batches:
             kind = batch.column(0).type
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
+                ids = encode(encoder, text.as_py() or "")
                 ids.append(end_id)
                 group.append((key.as_py(), np.array(ids, "<u4")))
                 held += len(ids)

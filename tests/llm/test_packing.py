@@ -78,3 +78,16 @@ def test_odd_rows(odd, empty):
     assert sum(r.start == 0 for r in rows) == odd.count()
     assert sum(r.doc_tokens == 1 for r in rows) == 3
     assert pack_documents(empty).collect() == []
+
+
+def test_long_white_space_runs_and_special_names(spark):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True  # as the notes of public_tokenizers have it
+    texts = [f"it's {run * 1_000_000}{end}" for run in (" ", "\n") for end in ("a <|endoftext|> 1", "")] + ["hello <|endoftext|> ok"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {}
+    for r in pack_documents(df, with_ids=True).collect():
+        parts.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for doc, text in enumerate(texts):
+        ids = [i for _, p in sorted(parts[doc]) for i in p]
+        assert ids == [*reference.encode(text, add_special_tokens=False).ids, 1]
