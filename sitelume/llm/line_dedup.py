@@ -36,7 +36,8 @@ def repeated_runs(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    lines = scratch.keep(_lines(docs, id_col, text_col))
+    # repeated rows are one document: each of its lines is numbered once
+    lines = scratch.keep(_lines(docs, id_col, text_col).dropDuplicates(_PLACE))
     often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     lines = lines.join(often, ["a", "b"])
 

@@ -93,3 +93,17 @@ def test_copies_are_emptied_and_null_ids_come_last(spark):
     rows = [(None, text), (5, text), (5, text), (9, text + "\nmore words here")]
     got = sorted((r.doc_id or 0, r.text, r.emptied) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, "", True), (5, text, False), (5, text, False), (9, "more words here", False)]
+
+
+def test_repeated_rows_of_many_short_lines_are_one_document(spark):
+    passage = [" ".join(f"p{k}_{w}" for w in range(10)) for k in range(8)]
+    copy = "\n".join(["own", *passage, "end"])
+    rows = [(1, "\n".join(passage)), (2, copy), (2, copy), (2, copy), (None, copy), (None, copy)]
+    got = sorted((r.doc_id or 0, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "")] * 2 + [(1, "\n".join(passage))] + [(2, "own\nend")] * 3
+
+
+def test_lines_only_repeated_rows_hold_stay(spark):
+    text = "\n".join(" ".join(f"q{k}_{w}" for w in range(30)) for k in range(4))
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert [r.text for r in dedup_lines(df).collect()] == [text] * 2
