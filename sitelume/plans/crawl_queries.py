@@ -40,7 +40,13 @@ def _issues_sql(column: str, low: int, high: int, pixels: int) -> str:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return crawl(spark, d).where(issues.is_html(F.col("content_type")) | F.lit(True))
+    return crawl(spark, d)
+
+
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The crawl without PDF and other pages that are not HTML."""
+    kind = F.col("content_type")
+    return crawl(spark, d).where(issues.is_html(kind) & ~issues.is_pdf(F.col("url"), kind))
 
 
 @R.query("title_issues", _issues_sql("title", *issues.TITLE_CHARS, t.TITLE_PIXELS))
@@ -239,8 +245,8 @@ def twitter_card_missing(spark: SparkSession, d: str) -> DataFrame:
     return crawl(spark, d).where("coalesce(twitter_card, '') = ''").select("url")
 
 
-def analysis(spark: SparkSession, d: str) -> DataFrame:
-    pages = crawl(spark, d)
+def analysis(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
+    pages = crawl(spark, d) if pages is None else pages
     blocks = F.when(F.col("jsonld").isNull(), F.array().cast("array<string>")).otherwise(F.array("jsonld"))
     totals = links.link_totals(pages, edges(spark, d))
     return audit.analyse(pages.withColumn("types", audit.jsonld_types(blocks)).join(totals, "url"))
@@ -492,3 +498,52 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
         ids.content_id(F.col("text"), stamp).alias("content_id"),
         ids.response_id(F.col("url"), F.col("status"), stamp, F.col("content_type"), F.lit(None), F.lit(None)).alias("response_id"),
     )
+
+
+# --- HTML pages only -------------------------------------------------------------
+
+_HTML = """html_crawl AS (SELECT * FROM crawl WHERE (coalesce(content_type, '') = '' OR contains(lower(content_type), 'text/html')
+  OR contains(lower(content_type), 'application/xhtml')) AND NOT ends_with(lower(url), '.pdf')
+  AND NOT contains(lower(coalesce(content_type, '')), 'application/pdf')), """
+
+
+def _html_sql(name: str) -> str:
+    """The SQL of a registered query, over the HTML pages of the crawl."""
+    own = R.oracle[name].removeprefix("WITH " + CTE)
+    own = own.removeprefix(", ").replace("FROM crawl", "FROM html_crawl")
+    return "WITH " + CTE + ", " + (_HTML if own[:1] != "\n" else _HTML.rstrip(", ")) + own
+
+
+@R.query("html_title_issues", _html_sql("title_issues"))
+def html_title_issues(spark: SparkSession, d: str) -> DataFrame:
+    return issues.value_issues(html_pages(spark, d), "title", issues.TITLE_CHARS, t.TITLE_PIXELS)
+
+
+@R.query("html_meta_description_issues", _html_sql("meta_description_issues"))
+def html_meta_description_issues(spark: SparkSession, d: str) -> DataFrame:
+    return issues.value_issues(html_pages(spark, d), "description", issues.DESCRIPTION_CHARS, t.DESCRIPTION_PIXELS)
+
+
+@R.query("html_h1_issues", _html_sql("h1_issues"))
+def html_h1_issues(spark: SparkSession, d: str) -> DataFrame:
+    return issues.value_issues(html_pages(spark, d), "h1", (1, 100_000), 1_000_000)
+
+
+@R.query("html_thin_content", _html_sql("thin_content"))
+def html_thin_content(spark: SparkSession, d: str) -> DataFrame:
+    return html_pages(spark, d).where("words > 0 AND words < 300").select("url", "words")
+
+
+@R.query("html_executive_summary", _html_sql("executive_summary"))
+def html_executive_summary(spark: SparkSession, d: str) -> DataFrame:
+    return audit.executive_summary(analysis(spark, d, html_pages(spark, d)))
+
+
+@R.query("html_issue_counts", _html_sql("issue_counts"))
+def html_issue_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.issue_counts(analysis(spark, d, html_pages(spark, d)))
+
+
+@R.query("html_meta_coverage_matrix", _html_sql("meta_coverage_matrix"))
+def html_meta_coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return audit.meta_coverage(analysis(spark, d, html_pages(spark, d)))

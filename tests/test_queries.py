@@ -36,3 +36,10 @@ def test_batch_and_stream_limiter_agree(spark, data):
     batch, stream = QUERIES["sliding_limiter"](spark, data), QUERIES["streaming_limiter"](spark, data)
     key = ["user_id", "seq", "is_admitted"]
     assert sorted(batch.select(key).collect()) == sorted(stream.select(key).collect())
+
+
+@pytest.mark.parametrize("name", ["title_issues", "meta_description_issues", "h1_issues", "thin_content"])
+def test_html_queries_leave_pdf_pages_out(spark, data, name):
+    pdf = spark.read.parquet(f"{data}/pages.parquet").where("page_id % 19 = 0").select("url")
+    assert QUERIES[name](spark, data).join(pdf, "url").count() > 0
+    assert QUERIES[f"html_{name}"](spark, data).join(pdf, "url").count() == 0
