@@ -38,6 +38,13 @@ def value_issues(pages: DataFrame, column: str, chars: tuple[int, int], pixels:
     )
 
 
+def duplicates(pages: DataFrame, column: str) -> DataFrame:
+    """A row for each page whose value another page has too: value, url."""
+    full = pages.where(~t.is_blank(F.col(column))).select(F.col(column).alias("value"), "url")
+    repeated = full.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    return full.join(repeated, "value")
+
+
 def peers(pages: DataFrame, column: str, sample: int = 3) -> DataFrame:
     """Pages that share a value: the group's size and its first URLs, by value."""
     groups = pages.where(~t.is_blank(F.col(column))).groupBy(column)

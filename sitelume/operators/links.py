@@ -53,15 +53,20 @@ def single_dofollow(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return one.join(pages.select(F.col("url").alias("href")), "href", "left_semi").select("href", "only_source", "inbound")
 
 
-def not_found(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages not found with the pages that link to them; without any they were seeds or in a sitemap."""
+def referrers(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """A row for each page not found and link to it from another page; one without referrer where there is none."""
     gone = pages.where("status = 404").select("url")
-    refs = edges.where("src_url <> href").groupBy("href").agg(
-        F.count("*").alias("referrers"), F.min("src_url").alias("first_referrer")
+    refs = edges.where("src_url <> href").select("href", F.col("src_url").alias("referrer"))
+    return gone.join(refs, gone.url == refs.href, "left").select("url", "referrer")
+
+
+def not_found(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages not found with the number of links to them; without any they were seeds or in a sitemap."""
+    out = referrers(edges, pages).groupBy("url").agg(
+        F.count("referrer").alias("referrers"), F.min("referrer").alias("first_referrer")
     )
-    out = gone.join(refs, gone.url == refs.href, "left")
-    origin = F.when(F.col("referrers").isNull(), "seeded_or_sitemap").otherwise("linked")
-    return out.select("url", F.coalesce("referrers", F.lit(0)).alias("referrers"), "first_referrer", origin.alias("origin"))
+    origin = F.when(F.col("referrers") == 0, "seeded_or_sitemap").otherwise("linked")
+    return out.select("url", "referrers", "first_referrer", origin.alias("origin"))
 
 
 def orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -547,3 +547,34 @@ def html_issue_counts(spark: SparkSession, d: str) -> DataFrame:
 @R.query("html_meta_coverage_matrix", _html_sql("meta_coverage_matrix"))
 def html_meta_coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
     return audit.meta_coverage(analysis(spark, d, html_pages(spark, d)))
+
+
+# --- members of the counted groups -----------------------------------------------
+
+
+@R.query(
+    "not_found_referrer_rows",
+    _sql("SELECT c.url, e.src_url AS referrer FROM crawl c LEFT JOIN edges e ON e.href = c.url AND e.src_url <> c.url WHERE c.status = 404"),
+)
+def not_found_referrer_rows(spark: SparkSession, d: str) -> DataFrame:
+    return links.referrers(edges(spark, d), crawl(spark, d))
+
+
+def _duplicates_sql(column: str) -> str:
+    return _sql(f"""SELECT {column} AS value, url FROM crawl WHERE regexp_replace({column}, '\\s+', '', 'g') <> ''
+AND {column} IN (SELECT {column} FROM crawl GROUP BY 1 HAVING count(*) > 1)""")
+
+
+@R.query("duplicate_title_pages", _duplicates_sql("title"))
+def duplicate_title_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(crawl(spark, d), "title")
+
+
+@R.query("duplicate_description_pages", _duplicates_sql("description"))
+def duplicate_description_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(crawl(spark, d), "description")
+
+
+@R.query("duplicate_h1_pages", _duplicates_sql("h1"))
+def duplicate_h1_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(crawl(spark, d), "h1")

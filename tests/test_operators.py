@@ -152,3 +152,11 @@ def test_page_record():
 @pytest.mark.parametrize("page", [None, "", "<", "plain", "<p>a<p>b</div></span>"])
 def test_page_record_of_odd_pages(page):
     assert html.extract(page, None)["links"] == []
+
+
+def test_all_referrers_and_duplicates_are_given(spark):
+    p = pages(spark, [("a", "A", 404), ("b", "B", 404), ("c", "T", 200), ("d", "T", 200), ("e", "T", 200), ("f", "", 200)])
+    e = edges(spark, [(x, 0, "a", "") for x in "acde"])
+    got = sorted((r.url, r.referrer or "") for r in links.referrers(e, p).collect())
+    assert got == [("a", "c"), ("a", "d"), ("a", "e"), ("b", "")]
+    assert sorted(issues.duplicates(p, "title").collect()) == [("T", "c"), ("T", "d"), ("T", "e")]
