@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelume.functions import urls
+
 STALE_DAYS = 30
 
 
@@ -107,3 +109,16 @@ def to_xml(urls: DataFrame, lastmod: str) -> DataFrame:
             F.lit("<url><loc>"), safe, F.lit(f"</loc><lastmod>{lastmod}</lastmod><changefreq>weekly</changefreq><priority>0.8</priority></url>")
         ).alias("value")
     )
+
+
+def html_links(pages: DataFrame) -> DataFrame:
+    """Distinct links of pages (url, html) to their own domain, resolved; fragments, mail, scripts and sitemaps left out."""
+    raw = F.explode(F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"']+)[\"']"), F.lit(1)))
+    told = pages.select("url", raw.alias("raw")).select("url", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"))
+    told = told.where("raw <> '' AND NOT raw RLIKE '^(#|mailto:|javascript:)'").distinct()
+    told = told.select("url", urls.resolve("raw", "url").alias("to"))
+    own, host = urls.host(F.col("url")), urls.host(F.col("to"))
+    same = (host == own) | host.endswith(F.concat(F.lit("."), own))
+    wanted = same & F.col("to").rlike("^https?://") & (F.col("to") != F.col("url"))
+    wanted &= ~F.col("to").contains("sitemap") & ~F.col("to").contains("mailto:")
+    return told.where(wanted).select(F.col("to").alias("url")).distinct()

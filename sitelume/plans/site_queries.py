@@ -135,6 +135,11 @@ def html_sitemap_links(spark: SparkSession, d: str) -> DataFrame:
     return told.where("startswith(href, '/') AND NOT contains(href, 'sitemap')").select(F.concat("site", "href").alias("url")).distinct()
 
 
+@R.query("html_sitemap_urls")
+def html_sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    return sitemaps.html_links(table(spark, d, "pages").select("url", "html"))
+
+
 # --- robots ----------------------------------------------------------------------
 
 _ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/6\nDisallow: /fr/8\n\nUser-agent: other\nDisallow: /\n\nSitemap: https://s.example/map.xml"

@@ -160,3 +160,12 @@ def test_all_referrers_and_duplicates_are_given(spark):
     got = sorted((r.url, r.referrer or "") for r in links.referrers(e, p).collect())
     assert got == [("a", "c"), ("a", "d"), ("a", "e"), ("b", "")]
     assert sorted(issues.duplicates(p, "title").collect()) == [("T", "c"), ("T", "d"), ("T", "e")]
+
+
+def test_html_links_are_resolved_and_of_the_same_domain(spark):
+    page = """<a href="/a"><a HREF='b.html'><a href="../c"><a href="?p=2"><a href="https://e.com/d"><a href='https://sub.e.com/e'>
+<a href="//other.example/x"><a href="https://note.com/y"><a href="#f"><a href="mailto:m@e.com"><a href="javascript:v()">
+<a href="tel:1"><a href="/sitemap.xml"><a href="/a">"""
+    df = spark.createDataFrame([("https://e.com/k/l", page)], "url string, html string")
+    expected = ["https://e.com/" + x for x in ("a", "c", "d", "k/b.html", "k/l?p=2")] + ["https://sub.e.com/e"]
+    assert sorted(r.url for r in sitemaps.html_links(df).collect()) == sorted(expected)
