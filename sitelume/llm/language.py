@@ -7,15 +7,19 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import only
+from .samples import share_of
+from .scratch import Scratch, only
 from .textbytes import slices, string_bytes
 
 #: Hashed n-gram counts of a text.
 BUCKETS = 2048
+#: Rows whose features are held at once.
+SLICE_ROWS = 512
 #: Families of common languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -51,17 +55,23 @@ def gram_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> np.ndarray:
-    """Weights and bias (last) of a linear SVM of squared hinge loss; y is 1 or -1, both sides weigh alike."""
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200, stop: float = 1e-3) -> np.ndarray:
+    """Weights and bias (last) of a linear SVM of squared hinge loss; y is 1 or -1, both sides weigh alike.
+
+    At most `rounds` accelerated gradient steps, fewer once a step moves the
+    weights by less than `stop` of their length.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     w, before, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     step = 1 / (1 + 2 * cost * 2.0)  # rows have a squared norm of 2 at most
     at = w
-    for _ in range(rounds):  # accelerated gradient steps
-        gap = np.maximum(0, 1 - y * (x @ at))
-        slope = at / len(at) * 0.01 - 2 * cost * (x.T @ (weight * y * gap))
+    for _ in range(rounds):
+        gap = np.maximum(0, 1 - y * (x @ at.astype(x.dtype)))
+        slope = at / len(at) * 0.01 - 2 * cost * ((weight * y * gap).astype(x.dtype) @ x)
         before, w = w, at - step * slope
+        if np.linalg.norm(w - before) < stop * np.linalg.norm(w):
+            break
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         at = w + (last - 1) / t * (w - before)
     return w
@@ -69,15 +79,16 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 2
 
 @dataclass
 class LanguageModel:
+    """Families with one machine each (one in all for two), and a machine for each pair of languages of a family."""
+
     families: list[tuple[str, ...]] = field(default_factory=list)
-    family_pairs: list[tuple[int, int]] = field(default_factory=list)
     family_weights: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS + 1)))
     pairs: list[list[tuple[int, int]]] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and confidence (0.5 to 1) of each row of features."""
-        family, sure = _vote(x, self.family_pairs, self.family_weights, len(self.families))
+        family, sure = _widest(x, self.family_weights, len(self.families))
         name = np.empty(len(x), object)
         for f, members in enumerate(self.families):
             rows = np.flatnonzero(family == f)
@@ -88,6 +99,18 @@ class LanguageModel:
         return name, sure
 
 
+def _widest(x: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The family of the largest margin, and the logistic of its lead over the next (of half of it, for a lead of two)."""
+    if n == 1:
+        return np.zeros(len(x), np.int64), np.ones(len(x))
+    margin = x @ weights[:, :-1].T + weights[:, -1]
+    if n == 2:
+        margin = np.hstack([margin, -margin])
+    best = np.argmax(margin, axis=1)
+    top = np.sort(margin, axis=1)
+    return best, 1 / (1 + np.exp(-2 * np.clip(top[:, -1] - top[:, -2], 0, 20)))
+
+
 def _vote(x: np.ndarray, pairs: list[tuple[int, int]], weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The class that wins most pairs, ties by the sum of margins, and the logistic of its smallest margin."""
     votes, total, least = np.zeros((len(x), n)), np.zeros((len(x), n)), np.full((len(x), n), np.inf)
@@ -105,27 +128,49 @@ def _vote(x: np.ndarray, pairs: list[tuple[int, int]], weights: np.ndarray, n: i
     return best, 1 / (1 + np.exp(-4 * np.clip(m, 0, 10)))
 
 
-def fit_languages(x: np.ndarray, lang: np.ndarray, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
-    names = sorted(set(lang))
-    of = {name: next((f for f, members in families.items() if name in members), name) for name in names}
-    model = LanguageModel([tuple(n for n in names if of[n] == f) for f in sorted(set(of.values()))])
-    family = np.array([next(k for k, m in enumerate(model.families) if n in m) for n in lang])
-    model.family_pairs, model.family_weights = _all_pairs(x, family, len(model.families))
-    for members in model.families:
-        own = np.isin(lang, members)
-        place = np.array([members.index(n) for n in lang[own]])
-        pairs, weights = _all_pairs(x[own], place, len(members))
+def group_families(names: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> list[tuple[str, ...]]:
+    """The languages of `names` by family, each family and all families in order."""
+    of = {name: next((f for f, members in families.items() if name in members), name) for name in sorted(names)}
+    return [tuple(n for n in of if of[n] == f) for f in sorted(set(of.values()))]
+
+
+def machines(families: list[tuple[str, ...]]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Languages on either side of each machine: families first, then the pairs within each family.
+
+    Two families need one machine; of more, each has one against all others.
+    Within a family every two languages have one.
+    """
+    every = [n for members in families for n in members]
+    out = []
+    if len(families) > 1:
+        for members in families[: 1 if len(families) == 2 else None]:
+            out.append((members, tuple(n for n in every if n not in members)))
+    for members in families:
+        out += [((a,), (b,)) for a, b in combinations(members, 2)]
+    return out
+
+
+def assemble(families: list[tuple[str, ...]], weights: list[np.ndarray]) -> LanguageModel:
+    """A model of the weights of `machines`, in their order."""
+    first = 0 if len(families) < 2 else 1 if len(families) == 2 else len(families)
+    model = LanguageModel(families, np.array(weights[:first]).reshape(first, BUCKETS + 1))
+    at = first
+    for members in families:
+        pairs = list(combinations(range(len(members)), 2))
         model.pairs.append(pairs)
-        model.weights.append(weights)
+        model.weights.append(np.array(weights[at : at + len(pairs)]).reshape(len(pairs), BUCKETS + 1))
+        at += len(pairs)
     return model
 
 
-def _all_pairs(x: np.ndarray, label: np.ndarray, n: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    pairs, weights = list(combinations(range(n), 2)), []
-    for a, b in pairs:
-        rows = (label == a) | (label == b)
-        weights.append(linear_svm(x[rows], np.where(label[rows] == a, 1.0, -1.0)))
-    return pairs, np.array(weights).reshape(len(pairs), BUCKETS + 1)
+def fit_languages(x: np.ndarray, lang: np.ndarray, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
+    """Fit all machines here, for data that fits here."""
+    groups = group_families(list(set(lang)), families)
+    weights = []
+    for left, right in machines(groups):
+        rows = np.isin(lang, left + right)
+        weights.append(linear_svm(x[rows], np.where(np.isin(lang[rows], left), 1.0, -1.0)))
+    return assemble(groups, weights)
 
 
 def learn_languages(
@@ -134,38 +179,67 @@ def learn_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_language: int = 1_500,
-    max_languages: int = 40,
+    side_rows: int = 4_000,
     families: dict[str, tuple[str, ...]] = FAMILIES,
+    scratch: Scratch | None = None,
 ) -> LanguageModel:
-    """Learn from a bounded sample: about `rows_per_language` rows of each language, chosen by a hash of their id.
+    """Learn every language from a bounded sample, each machine in a task of its own.
 
-    Of more than `max_languages` languages the rarest are not learned. Rows
-    with null id, text or language are not learned from.
+    The sample has about `rows_per_language` rows of each language, chosen by a
+    hash of id and text; texts equal in all features count once. It is written
+    as a table of feature rows. A machine is fitted on at most about
+    `side_rows` rows of either side, so its task stays small however many
+    languages there are, and only weights come to the driver: one row of
+    BUCKETS numbers for each family and each pair within one.
+
+    Rows with null id, text or language are not learned from. A very long text
+    is measured whole. No labelled row: every text is `und`.
     """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     told = only(docs, id=id_col, text=text_col, lang=lang_col).where(
         "id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
     )
-    counts = told.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return LanguageModel()
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (share < min(1.0, rows_per_language / r["n"])))
+    rates = spark.createDataFrame([(k, min(1.0, rows_per_language / n)) for k, n in counts.items()], "lang string, rate double")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = string_bytes(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, rows=SLICE_ROWS):
                 x = gram_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype("<f4")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"]
                 )
 
-    rows = told.where(chosen).select("lang", "text").mapInArrow(measure, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], "<f4") for r in rows])
-    return fit_languages(x, np.array([r["lang"] for r in rows], object), families)
+    chosen = told.join(F.broadcast(rates), "lang").where(share_of("id", "text") < F.col("rate"))  # a row a language
+    sample = scratch.keep(chosen.select("lang", "text").mapInArrow(measure, "lang string, x binary").dropDuplicates())
+
+    sampled = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    groups = group_families(list(counts), families)
+    wanted = machines(groups)
+    seats = []
+    for k, sides in enumerate(wanted):
+        for side, members in zip((1.0, -1.0), sides, strict=True):
+            rate = min(1.0, side_rows / max(sum(sampled.get(n, 0) for n in members), 1))
+            seats += [(n, k, side, rate) for n in members]
+    weights = {k: np.zeros(BUCKETS + 1) for k in range(len(wanted))}
+    if seats:
+        table = spark.createDataFrame(seats, "lang string, machine int, side double, rate double")
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["side", "x"])  # the same sums on every run
+            x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(len(rows), BUCKETS)
+            w = linear_svm(x, rows["side"].to_numpy())
+            return pd.DataFrame({"machine": rows["machine"].iloc[:1], "w": [w.tobytes()]})
+
+        dealt = sample.join(table, "lang").where(share_of("x", "machine") < F.col("rate"))
+        for r in dealt.select("machine", "side", "x").groupBy("machine").applyInPandas(fit, "machine int, w binary").collect():
+            weights[r["machine"]] = np.frombuffer(r["w"])
+    scratch.drop(sample)
+    return assemble(groups, [weights[k] for k in range(len(wanted))])
 
 
 def identify_languages(
@@ -174,11 +248,11 @@ def identify_languages(
     """The language of every whole text: doc_id, lang_pred, score (confidence, 0 to 1).
 
     Null text and text without a letter: `und` with score 0, as everything is
-    if the model has no language. Each row is judged by itself, so ties,
-    repeated rows and null ids keep their rows; an empty table gives no rows;
-    extra columns are ignored.
+    if the model has no language. A very long text is judged whole, by itself.
+    Each row is judged alone, so ties, repeated rows and null ids keep their
+    rows; an empty table gives no rows; extra columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages ** 2 rows of BUCKETS numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a row of BUCKETS numbers for each machine
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = held.value
@@ -190,7 +264,7 @@ def identify_languages(
                 raw = data[offsets[k] : offsets[k + 1]]
                 if raw.max() > 127 and not ((raw >= 97) & (raw < 123) | (raw >= 65) & (raw < 91)).any():
                     lettered[k] = any(c.isalpha() for c in raw.tobytes().decode())
-            for a, b in slices(offsets, 1 << 19):
+            for a, b in slices(offsets, 1 << 19, SLICE_ROWS):
                 name, score = np.full(b - a, "und", object), np.zeros(b - a)
                 rows = np.flatnonzero(lettered[a:b] & valid[a:b])
                 if use.families and len(rows):

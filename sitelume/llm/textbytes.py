@@ -49,12 +49,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0], valid
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes each; a longer row stands alone."""
+def slices(offsets: np.ndarray, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes and at most `rows` rows each; a longer row stands alone."""
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        end = min(max(end, start + 1), n)
+        end = min(max(end, start + 1), n, start + rows)
         yield start, end
         start = end
 

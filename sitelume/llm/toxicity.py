@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .samples import share_of, with_labels
 from .scratch import Scratch, only
 from .textbytes import shingle_sets, string_bytes
 
@@ -73,7 +75,11 @@ class Lexicon:
 
 
 def matches(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, int, float, str]]:
-    """Matched terms as (start, end, weight, term), but for those inside an exception phrase."""
+    """Matched terms as (start, end, weight, term), but for those inside an exception phrase.
+
+    Hits come in the order of their ends, so whether one lies in an exception
+    is one binary search; the time grows with the text, however many hits it has.
+    """
     if not len(automaton):
         return []
     hits = [
@@ -81,8 +87,19 @@ def matches(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, in
         for end, (n, weight, term) in automaton.iter(folded)
         if term[-1] == " " or folded[end + 1] != " "
     ]
-    spared = [(a, b) for a, b, weight, _ in hits if weight is None]
-    return [h for h in hits if h[2] is not None and not any(a <= h[0] + 1 and h[1] - 1 <= b for a, b in spared)]
+    ends, starts = [], []  # exceptions by their end; for each, the least start of it and of all that end later
+    for a, b, weight, _ in hits:
+        if weight is None:
+            ends.append(b)
+            starts.append(a)
+    for k in range(len(starts) - 2, -1, -1):
+        starts[k] = min(starts[k], starts[k + 1])
+
+    def spared(start: int, end: int) -> bool:
+        k = bisect_left(ends, end - 1)
+        return k < len(ends) and starts[k] <= start + 1
+
+    return [h for h in hits if h[2] is not None and not (ends and spared(h[0], h[1]))]
 
 
 def evidence(automaton: ahocorasick.Automaton, folded: str) -> float:
@@ -94,6 +111,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     """Score every whole text: doc_id, score (0 to 1), predicted (score >= 0.5), hits (matched terms).
 
     Null and empty texts have no hit and get the score of a text without hits.
+    A very long text is folded and matched whole, in time that grows with it.
     Each row is scored by itself, so ties, repeated rows and null ids keep
     their rows; an empty table gives no rows; extra columns are ignored.
     """
@@ -128,7 +146,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of `docs`, unchanged, whose whole text scores below `limit`; null and empty texts stay."""
+    """The rows of `docs`, unchanged, whose whole text scores below `limit`.
+
+    Null and empty texts stay. Each row is judged by itself: repeated rows and
+    null ids stay or go by their text, a very long text is matched whole. An
+    empty table gives no rows; other columns are not looked at.
+    """
     told = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `max_terms` terms
     place = docs.columns.index(text_col)
 
@@ -159,7 +182,7 @@ def learn_lexicon(
     """Learn terms, weights, exceptions and calibration from labelled rows.
 
     Fitted on a bounded sample: about `sample_rows` labelled rows of either
-    label, chosen by a hash of their id. Near copies in it (equal least
+    label, chosen by a hash of their id (and text). Near copies in it (equal least
     shingle) count once. Candidates are whole words and word beginnings of 3 to
     7 letters; of them, those are taken in turn that cover most toxic texts not
     yet covered and hardly any other. Without toxic or without other rows the
@@ -168,6 +191,7 @@ def learn_lexicon(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
+    exceptions = tuple(fold(phrase) for phrase in exceptions)
     told = (
         only(labels, id=id_col, label=label_col)
         .where("id IS NOT NULL AND label IS NOT NULL")
@@ -177,13 +201,10 @@ def learn_lexicon(
     rows = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not rows.get(0) or not rows.get(1):
         return Lexicon(exceptions=exceptions)
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.when(F.col("label") == 1, min(1.0, sample_rows / rows[1])).otherwise(min(1.0, sample_rows / rows[0]))
-    chosen = told.where(part < rate)  # bounded: about 2 * sample_rows rows of two numbers
+    chosen = told.where(share_of("id") < rate)
     sample = (
-        only(docs, id=id_col, text=text_col)
-        .where("text IS NOT NULL")
-        .join(F.broadcast(chosen), "id")
+        with_labels(only(docs, id=id_col, text=text_col).where("text IS NOT NULL"), chosen, 4 * sample_rows)
         .mapInArrow(_folder, "label int, folded string, least long")
         .dropDuplicates(["label", "least"])
         .select("label", "folded")
@@ -223,27 +244,31 @@ def learn_lexicon(
     picked = _cover(sample, weights, min_support)
     lexicon = Lexicon({t: weights[t] for t in picked}, exceptions)
 
-    # words that hold a term in other texts but in no toxic one are exceptions
+    # words that hold a term in other texts but in no toxic one are exceptions, and so are often seen pairs of words
     def hit_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for batch in batches:
             out = []
             for label, folded in zip(batch["label"], batch["folded"], strict=True):
                 for start, end, _, _ in matches(automaton, folded):
-                    stop = folded.index(" ", end - 1) + 1
-                    out.append((label, folded[folded.rindex(" ", 0, start + 1) : stop]))
-            yield pd.DataFrame(out, columns=["label", "word"])
+                    first, stop = folded.rindex(" ", 0, start + 1), folded.index(" ", end - 1)
+                    out.append((label, folded[first : stop + 1], False))
+                    if first:
+                        out.append((label, folded[folded.rindex(" ", 0, first) : stop + 1], True))
+                    if stop + 1 < len(folded):
+                        out.append((label, folded[first : folded.index(" ", stop + 1) + 1], True))
+            yield pd.DataFrame(out, columns=["label", "words", "is_phrase"])
 
     spare = (
-        sample.mapInPandas(hit_words, "label int, word string")
-        .groupBy("word")
+        sample.mapInPandas(hit_words, "label int, words string, is_phrase boolean")
+        .groupBy("words", "is_phrase")
         .agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-        .where("pos = 0")
-        .orderBy(F.desc("n"), "word")
+        .where((F.col("pos") == 0) & (~F.col("is_phrase") | (F.col("n") >= 2 * min_support)))
+        .orderBy(F.desc("n"), "words")
         .limit(max_terms)
         .collect()
     )
-    lexicon.exceptions = (*exceptions, *(r["word"] for r in spare))
+    lexicon.exceptions = (*exceptions, *(r["words"] for r in spare))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()

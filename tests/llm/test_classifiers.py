@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitelume.llm import queries
 from sitelume.llm.language import LanguageModel, fit_languages, identify_languages, learn_languages
 from sitelume.llm.quality import QualityModel, fit_pairs, learn_quality, score_quality
 from sitelume.llm.toxicity import Lexicon, fold, learn_lexicon, matches, reject_toxic, score_toxicity
@@ -110,6 +114,60 @@ def test_languages_of_odd_rows(odd, empty, larger):
     assert {r.lang_pred for r in identify_languages(odd, learn_languages(empty)).collect()} == {"und"}
 
 
+def test_many_languages_are_all_learned(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows, draw = [], random.Random(2)
+    for n in range(60):  # each language has letters of its own
+        letters = draw.sample(alphabet, 6)
+        for k in range(30):
+            text = " ".join("".join(draw.choices(letters, k=6)) for _ in range(40))
+            rows.append((30 * n + k, text, f"l{n:02d}" if n > 3 else ("cs", "sk", "pl", "ru")[n]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn_languages(df.where("doc_id % 5 <> 0"))
+    assert sum(len(f) for f in model.families) == 60 and len(model.families) == 57
+    told = identify_languages(df.where("doc_id % 5 = 0"), model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in told]) > 0.9
+    assert len({r.lang_pred for r in told}) > 50
+
+
+def naive_matches(lexicon, folded):
+    """Every term and phrase looked up at every place, each hit compared with each phrase."""
+    found = []
+    for term, weight in [*lexicon.terms.items(), *((p, None) for p in lexicon.exceptions)]:
+        for at in range(len(folded) - len(term) + 1):
+            end = at + len(term)
+            if folded[at:end] == term and (term[-1] == " " or folded[end : end + 1] != " "):
+                found.append((at, end, weight, term))
+    spared = [(a, b) for a, b, w, _ in found if w is None]
+    return sorted(h for h in found if h[2] is not None and not any(a <= h[0] + 1 and h[1] - 1 <= b for a, b in spared))
+
+
+def test_matches_equal_a_naive_matcher():
+    draw = random.Random(8)
+    for _ in range(300):
+        words = ["".join(draw.choices("ab", k=draw.randrange(1, 5))) for _ in range(draw.randrange(1, 25))]
+        terms = {f" {draw.choice(words)} ": 1.0 for _ in range(3)} | {" " + draw.choice(words)[:2]: 2.0}
+        phrases = tuple({f" {' '.join(words[k : k + draw.randrange(1, 4)])} " for k in draw.sample(range(len(words)), min(3, len(words)))})
+        lexicon, folded = Lexicon({t: w for t, w in terms.items() if t not in phrases}, phrases), f" {' '.join(words)} "
+        assert sorted(matches(lexicon.automaton(), folded)) == naive_matches(lexicon, folded)
+
+
+def test_a_text_of_a_million_words_is_matched_in_seconds():
+    lexicon = Lexicon({" bad ": 1.0, " ba": 1.0}, (" badge ", fold("bad luck")))
+    text = "bad luck badge bad " * 250_000
+    began = time.perf_counter()
+    assert len(matches(lexicon.automaton(), fold(text))) == 500_000  # the last word of each four, by both terms
+    assert time.perf_counter() - began < 10
+
+
+def test_learned_queries_judge_held_out_rows(spark):
+    """The registered queries, on rows whose labels they do not see."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for query, label, least in ((queries.op2_bradley_terry_quality, "quality", 0.93), (queries.op8_toxicity_lexicon, "toxic", 0.93)):
+        told = query(spark, SF).where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL")
+        assert told.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] > least
+
+
 def test_one_language():
     model = fit_languages(np.eye(3, 2048), np.array(["xx"] * 3, object))
     assert list(model.predict(np.eye(3, 2048))[0]) == ["xx"] * 3

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sitelume.llm.packing import capacities, default_vocabulary, encoding, pack, pack_documents
+from sitelume.llm.packing import capacities, default_vocabulary, encoder_of, pack, pack_documents
 
 
 @settings(max_examples=60, deadline=None)
@@ -30,8 +31,7 @@ def test_pack_is_a_partition(lengths, capacity):
 
 
 def test_costs_are_balanced():
-    random = np.random.default_rng(1)
-    lengths = list(random.integers(20, 900, 400))
+    lengths = list(np.random.default_rng(1).integers(20, 900, 400))
     cost = {}
     for _, _, n, sequence, _ in pack([int(n) for n in lengths], 2048):
         cost[sequence] = cost.get(sequence, 0) + n + n * n / 2048
@@ -47,16 +47,29 @@ def test_capacities():
 TRICKY = ["", " ", "a", "Don't stop", "x" * 5000, "\r\n\t  two  spaces ", "é ü 日本語 🙂👍", "<|endoftext|> ok", "1234567890 3.14", "  odd​spaces", "'S 'll"]
 
 
+ADDED = "<|endoftext|>"
+
+
 def test_ids_equal_the_tokenizer(documents):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    fast = encoding(*default_vocabulary())
-    for text in TRICKY + [r.text for r in documents.limit(60).collect()]:
-        assert fast.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
+    fast = encoder_of(default_vocabulary())
+    placed = [ADDED, ADDED * 2, f"{ADDED}a", f"a {ADDED}", f"a  {ADDED}  b", f"a{ADDED} {ADDED}\n", ADDED[:-1], f"<{ADDED}>", ADDED.upper()]
+    for text in TRICKY + placed + [r.text for r in documents.limit(60).collect()]:
+        assert fast.encode(text) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_fuzzed_texts_equal_the_tokenizer():
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    fast, draw = encoder_of(default_vocabulary()), random.Random(11)
+    parts = [ADDED, "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "a", "The", "'s", "'LL", "12", "é", "日本", "🙂", "-", "\u00a0", "\u200b", "x" * 40]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(1, 25))) for _ in range(20_000)]
+    assert sum(ADDED in t for t in texts) > 5_000
+    for text, want in zip(texts, reference.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode(text) == want.ids
 
 
 def test_round_trip(documents):
-    fast = encoding(*default_vocabulary())
+    fast = encoder_of(default_vocabulary())
     rows = pack_documents(documents, with_ids=True).collect()
     text = {r.doc_id: r.text for r in documents.collect()}
     pieces, sequences = {}, {}
@@ -68,11 +81,43 @@ def test_round_trip(documents):
     assert set(pieces) == set(text)
     for doc, parts in pieces.items():
         ids = [i for _, p, _ in sorted(parts) for i in p]
-        assert ids == [*fast.encode_ordinary(text[doc]), 1]
+        assert ids == [*fast.encode(text[doc]), 1]
         assert {t for _, _, t in parts} == {len(ids)}
     assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
 
 
+def plain_pack(lengths, capacity):
+    """The same rule as `pack` in plain Python, with sequences searched one by one."""
+    out, queue, sequence = [], [], 0
+    for doc, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((doc, k * capacity, capacity, sequence, 0))
+            sequence += 1
+        if n % capacity:
+            queue.append([n % capacity, doc, n // capacity * capacity])
+    size = capacities(sum(q[0] for q in queue), capacity)
+    used, cost = [0] * len(size), [0.0] * len(size)
+    while queue:
+        queue.sort(key=lambda q: (-q[0], q[1], q[2]))
+        n, doc, start = queue.pop(0)
+        room = [s - u for s, u in zip(size, used, strict=True)]
+        open_ = [k for k in range(len(size)) if room[k] >= n]
+        to = min(open_, key=lambda k: (cost[k], k)) if open_ else max(range(len(size)), key=lambda k: (room[k], -k))
+        taken = n if open_ else room[to]
+        if taken < n:
+            queue.append([n - taken, doc, start + taken])
+        out.append((doc, start, taken, sequence + to, used[to]))
+        used[to] += taken
+        cost[to] += taken + taken * taken / 2048
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 5000), max_size=60))
+def test_pack_equals_a_plain_packer(lengths):
+    assert pack(lengths, 2048) == plain_pack(lengths, 2048)
+
+
 def test_odd_rows(odd, empty):
     rows = pack_documents(odd).collect()
     assert sum(r.start == 0 for r in rows) == odd.count()
@@ -80,9 +125,8 @@ def test_odd_rows(odd, empty):
     assert pack_documents(empty).collect() == []
 
 
-def test_long_white_space_runs_and_special_names(spark):
+def test_long_white_space_runs_and_added_tokens(spark):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True  # as the notes of public_tokenizers have it
     texts = [f"it's {run * 1_000_000}{end}" for run in (" ", "\n") for end in ("a <|endoftext|> 1", "")] + ["hello <|endoftext|> ok"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     parts = {}
