@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from parity import assert_same, connect
 
-from sitelume.llm import queries
+from sitelume.llm import line_dedup, queries
 from sitelume.llm.line_dedup import dedup_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,28 @@ def test_distinct_documents_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute_force(rows)
 
 
+@pytest.mark.parametrize(("range_", "hot"), [(2, 3), (5, 256)])
+def test_small_ranges_and_hot_lines_equal_brute_force(spark, monkeypatch, range_, hot):
+    """Intervals over many ranges of the suffix array, and lines that are hot keys."""
+    monkeypatch.setattr(line_dedup, "RANGE", range_)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    random.seed(9)
+    pool = [" ".join(f"w{random.randrange(50)}" for _ in range(random.choice((1, 4, 9, 26)))) for _ in range(7)] + ["x"]
+    rows = []
+    for k in range(16):
+        lines = []
+        while len(lines) < 9:
+            start = random.randrange(len(pool))
+            lines += pool[start : start + random.randrange(1, 6)] + (["x"] * random.randrange(3)) + ([""] if k % 3 else [])
+            lines += [f"only {k} {len(lines)}"] if random.random() < 0.4 else []
+        rows.append((k, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full = lambda text: [line for line in text.split("\n") if line]  # noqa: E731  blank lines go with the runs around them
+    got, want = {r.doc_id: full(r.text) for r in dedup_lines(df).collect()}, brute_force(rows)
+    assert got == {k: full(text) for k, text in want.items()}
+    assert any(got[k] != full(text) for k, text in rows)
+
+
 def test_repetition_inside_one_text_leaves_a_copy(spark):
     line = " ".join(f"a{k}" for k in range(25))
     df = spark.createDataFrame([(1, "\n".join([line] * 7)), (2, f"x\n\n{line}\n\n{line}\ny")], "doc_id long, text string")
