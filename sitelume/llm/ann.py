@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,86 +15,100 @@ def nearest_by_collisions(
     vector_col: str = "embedding",
     k: int = 5,
     every: int = 50,
-    projections: int = 96,
-    share: float = 0.6,
+    projections: int = 160,
+    share: float = 0.62,
     width: float = 1.0,
-    growth: float = 1.2,
+    first: float = 0.5,
+    growth: float = 1.12,
 ) -> DataFrame:
     """The k nearest by cosine that collision counting finds: query_id, rank, vec_id, score (cosine).
 
     Queries are the rows whose id is divisible by `every`, candidates all rows
-    of another id; ties go to the smaller id. A task projects its unit vectors
-    on `projections` random directions and sorts each projection by itself. A
-    query's windows, centred on its own projections, cover `width` times a
-    radius to either side; the radius grows by `growth` (virtual rehashing: no
-    table is built again, only the windows' new ends are counted). A vector in
-    the windows of `share` of the projections is verified by its exact cosine.
-    A query ends once k verified vectors are within the radius, or all are.
+    of another id; ties go to the smaller id. `count_collisions` searches a
+    block of vectors for a block of queries; every row is indexed.
 
     Two unit vectors at distance r differ by a normal variable of deviation r
     in a projection, so one within the radius falls in a window with
-    probability 0.68 at the default width, far ones seldom in so many.
+    probability 0.68 at the default width, far ones seldom in so many. On
+    vectors without any structure the defaults find about 98 % of the nearest
+    and verify about an eighth of all pairs.
 
-    Null and zero vectors, those with null or non-finite components, of
-    another length than the longest, or without an id take no part. Repeated
-    ids are one query but candidates each. Fewer than k candidates: all. Empty
-    table: no rows.
+    Null and zero vectors, those with null or non-finite components or without
+    an id take no part; vectors meet those of their own length. Repeated ids
+    are one query (the longest, then least vector) but candidates each. Fewer
+    than k candidates: all. Empty table: no rows. Extra columns are ignored.
     """
     whole = valid_vectors(df, id_col, vector_col).where(F.exists("vec", lambda x: x != 0))
-    need = int(np.ceil(share * projections))
 
-    def task(
-        query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray
-    ) -> Iterator[tuple[np.ndarray, ...]]:
-        directions = np.random.default_rng(9).standard_normal((data.shape[1], projections))
-        unit, q_unit = _unit(data), _unit(queries)
-        place = unit @ directions
-        order = np.argsort(place, axis=0).astype(np.int32)
-        sorted_ = np.ascontiguousarray(np.take_along_axis(place, order, axis=0).T)
-        order = np.ascontiguousarray(order.T)
-        centre = q_unit @ directions
-        out: list[tuple[np.ndarray, ...]] = []
-        for q, own in enumerate(query_ids):
-            count = np.zeros(len(ids), np.int32)
-            verified = np.zeros(len(ids), bool)
-            cosine = np.full(len(ids), -np.inf)
-            others = int((ids != own).sum())
-            mid = [np.searchsorted(sorted_[j], centre[q, j]) for j in range(projections)]
-            low, high = list(mid), list(mid)
-            radius = 0.2
-            while True:
-                fresh = []
-                for j in range(projections):
-                    line = sorted_[j]
-                    a = np.searchsorted(line, centre[q, j] - width * radius)
-                    b = np.searchsorted(line, centre[q, j] + width * radius, "right")
-                    if a < low[j]:
-                        fresh.append(order[j, a : low[j]])
-                        low[j] = a
-                    if b > high[j]:
-                        fresh.append(order[j, high[j] : b])
-                        high[j] = b
-                if fresh:
-                    count += np.bincount(np.concatenate(fresh), minlength=len(ids)).astype(np.int32)
-                full = radius > 2.0  # unit vectors are no farther apart
-                new = np.flatnonzero(((count >= need) | full) & ~verified & (ids != own))
-                if len(new):
-                    verified[new] = True
-                    cosine[new] = _cosine(queries[q], data[new])
-                # distance r of unit vectors: cosine 1 - r * r / 2
-                near = int((cosine >= 1 - radius * radius / 2).sum())
-                if near >= min(k, others) or full:
-                    break
-                radius *= growth
-            rows = np.flatnonzero(verified)
-            best = rows[best_of(cosine[rows], ids[rows], k)]
-            out.append((np.full(len(best), own), ids[best], cosine[best]))
-        if out:
-            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    def task(query_ids, queries, floor, ids, data):
+        return count_collisions(query_ids, queries, floor, ids, data, k, projections, share, width, first, growth)[0]
 
     return search(whole, every, k, task, "double")
 
 
+def count_collisions(
+    query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, data: np.ndarray,
+    k: int, projections: int, share: float, width: float, first: float, growth: float,
+) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """The nearest that collisions find, as (query_id, vec_id, cosine), and how many pairs were verified.
+
+    Unit vectors are projected on random directions, each projection sorted by
+    itself. A query's windows, centred on its own projections, cover `width`
+    times a radius to either side; the radius grows by `growth` (virtual
+    rehashing: no table is built again, only the windows' new ends are
+    counted). A vector in the windows of `share` of the projections is verified
+    by its exact cosine. A query ends once k verified vectors are within the
+    radius, or the radius reaches the distance of `floor` (a cosine that its
+    k-th nearest is known to have at least), or all are verified.
+    """
+    directions = np.random.default_rng(9).standard_normal((data.shape[1], projections))
+    need = int(np.ceil(share * projections))
+    place = _unit(data) @ directions
+    order = np.argsort(place, axis=0).astype(np.int32)
+    lines = np.ascontiguousarray(np.take_along_axis(place, order, axis=0).T)
+    order = np.ascontiguousarray(order.T)
+    centre = _unit(queries) @ directions
+    enough = np.sqrt(np.maximum(2 - 2 * floor, 0))
+    out: list[tuple[np.ndarray, ...]] = []
+    n_verified = 0
+    for q, own in enumerate(query_ids):
+        count = np.zeros(len(ids), np.int32)
+        verified = np.zeros(len(ids), bool)
+        rows, cosine = np.zeros(0, np.int64), np.zeros(0)
+        others = ids != own
+        most = min(k, int(others.sum()))
+        low = [int(np.searchsorted(lines[j], centre[q, j])) for j in range(projections)]
+        high = list(low)
+        radius = first
+        while True:
+            fresh = []
+            for j in range(projections):
+                a = int(np.searchsorted(lines[j], centre[q, j] - width * radius))
+                b = int(np.searchsorted(lines[j], centre[q, j] + width * radius, "right"))
+                if a < low[j]:
+                    fresh.append(order[j, a : low[j]])
+                    low[j] = a
+                if b > high[j]:
+                    fresh.append(order[j, high[j] : b])
+                    high[j] = b
+            if fresh:
+                count += np.bincount(np.concatenate(fresh), minlength=len(ids)).astype(np.int32)
+            full = radius > 2.0  # unit vectors are no farther apart
+            new = np.flatnonzero(((count >= need) | full) & ~verified & others)
+            if len(new):
+                verified[new] = True
+                rows, cosine = np.append(rows, new), np.append(cosine, _cosine(queries[q], data[new]))
+            # distance r of unit vectors: cosine 1 - r * r / 2
+            if full or radius >= enough[q] or (cosine >= 1 - radius * radius / 2).sum() >= most:
+                break
+            radius *= growth
+        n_verified += len(rows)
+        good = cosine >= floor[q]
+        best = best_of(cosine[good], ids[rows[good]], k)
+        out.append((np.full(len(best), own), ids[rows[good][best]], cosine[good][best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)), n_verified
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow of the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))

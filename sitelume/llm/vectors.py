@@ -1,19 +1,26 @@
-"""Shared parts of the vector searches: valid vectors, range partitions, query batches, merging."""
+"""Shared parts of the vector searches: valid vectors, blocks of queries and of data, merging."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import only
+from .scratch import Scratch, only
 
-#: Rows that one task holds at most, about, and numbers of one broadcast batch of queries.
-PART_ROWS, BATCH_NUMBERS = 40_000, 4_000_000
+#: Numbers (components) of one block of data and of one block of queries, about: 20 MB each as doubles.
+BLOCK_NUMBERS = 2_500_000
+#: Rows of a block of data at least, where the table is split further to keep all cores busy.
+LEAST_ROWS = 256
+#: One row in so many is searched first, to tell each query a score that its k-th best reaches at least.
+SAMPLE = 16
+
+#: (query ids, queries, least scores, ids, vectors) to (query_id, vec_id, score) arrays.
+Task = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -25,59 +32,79 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~bad)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of an Arrow list column of equal lengths as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def search(
-    vectors: DataFrame,
-    every: int,
-    k: int,
-    task: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]],
-    score_type: str,
-) -> DataFrame:
-    """The `k` best of all vectors for those whose id is divisible by `every`.
-
-    Vectors are dealt by id ranges to tasks of about PART_ROWS rows. Queries go
-    to the tasks in broadcast batches of at most about BATCH_NUMBERS numbers; a
-    table with more queries is searched once for each batch. `task` gets
-    (query ids, queries, ids, vectors) and yields (query_id, vec_id, score)
-    arrays of a task's best; they are merged by query.
+def search(vectors: DataFrame, every: int, k: int, task: Task, score_type: str, scratch: Scratch | None = None) -> DataFrame:
+    """The `k` best of all vectors for those whose id is divisible by `every`: query_id, rank, vec_id, score.
+
+    Vectors and queries are dealt to blocks of about BLOCK_NUMBERS numbers, and
+    each pair of a query block and a data block is one task, which gets its
+    rows from the shuffle: nothing passes the driver, and a lost task is run
+    again by itself. First all queries meet one row in SAMPLE, in as many rounds
+    of tasks: the k-th best score found there is one that the k-th best of all
+    reaches at least, so tasks need not look for less. Vectors meet vectors of
+    their own length.
     """
     spark = vectors.sparkSession
-    total = vectors.agg(
-        F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.count_if(F.col("vec_id") % every == 0).alias("q")
-    ).first()
-    schema = f"query_id long, vec_id long, score {score_type}"
-    if not total["q"]:
+    scratch = scratch or Scratch(spark)
+    vectors = scratch.keep(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec", F.size("vec").alias("d")))
+    # of several vectors of one id the longest, then the least, is the query
+    queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(-F.col("d"), "vec")).alias("v"))
+    queries = scratch.keep(queries.select(F.col("vec_id").alias("query_id"), "v.vec", F.size("v.vec").alias("d")))
+    cores = spark.sparkContext.defaultParallelism
+    data_blocks = lambda n: F.greatest(
+        F.ceil(n * F.col("d") / BLOCK_NUMBERS), F.least(F.lit(3 * cores), F.ceil(n / LEAST_ROWS)), F.lit(1)
+    ).cast("long")
+    # a row for each length of vectors
+    lengths = vectors.groupBy("d").agg(F.count("*").alias("n")).join(queries.groupBy("d").agg(F.count("*").alias("q")), "d")
+    lengths = lengths.select(
+        "d", data_blocks(F.col("n")).alias("blocks"), F.greatest(F.ceil(F.col("q") * F.col("d") / BLOCK_NUMBERS), F.lit(1)).cast("long").alias("q_blocks")
+    )
+    lengths = F.broadcast(scratch.keep(lengths))  # bounded: a row for each length, at most as many as an array may have
+    groups = lengths.agg(F.sum(F.col("blocks") * F.col("q_blocks"))).first()[0] or 0
+    if not groups:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
-    dims = total["d"]
-    vectors = vectors.where(F.size("vec") == dims)
-    parts = max(math.ceil(total["n"] / PART_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(total["n"] / 512)))
-    ranged = vectors.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
-    batches = max(1, math.ceil(total["q"] * dims / BATCH_NUMBERS))
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    found = None
-    for b in range(batches):
-        # bounded: 1 / batches of the queries, about BATCH_NUMBERS numbers
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).collect()
-        held = spark.sparkContext.broadcast(
-            (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), dims))
-        )
-
-        def run(batches_: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            got = [(x.column(0).to_numpy(), matrix(x.column(1))) for x in batches_ if x.num_rows]
-            if not got:
-                return
-            ids, data = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            for q, v, s in task(*held.value, ids, data):
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        part = ranged.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+
+    vectors = vectors.join(lengths, "d")
+    queries = queries.join(lengths, "d").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    def pairs(queries: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
+        """Results of the blocks of `queries` (with floor) and of `vectors` that meet; `count` pairs of blocks."""
+        key, parts = ["d", "q_block", "block"], max(1, min(count, 20_000))
+        left = queries.withColumn("block", every_block(F.col("blocks"))).select(*key, "query_id", "vec", "floor")
+        right = vectors.withColumn("q_block", every_block(F.col("q_blocks"))).select(*key, "vec_id", "vec")
+        left, right = left.repartition(parts, *key), right.repartition(parts, *key)
+        out = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
+        return out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            floor = left["floor"].to_numpy().astype(float)
+            found = task(left["query_id"].to_numpy(), matrix(left["vec"]), np.where(np.isnan(floor), -np.inf, floor), right["vec_id"].to_numpy(), matrix(right["vec"]))
+        else:
+            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kinds = (pa.int64(), pa.int64(), pa.int64() if score_type == "long" else pa.float64())
+        return pa.table([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], ["query_id", "vec_id", "score"])
+
+    # the sample has the data blocks' size, so its tasks are no larger than the others
+    sample = vectors.where(F.pmod(F.col("row"), F.lit(SAMPLE)) == 0)
+    few = F.ceil(F.col("blocks") / SAMPLE).cast("long")
+    first = pairs(
+        queries.withColumn("floor", F.lit(None).cast("double")).withColumn("blocks", few),
+        sample.withColumn("blocks", few).withColumn("block", F.pmod(F.floor(F.col("row") / SAMPLE), F.col("blocks"))),
+        math.ceil(groups / SAMPLE),
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    floors = scratch.keep(floors.select("query_id", F.col("score").cast("double").alias("floor")))
+    found = pairs(
+        queries.join(floors, "query_id", "left"), vectors.withColumn("block", F.pmod("row", F.col("blocks"))), groups
+    )
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

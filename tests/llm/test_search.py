@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from sitelume.llm.ann import nearest_by_collisions
-from sitelume.llm.topk import exact_top_k
+from sitelume.llm import vectors as vectors_module
+from sitelume.llm.ann import count_collisions, nearest_by_collisions
+from sitelume.llm.topk import exact_top_k, scan_blocks
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
@@ -41,6 +42,62 @@ def test_large_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in got] == [(k, -s) for s, k in want]
 
 
+def test_many_blocks_of_queries_and_data(spark, monkeypatch):
+    monkeypatch.setattr(vectors_module, "BLOCK_NUMBERS", 40)  # a few vectors each
+    monkeypatch.setattr(vectors_module, "LEAST_ROWS", 16)
+    df, x = vectors(spark)
+    small = df.where("vec_id < 300 OR vec_id IS NULL")
+    whole = np.floor(x[:300] * 1024).astype(np.int64)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_top_k(small, every=20).collect()}
+    for q in range(0, 300, 20):
+        score = whole @ whole[q]
+        best = sorted((-score[k], k) for k in range(300) if k != q)[:10]
+        assert [got[q, n + 1] for n in range(10)] == [(k, -s) for s, k in best]
+
+
+def test_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (3, [0.5, 0.25], 1), (3, [0.5, 0.25], 1), (0, [4.0], 1), (100, [1.0], 1), (7, [2.0], 1)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_top_k(spark.createDataFrame(rows, SCHEMA)).collect())
+    # the query of id 0 is its longest vector, the least of those; each row of id 3 is a candidate
+    assert [g for g in got if g[0] == 0] == [(0, 1, 3, 256 * 1024), (0, 2, 3, 256 * 1024)]
+    assert [g[1:3] for g in got if g[0] == 100] == [(1, 0), (2, 7)]
+
+
+def test_blocks_are_skipped_where_vectors_are_clustered():
+    random = np.random.default_rng(4)
+    centres = random.standard_normal((60, 64))
+    x = centres[random.integers(0, 60, 6_000)] + 0.3 * random.standard_normal((6_000, 64))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids = np.arange(6_000)
+    (q, near, score), scored, every = scan_blocks(ids[::100], x[::100], np.full(60, -np.inf), ids, x, 10, 128)
+    assert scored < 0.1 * every
+    for n in range(60):
+        product = x @ x[100 * n]
+        best = sorted((-product[k], k) for k in range(6_000) if k != 100 * n)[:10]
+        assert sorted(zip(-score[q == 100 * n], near[q == 100 * n], strict=True)) == best
+
+
+def test_recall_on_the_real_table(spark):
+    """Against brute force over the whole table, with the share of pairs that were verified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, x = np.array(sorted(rows)), np.stack([rows[k] for k in sorted(rows)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in nearest_by_collisions(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    wanted = [k for k in ids if k % 50 == 0]
+    for q in wanted:
+        cosine = unit @ unit[ids == q][0]
+        cosine[ids == q] = -np.inf
+        hit += len({int(ids[k]) for k in np.argsort(-cosine, kind="stable")[:5]} & got[q])
+    assert hit >= 0.9 * 5 * len(wanted)
+    queries = np.flatnonzero(ids % 50 == 0)
+    _, verified = count_collisions(ids[queries], x[queries], np.full(len(queries), -np.inf), ids, x, 5, 160, 0.62, 1.0, 0.5, 1.12)
+    assert verified < 0.5 * len(queries) * len(ids)
+
+
 @pytest.mark.parametrize("search", [exact_top_k, nearest_by_collisions])
 def test_few_and_no_vectors(spark, search):
     one = spark.createDataFrame([(0, [1.0, 0.0], 1), (3, [0.5, 0.5], 1)], SCHEMA)
