@@ -17,7 +17,7 @@ _PLACE = [*_DOC, "idx"]
 #: A key with this share of all rows is hot: there are no more than so many of them, and they are joined by broadcast.
 HOT = 256
 #: Suffixes of one task where neighbours are compared.
-RANGE = 8192
+RANGE = 1024
 
 
 def repeated_runs(
