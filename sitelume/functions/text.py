@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Estimated widths of characters in pixels, and of any other character.
 CHAR_PIXELS = {
@@ -59,10 +64,12 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]*>", "")
 
 
+# Entities in the order they are decoded.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&nbsp;", " "))
+
+
 def decode_entities(text: Column) -> Column:
-    for pattern, char in (
-        ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&nbsp;", " "),
-    ):
+    for pattern, char in ENTITIES:
         text = F.regexp_replace(text, pattern, char)
     return text
 
@@ -78,6 +85,7 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, " "))).cast("bigint")
 
 
+# What counts as a mail address or a phone number.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?:\+\d{1,3}[\s-]?)?\(?\d{2,4}\)?[\s-]?\d{3,4}[\s-]?\d{3,4}|\b\d{3}[\s-]\d{4}\b"
 
@@ -104,5 +112,24 @@ def hide_credentials(text: Column) -> Column:
     return F.regexp_replace(text, r"(//)[^/@\s]*@", "$1")
 
 
-def markdown_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+def markdown_escape(url: Column) -> Column:
+    """A URL as Markdown text: signs of links, tables and code are escaped, line ends become spaces."""
+    return F.regexp_replace(F.regexp_replace(url, r"([\\`*_\[\]()|])", r"\\$1"), r"[\r\n]", " ")
+
+
+def markdown_link(url: Column) -> Column:
+    """A Markdown link, for http(s) URLs only."""
+    safe = markdown_escape(url)
+    return F.when(url.rlike("(?i)^https?://"), F.concat(F.lit("["), safe, F.lit("]("), safe, F.lit(")"))).otherwise(safe)
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def slug(heading: Column) -> Column:
+    """A heading as an anchor: accents off, lower case, letters and digits joined by hyphens."""
+    plain = F.lower(F.when(heading.rlike(r"[^\x00-\x7f]"), _folded(heading)).otherwise(heading))
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")

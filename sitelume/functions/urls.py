@@ -1,19 +1,26 @@
-"""URL expressions for absolute http(s) URLs, and a full parser for any other."""
+"""URL expressions.
+
+`parts` parses any URL as browsers do: those already in normal form by SQL
+functions, the rest in Arrow batches. The short expressions above it read
+absolute http(s) URLs in normal form only.
+"""
 
 from __future__ import annotations
 
-import ipaddress
-import posixpath
-import re
 from collections.abc import Iterator
-from urllib.parse import quote, urljoin, urlsplit
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+from . import weburl
+
+_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: What parsing would not change: lower-case host of letters, no port, no dot segments, nothing to encode.
+_NORMAL = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z][a-z0-9-]*/(?![^?#]*(?:/|%2[eE])\.{0,2}(?:%2[eE]|/|$|[?#]))(?!\.{1,2}(?:[/?#]|$))[A-Za-z0-9._~/-]*(?:\?[A-Za-z0-9._~/=&+-]+)?(?:#[A-Za-z0-9._~/=&+-]+)?$"
+PARTS_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in weburl.Parts._fields])
 
 
 def scheme(url: Column) -> Column:
@@ -61,50 +68,127 @@ def short(url: Column) -> Column:
 
 
 def storage_domain(url: Column) -> Column:
-    return F.when(is_absolute(url), F.regexp_replace(bare_host(url), r"\.", "_")).otherwise("default")
+    """Host without `www.`, as crawls are stored by; `default` where there is none."""
+    return F.when(is_absolute(url), bare_host(url)).otherwise("default")
 
 
 def first_segment(url: Column) -> Column:
     return F.split(path(url), "/")[1]
 
 
-def matches_domain(link_host: Column, domain: str) -> Column:
-    """Equal but for `www.`, or one a subdomain of the other."""
-    own, bare = F.regexp_replace(link_host, r"^www\.", ""), re.sub(r"^www\.", "", domain)
-    return (own == bare) | own.endswith("." + bare) | F.lit("." + bare).endswith(F.concat(F.lit("."), own)) & (own != "")
+def x_forwarded_last(header: Column) -> Column:
+    """The last hop that is not blank, which the nearest proxy saw itself."""
+    hops = F.filter(F.transform(F.split(header, ","), lambda hop: F.trim(hop)), lambda hop: hop != "")
+    return F.when(F.size(hops) > 0, F.element_at(hops, -1))
+
+
+# --- any URL -------------------------------------------------------------------
+
+
+@F.pandas_udf(PARTS_TYPE)
+def _parse(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    names, none = list(weburl.Parts._fields), (None,) * len(weburl.Parts._fields)
+    for raw, base in pairs:
+        yield pd.DataFrame([weburl.parse(r, b) or none for r, b in zip(raw, base, strict=True)], columns=names)
+
+
+def parts(url: Column, base: Column | None = None) -> Column:
+    """href (normal form), scheme, host, port (not the default one), path, query and fragment; fields are null if invalid.
+
+    A relative URL is resolved against `base`, and is invalid without one.
+    """
+    normal = F.coalesce(url.rlike(_NORMAL), F.lit(False))
+    told = F.regexp_extract
+    read = F.struct(
+        url.alias("href"),
+        told(url, _PARTS, 1).alias("scheme"),
+        told(url, _PARTS, 2).alias("host"),
+        F.lit("").alias("port"),
+        told(url, _PARTS, 4).alias("path"),
+        told(url, _PARTS, 5).alias("query"),
+        told(url, _PARTS, 6).alias("fragment"),
+    )
+    # rows in normal form go to Python as nulls
+    rest = _parse(F.when(~normal, url), F.when(~normal, base) if base is not None else F.lit(None).cast("string"))
+    return F.when(normal, read).otherwise(rest)
+
+
+def normalize(url: Column, base: Column | None = None) -> Column:
+    """The http(s) URL in normal form without its fragment; null if invalid or of another scheme."""
+    found = parts(url, base)
+    return F.when(found["scheme"].isin("http", "https"), F.regexp_replace(found["href"], "#.*$", ""))
+
+
+def resolve(url: Column | str, base: Column | str) -> Column:
+    """The URL in normal form, of any scheme, with its fragment; null if invalid."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return parts(col(url), col(base))["href"]
+
+
+def _bare(name: Column | str) -> Column:
+    return F.regexp_replace(F.lit(name) if isinstance(name, str) else name, r"^www\.", "")
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def allows(link_host: Column, domains: list[str]) -> Column:
+    """Whether a host is one of `domains` but for `www.`, or one a subdomain of the other."""
+    own = _bare(link_host)
+    return _any(
+        [(own == _bare(d)) | (link_host == d) | own.endswith(F.concat(F.lit("."), _bare(d))) | _bare(d).endswith(F.concat(F.lit("."), own)) for d in domains]
+    )
+
+
+def excludes(link_host: Column, domains: list[str]) -> Column:
+    """As `allows`, with `www.` kept where one is a subdomain of the other."""
+    own = _bare(link_host)
+    return _any(
+        [(own == _bare(d)) | (link_host == d) | link_host.endswith("." + d) | F.lit(d).endswith(F.concat(F.lit("."), link_host)) for d in domains]
+    )
+
+
+def under(link_path: Column, prefixes: list[str]) -> Column:
+    return _any([link_path.startswith(p) for p in prefixes])
 
 
 def categorize(href: Column, allowed: list[str], excluded: list[str] = (), excluded_paths: list[str] = ()) -> Column:
-    """internal or external; what is no absolute URL is internal, mail and phone links are external."""
-    link = host(href)
-    inside = F.lit(False)
-    for d in allowed:
-        inside = inside | matches_domain(link, d)
-    for d in excluded:
-        inside = inside & ~matches_domain(link, d)
-    for p in excluded_paths:
-        inside = inside & ~path(href).startswith(p)
-    return F.when(~href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), "internal").when(inside, "internal").otherwise("external")
+    """internal or external; what is no valid absolute URL is internal, as a relative link is."""
+    found = parts(href)
+    outside = excludes(found["host"], list(excluded)) | under(found["path"], list(excluded_paths))
+    inside = allows(found["host"], list(allowed)) & ~outside
+    return F.when(found["href"].isNull() | inside, "internal").otherwise("external")
 
 
-def x_forwarded_last(header: Column) -> Column:
-    return F.trim(F.element_at(F.split(header, ","), -1))
+# --- what must not be requested --------------------------------------------------
+
+# Blocks of IPv4 addresses that are not public.
+PRIVATE_IPV4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "100.64.0.0/10", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16",
+    "198.18.0.0/15", "224.0.0.0/3",
+)
+# Verdicts on a URL.
+INVALID, SCHEME, PRIVATE, UNRESOLVED = (
+    "Invalid URL format", "Only http(s) URLs are allowed", "Target resolves to a private address", "Cannot resolve hostname: ",
+)
 
 
 def private_ipv4(ip: Column) -> Column:
-    """True for private, loopback, link-local, shared, benchmark and multicast addresses; null if no IPv4."""
-    part = [F.split(ip, r"\.")[k].try_cast("int") for k in range(4)]
-    a, b = part[0], part[1]
-    inside = (
-        a.isin(0, 10, 127)
-        | (a == 100) & b.between(64, 127)
-        | (a == 169) & (b == 254)
-        | (a == 172) & b.between(16, 31)
-        | (a == 192) & (b == 168)
-        | (a == 198) & b.isin(18, 19)
-        | (a >= 224)
-    )
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), inside)
+    """Whether an address is in one of the blocks; null if it is no IPv4 address."""
+    numbers = [F.split(ip, r"\.")[k].try_cast("long") for k in range(4)]
+    value = reduce(lambda a, b: a * 256 + b, numbers)
+    tests = []
+    for block in PRIVATE_IPV4:
+        first, _, bits = block.partition("/")
+        low = reduce(lambda a, b: a * 256 + int(b), first.split("."), 0)
+        tests.append(value.between(low, low + (1 << 32 - int(bits)) - 1))
+    is_ip = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & _all([n <= 255 for n in numbers])
+    return F.when(is_ip, _any(tests))
+
+
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
 
 
 def private_ip(ip: Column) -> Column:
@@ -119,62 +203,24 @@ def private_ip(ip: Column) -> Column:
     return F.coalesce(private_ipv4(ip), six)
 
 
-def request_verdict(url: Column, denied: list[str] = ()) -> Column:
-    """Why a URL must not be requested, or null; names are for a join with resolved addresses to judge."""
-    ip = F.regexp_replace(host(url), r"^\[|\]$", "")
-    return (
-        F.when(~url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), "Invalid URL format")
-        .when(~scheme(url).isin("http", "https"), "Only http(s) URLs are allowed")
-        .when(F.coalesce(private_ipv4(ip), F.lit(False)), "Target resolves to a private address")
-        .when(ip.isin(list(denied)) if denied else F.lit(False), "Host is denied")
+def request_verdicts(targets: DataFrame, dns: DataFrame, url: str = "url", denied: list[str] = ()) -> DataFrame:
+    """`targets` with verdict: why a URL must not be requested, or null.
+
+    Names are judged by all their addresses in `dns` (host, address): one
+    private address refuses the name, and so does having none.
+    """
+    private = F.coalesce(private_ip(F.col("address")), F.lit(True))
+    hosts = dns.where("host IS NOT NULL AND address IS NOT NULL").groupBy(F.lower("host").alias("dns_host")).agg(F.bool_or(private).alias("dns_private"))
+    told = targets.withColumn("_parts", parts(F.col(url)))
+    name = F.regexp_replace("_parts.host", r"^\[|\]$", "")
+    told = told.withColumn("_host", name).join(hosts, name == F.col("dns_host"), "left")
+    is_ip = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | name.contains(":")
+    verdict = (
+        F.when(F.col("_parts.href").isNull(), INVALID)
+        .when(~F.col("_parts.scheme").isin("http", "https"), SCHEME)
+        .when(F.col("_host").isin(list(denied)) if denied else F.lit(False), "Host is denied")
+        .when(is_ip, F.when(private_ip(name), PRIVATE))
+        .when(F.col("dns_private").isNull(), F.concat(F.lit(UNRESOLVED), "_host"))
+        .when(F.col("dns_private"), PRIVATE)
     )
-
-
-# --- any URL: normalised as browsers do ---------------------------------------
-
-_PORTS = {"http": "80", "https": "443", "ftp": "21"}
-
-
-def normalize(raw: str | None, base: str | None = None) -> str | None:
-    """Absolute URL with lower-case scheme and host, punycode, no default port or dot segments; null if invalid."""
-    if raw is None:
-        return None
-    text = re.sub(r"[\t\n\r]", "", raw.strip())
-    try:
-        if base:
-            text = urljoin(base, text)
-        parts = urlsplit(text)
-        if not parts.scheme:
-            return None
-        if parts.scheme not in _PORTS:
-            return text
-        name = parts.hostname or ""
-        if not name or re.search(r"[\s<>^|%]", name):
-            return None
-        if not name.isascii():
-            name = name.encode("idna").decode()
-        if ":" in name:
-            name = f"[{ipaddress.ip_address(name)}]"
-        port = parts.port
-        where = name if port is None or str(port) == _PORTS[parts.scheme] else f"{name}:{port}"
-    except (ValueError, UnicodeError):
-        return None
-    folder = parts.path or "/"
-    if re.search(r"/\.{1,2}(/|$)", folder):
-        tail = "/" if re.search(r"/(\.{1,2})?$", folder) else ""
-        folder = posixpath.normpath(folder).replace("//", "/")
-        folder = folder if folder.endswith("/") else folder + tail
-    safe = "%/:=&?~#+!$,;'@()*[]|"
-    out = f"{parts.scheme}://{where}{quote(folder, safe)}"
-    if parts.query:
-        out += "?" + quote(parts.query, safe)
-    if parts.fragment:
-        out += "#" + quote(parts.fragment, safe)
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def resolve(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """`normalize` of an href against its page's URL."""
-    for raw, base in pairs:
-        yield pd.Series([normalize(r, b) for r, b in zip(raw, base, strict=True)])
+    return told.withColumn("verdict", verdict).drop("_parts", "_host", "dns_host", "dns_private")

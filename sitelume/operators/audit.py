@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelume.functions import text as t
 from sitelume.functions import urls
@@ -42,6 +47,49 @@ def jsonld_types(blocks: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(of_block), lambda x: x.isNotNull() & (x != "")))
 
 
+def _types_of(node: object) -> list[str]:
+    """Every @type of a JSON-LD value, those of arrays and nested @graphs included."""
+    found, open_ = [], [node]
+    while open_:
+        at = open_.pop()
+        if isinstance(at, list):
+            open_ += reversed(at)
+        elif isinstance(at, dict):
+            kind = at.get("@type")
+            if kind:
+                found += [x if isinstance(x, str) else json.dumps(x) for x in (kind if isinstance(kind, list) else [kind])]
+            if isinstance(at.get("@graph"), list):
+                open_ += reversed(at["@graph"])
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def all_types(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All types of an array of JSON-LD texts, repeated ones too; JSON of any depth has no SQL form."""
+
+    def read(text: str) -> object:
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    for batch in blocks:
+        yield batch.map(lambda texts: [x for text in (texts if texts is not None else []) for x in _types_of(read(text))])
+
+
+def type_occurrences(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """Occurrences of each JSON-LD type over all pages, the most frequent first."""
+    found = pages.where(F.size(blocks) > 0).select(F.explode(all_types(F.col(blocks))).alias("type"))
+    return found.groupBy("type").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "type")
+
+
+def jsonld_issues(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """Pages without JSON-LD (missing) or with none that tells a type (no_type)."""
+    n = F.coalesce(F.size(blocks), F.lit(0))
+    told = pages.select("url", F.when(n <= 0, "missing").when(F.size(all_types(F.col(blocks))) == 0, "no_type").alias("issue"))
+    return told.where("issue IS NOT NULL")
+
+
 def _plain(found: Column) -> Column:
     """A JSON string or array of strings, as an array."""
     return F.when(found.startswith("["), F.from_json(found, "array<string>")).when(
@@ -66,8 +114,10 @@ def analyse(pages: DataFrame) -> DataFrame:
 
     `pages`: url, title, status, robots, description, canonical, og_title,
     og_description, og_image, twitter_card, hreflang, types (array), words,
-    internal_links.
+    internal_links, and if there is one hreflang_count.
     """
+    if "hreflang_count" not in pages.columns:
+        pages = pages.withColumn("hreflang_count", (F.coalesce("hreflang", F.lit("")) != "").cast("int"))
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     facts = pages.select(
         "url",
@@ -77,6 +127,7 @@ def analyse(pages: DataFrame) -> DataFrame:
             "indexable"
         ),
         has("canonical").alias("has_canonical"),
+        F.when(has("canonical"), F.col("canonical")).alias("canonical_url"),
         has("description").alias("has_description"),
         F.length(F.coalesce("description", F.lit(""))).cast("bigint").alias("description_length"),
         F.length(F.coalesce("title", F.lit(""))).cast("bigint").alias("title_length"),
@@ -85,6 +136,7 @@ def analyse(pages: DataFrame) -> DataFrame:
         has("og_image").alias("has_og_image"),
         has("twitter_card").alias("has_twitter_card"),
         (has("hreflang") & (F.col("hreflang") != "x-default")).alias("has_hreflang"),
+        F.col("hreflang_count").cast("bigint").alias("hreflang_count"),
         "types",
         "words",
         "internal_links",
@@ -161,14 +213,32 @@ def schema_types(analysis: DataFrame) -> DataFrame:
     return analysis.select(F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("pages"))
 
 
+# Kinds of page, a type that one of their pages should have, and what to report where none does.
+COVERAGE = (
+    ("Homepage", "Organization", "Organization, WebSite"), ("Branch/Contact", "LocalBusiness", "LocalBusiness"),
+    ("Service", "Service", "Service"), ("FAQ", "FAQPage", "FAQPage"),
+)
+
+
 def schema_coverage(analysis: DataFrame) -> DataFrame:
-    """Pages with structured data and the types seen, by kind of page."""
-    counted = analysis.groupBy("page_type").agg(
-        F.count("*").alias("pages"),
-        F.count_if(F.size("types") > 0).alias("with_schema"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), ",").alias("types"),
-    )
-    return counted
+    """Pages with structured data, the types seen and what is missing, by kind of page.
+
+    As the reports have it, a type counts as there if its name is part of another's.
+    """
+    counted = analysis.groupBy("page_type").agg(F.count("*").alias("pages"), F.count_if(F.size("types") > 0).alias("with_schema"))
+    seen = analysis.select("page_type", F.explode("types").alias("type")).distinct()
+    seen = seen.groupBy("page_type").agg(F.array_join(F.array_sort(F.collect_list("type")), ",").alias("types"))
+    told = counted.join(seen, "page_type", "left").withColumn("types", F.coalesce("types", F.lit("")))
+    missing = F.lit(None).cast("string")
+    for kind, name, report in COVERAGE:
+        missing = F.when((F.col("page_type") == kind) & ~F.col("types").contains(name), report).otherwise(missing)
+    return told.withColumn("missing", F.coalesce(missing, F.lit("")))
+
+
+def priority_pages(analysis: DataFrame, order: str = "url", n: int = 10) -> DataFrame:
+    """The first `n` pages with structured data, to be validated first."""
+    told = analysis.where(F.size("types") > 0).orderBy(order).limit(n)
+    return told.select("url", F.array_join("types", ", ").alias("types"))
 
 
 def gap_analysis(analysis: DataFrame) -> DataFrame:

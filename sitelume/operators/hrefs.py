@@ -15,6 +15,14 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rf"(?i)\s{name}(\s|=|/|>|$)"), t.decode_entities(found))
 
 
+# Characters that are shown of an anchor's text, place and HTML.
+TEXT_CHARS, LOCATOR_CHARS, SNIPPET_CHARS = 80, 120, 200
+
+
+def _line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every anchor of each page: url, pos, href (null if missing), text, locator, snippet."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<a(?:\s[^>]*)?>.*?</a>"), F.lit(0))
@@ -30,9 +38,9 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         "url",
         "pos",
         attribute(tag, "href").alias("href"),
-        F.trim(F.regexp_replace(t.decode_entities(t.strip_tags(F.col("full"))), r"\s+", " ")).alias("text"),
-        F.when(locator == "", "(no id/class)").otherwise(locator).alias("locator"),
-        t.clip(F.col("full"), 120).alias("snippet"),
+        t.clip(_line(t.decode_entities(t.strip_tags(F.col("full")))), TEXT_CHARS).alias("text"),
+        t.clip(F.when(locator == "", "(no id/class)").otherwise(locator), LOCATOR_CHARS).alias("locator"),
+        t.clip(_line(F.col("full")), SNIPPET_CHARS).alias("snippet"),
     )
 
 
@@ -57,3 +65,9 @@ def totals(findings_: DataFrame) -> DataFrame:
         kind("empty"), kind("missing"), kind("hash"), kind("javascript"),
         F.count_if(F.col("category").isin("empty", "missing")).alias("defects"), F.count("*").alias("findings"),
     )
+
+
+def worst_first(totals_: DataFrame, most: int | None = None) -> DataFrame:
+    """Pages by defects, then findings; the first `most` of them with defects, if given."""
+    order = [F.desc("defects"), F.desc("findings"), "url"]
+    return totals_.orderBy(*order) if most is None else totals_.where("defects > 0").orderBy(*order).limit(most)

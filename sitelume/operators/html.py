@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,167 +12,272 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.functions.urls import normalize
+from sitelume.functions import weburl
 
-# Link relations with many, one, or no kept values; names of custom metadata; places of the main content.
+# Link relations that keep all their URLs.
 MULTI_RELS = ("dns-prefetch", "preconnect", "prefetch", "preload", "prerender", "stylesheet", "tag")
+# Link relations that keep their last URL.
 SINGLE_RELS = (
-    "amphtml", "apple-touch-icon", "author", "bookmark", "canonical", "first", "help", "icon", "last", "license",
-    "manifest", "mask-icon", "me", "modulepreload", "next", "nofollow", "noopener", "noreferrer", "pingback", "prev",
-    "privacy-policy", "search", "shortlink", "shortcut", "terms-of-service", "up",
+    "canonical", "prev", "next", "amphtml", "manifest", "icon", "apple-touch-icon", "apple-touch-icon-precomposed",
+    "shortlink", "publisher", "author", "search", "edit", "help", "license", "bookmark", "up", "first", "last", "sidebar",
+    "pingback", "webmention", "micropub", "hub", "self", "service", "profile",
 )
+# Names of custom metadata. Names of pages are lower-cased before they are looked up here.
 CUSTOM_NAMES = (
-    "category", "tags", "priority", "contenttype", "audience", "difficulty", "language", "region", "datepublished",
-    "datemodified", "author", "publisher", "section", "keywords", "topic", "summary", "abstract", "rating", "boost",
-    "wordcount", "readingtime", "expires", "version",
+    "department", "category", "section", "tags", "rating", "difficulty", "audience", "language", "datePublished",
+    "dateModified", "dateCreated", "lastReviewed", "expiryDate", "author", "contributor", "publisher", "editor",
+    "readingTime", "wordCount", "pageViews", "contentType", "priority", "boost",
 )
-MAIN_PLACES = ("main", "[role=main]", "#main", "#content", ".main-content", ".content", "article", ".post", ".entry-content")
+# Places of the main content, in the order they are tried, and the characters of HTML it must exceed.
+MAIN_PLACES = (
+    "main", "article", '[role="main"]', "#content", ".content", "#main-content", ".main-content", ".article",
+    ".page-content", "#main", ".main", ".entry-content", ".post-content",
+)
+MAIN_CHARS, WORDS_PER_MINUTE = 100, 200
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-SCHEMA = """url string, title string, meta map<string,string>, http_equiv map<string,string>, canonical string,
-alternate array<struct<href:string,hreflang:string,media:string,type:string>>, single_rels map<string,string>,
-multi_rels map<string,array<string>>, no_snippet boolean, json_ld array<string>,
-microdata array<struct<types:array<string>,properties:map<string,array<string>>>>, custom map<string,string>,
-page_map map<string,string>, words long, reading_time string, headings array<struct<level:int,text:string>>,
-links array<struct<text:string,href:string,raw:string,rel:string,link_title:string>>,
-images array<struct<src:string,alt:string,title:string,width:string,height:string,srcset:string,loading:string,
-class_list:array<string>,sources:array<struct<srcset:string,media:string,type:string>>>>, full_text string,
-main_selector string, main_text string"""
+HEAD_TAGS = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
+BLOCKS = {"p", "div", "li", "br", "tr", "section", "article", "ul", "ol", "table", *HEADINGS}
+#: An opening tag ends an open element of these, as elements of its kind do not nest.
+CLOSES = {"a": {"a"}, "li": {"li"}, "option": {"option"}} | {h: HEADINGS | {"p"} for h in HEADINGS} | {
+    b: {"p"} for b in ("p", "div", "ul", "ol", "table", "section", "article")
+}
+
+FIELDS = {
+    "url": "string",
+    "title": "string",
+    "meta": "map<string,string>",
+    "http_equiv": "map<string,string>",
+    "canonical": "string",
+    "alternate": "array<struct<href:string,hreflang:string,media:string,type:string>>",
+    "single_rels": "map<string,string>",
+    "multi_rels": "map<string,array<string>>",
+    "no_snippet": "boolean",
+    "json_ld": "array<string>",
+    "microdata": "array<struct<types:array<string>,properties:map<string,array<string>>>>",
+    "custom": "map<string,string>",
+    "tags": "array<string>",
+    "rating": "double",
+    "boost": "double",
+    "page_map": "map<string,string>",
+    "words": "long",
+    "reading_time": "string",
+    "headings": "array<struct<level:int,text:string>>",
+    "links": "array<struct<text:string,href:string,raw:string,rel:string,link_title:string>>",
+    "images": "array<struct<src:string,alt:string,title:string,width:string,height:string,srcset:string,loading:string,"
+    "class_list:array<string>,sources:array<struct<srcset:string,media:string,type:string>>>>",
+    "full_text": "string",
+    "full_html": "string",
+    "main_html": "string",
+    "main_selector": "string",
+}
 
 
 class _Page(HTMLParser):
-    """Collects what the record needs while it reads, with a stack of open elements."""
+    """Collects what the record needs while it reads, in time that grows with the page.
+
+    Text is kept once, in order; an element that wants its text remembers where
+    it began.
+    """
 
-    def __init__(self, url: str | None):
+    def __init__(self, url: str | None, html: str):
         super().__init__(convert_charrefs=True)
-        self.url = url
-        self.out: dict = {"meta": {}, "http_equiv": {}, "alternate": [], "single": {}, "multi": {}, "json_ld": [], "links": [], "images": [], "headings": [], "items": []}
-        self.title: list[str] | None = None
+        self.url, self.html = url, html
+        self.lines = [0]
+        for m in re.finditer("\n", html):
+            self.lines.append(m.end())
+        self.meta: dict[str, str] = {}
+        self.http_equiv: dict[str, str] = {}
+        self.named: list[tuple[str, str]] = []  # (key, content) of meta tags, for custom metadata
+        self.page_map: dict[str, str] = {}
+        self.alternate: list[dict] = []
+        self.single: dict[str, str] = {}
+        self.multi: dict[str, list[str]] = {}
+        self.json_ld: list[str] = []
+        self.links: list[dict] = []
+        self.images: list[dict] = []
+        self.headings: list[dict] = []
+        self.items: list[dict] = []
+        self.main: dict[str, tuple[int, int]] = {}
+        self.body: list[int | None] = [None, None]
+        self.title: str | None = None
         self.no_snippet = False
-        self.stack: list[tuple[str, dict]] = []
-        self.text: list[str] = []
-        self.open: list[list] = []  # [depth, tag, parts, finish]
-        self.sources: list[dict] = []
-        self.in_body = False
+        self.stack: list[tuple[str, list, bool]] = []  # tag, what to do at its end, whether it is a scope
+        self.open: Counter[str] = Counter()
+        self.scopes: list[dict] = []
+        self.pictures: list[list[dict]] = []
+        self.chunks: list[str] = []  # all text
+        self.body_from: int | None = None
+        self.visible: list[str] = []
+        self.hidden = 0
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[min(line, len(self.lines)) - 1] + column
+
+    def _text(self, start: int) -> str:
+        return "".join(self.chunks[start:])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v if v is not None else "" for k, v in reversed(attrs)}
-        if tag not in VOID:
-            self.stack.append((tag, a))
-        depth = len(self.stack) + (tag in VOID)
-        if tag == "body":
-            self.in_body = True
-        if "data-nosnippet" in a and self.in_body:
+        for other in CLOSES.get(tag, ()):
+            if self.open[other] and not (tag in HEADINGS and other in HEADINGS and self.stack[-1][0] != other):
+                self._end(other)
+        inner = self._offset() + len(self.get_starttag_text() or "")
+        if self.body_from is not None and "data-nosnippet" in a:
             self.no_snippet = True
-        if "itemscope" in a:
-            self.out["items"].append({"depth": depth, "types": a.get("itemtype", "").split(), "properties": {}})
+        if tag == "body" and self.body[0] is None:
+            self.body[0] = inner
+        if self.body_from is None and (tag == "body" or tag not in HEAD_TAGS):
+            self.body_from = len(self.chunks)
+        ends: list = []
         if a.get("itemprop"):
-            self._property(tag, a, depth)
+            self._property(tag, a, ends)
         if handler := getattr(self, f"_on_{tag}", None):
-            handler(a, depth)
+            handler(a, ends)
         elif tag in HEADINGS:
-            entry = {"level": int(tag[1]), "text": ""}
-            self.out["headings"].append(entry)
-            self._collect(depth, lambda s, e=entry: e.update(text=s.strip()))
-        if tag in ("p", "div", "li", "br", "tr", "section", "article"):
-            self.text.append(" ")
-        selector = next((s for s in MAIN_PLACES if _matches(s, tag, a)), None)
-        if selector:
-            self._collect(depth, lambda s, k=selector: self.out.setdefault("main", {}).setdefault(k, s.strip()))
-
-    def _collect(self, depth: int, finish) -> None:
-        self.open.append([depth, [], finish])
-
-    def _property(self, tag: str, a: dict, depth: int) -> None:
-        scopes = [i for i in self.out["items"] if i["depth"] < depth]
-        name = a["itemprop"]
-        put = lambda v: [i["properties"].setdefault(name, []).append(v) for i in scopes]
+            entry, start = {"level": int(tag[1]), "text": ""}, len(self.chunks)
+            self.headings.append(entry)
+            ends.append(lambda _: entry.update(text=self._text(start).strip()))
+        for place in MAIN_PLACES:
+            if place not in self.main and _matches(place, tag, a):
+                self.main[place] = (inner, inner)
+                ends.append(lambda at, place=place: self.main.update({place: (inner, at)}))
+        if tag in BLOCKS:
+            self.visible.append(" ")
+        if tag in VOID:
+            for end in ends:
+                end(inner)
+            return
+        scope = "itemscope" in a
+        if scope:
+            item = {"types": a["itemtype"].split(" ") if "itemtype" in a else [], "found": []}
+            self.items.append(item)
+            self.scopes.append(item)
+        self.stack.append((tag, ends, scope))
+        self.open[tag] += 1
+        self.hidden += tag in HIDDEN or tag in ("head", "title")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "body":
+            self.body[1] = self._offset()
+        if self.open[tag]:
+            self._end(tag)
+        if tag in BLOCKS:
+            self.visible.append(" ")
+
+    def _end(self, tag: str) -> None:
+        """Close the innermost element of that name, and those in it that are still open."""
+        at = self._offset()
+        while True:
+            name, ends, scope = self.stack.pop()
+            self.open[name] -= 1
+            self.hidden -= name in HIDDEN or name in ("head", "title")
+            for end in ends:
+                end(at)
+            if scope:
+                self.scopes.pop()
+            if name == "picture":
+                self.pictures.pop()
+            if name == tag:
+                return
+
+    def finish(self) -> None:
+        while self.stack:
+            self._end(self.stack[-1][0])
+
+    def handle_data(self, data: str) -> None:
+        self.chunks.append(data)
+        if self.body_from is None and not self.hidden and data.strip():
+            self.body_from = len(self.chunks) - 1
+        if not self.hidden:
+            self.visible.append(data)
+
+    def _property(self, tag: str, a: dict, ends: list) -> None:
+        if not self.scopes:
+            return
+        entry = [a["itemprop"], ""]
+        for item in self.scopes:
+            item["found"].append(entry)
+        start = len(self.chunks)
         if tag == "meta":
-            put(a.get("content", ""))
+            entry[1] = a.get("content", "")
         elif tag == "img":
-            put(a.get("src", ""))
-        elif tag == "time" and "datetime" in a:
-            put(a["datetime"])
+            entry[1] = self._absolute(a.get("src", ""))
         elif tag == "a":
-            put(a.get("href", ""))
+            entry[1] = self._absolute(a["href"]) if "href" in a else ""
+        elif tag == "time":
+            entry[1] = a.get("datetime", "")
+            if not entry[1]:
+                ends.append(lambda _: entry.__setitem__(1, self._text(start)))
         else:
-            self._collect(depth, lambda s: put(s.strip()))
+            ends.append(lambda _: entry.__setitem__(1, self._text(start).strip()))
 
-    def _on_title(self, a: dict, depth: int) -> None:
-        if self.title is None:
-            self._collect(depth, lambda s: setattr(self, "title", " ".join(s.split())))
+    def _absolute(self, raw: str) -> str:
+        found = weburl.parse(raw, self.url)
+        return found.href if found else raw
 
-    def _on_meta(self, a: dict, depth: int) -> None:
-        name, value = a.get("name", "").lower() or a.get("property", "").lower(), a.get("content", "")
-        if name:
-            self.out["meta"][name] = value
-        elif a.get("http-equiv"):
-            self.out["http_equiv"][a["http-equiv"].lower()] = value
+    def _on_title(self, a: dict, ends: list) -> None:
+        if self.title is None and not self.open["svg"]:
+            start = len(self.chunks)
+            ends.append(lambda _: setattr(self, "title", " ".join(self._text(start).split())))
 
-    def _on_link(self, a: dict, depth: int) -> None:
+    def _on_meta(self, a: dict, ends: list) -> None:
+        name, prop, value = a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
+        if name or prop:
+            self.meta[name or prop] = value
+        elif a.get("http-equiv"):
+            self.http_equiv[a["http-equiv"].lower()] = value
+        key = name if "name" in a else prop
+        if key and value:
+            self.named.append((key, value))
+        if a.get("name", "").startswith("pagemap-") and value:
+            self.page_map[a["name"].replace("pagemap-", "", 1)] = value
+
+    def _on_link(self, a: dict, ends: list) -> None:
         rel, href = a.get("rel", "").lower(), a.get("href", "")
         if not rel or not href:
             return
         if rel == "alternate":
-            self.out["alternate"].append({k: a.get(k) for k in ("href", "hreflang", "media", "type")})
+            self.alternate.append({k: a.get(k) for k in ("href", "hreflang", "media", "type")})
         elif rel in MULTI_RELS:
-            self.out["multi"].setdefault(rel, []).append(href)
+            self.multi.setdefault(rel, []).append(href)
         elif rel in SINGLE_RELS:
-            self.out["single"][rel] = href
+            self.single[rel] = href
 
-    def _on_script(self, a: dict, depth: int) -> None:
-        if a.get("type", "").strip().lower() == "application/ld+json":
-            self._collect(depth, self._json)
+    def _on_script(self, a: dict, ends: list) -> None:
+        if a.get("type") == "application/ld+json":
+            start = len(self.chunks)
+            ends.append(lambda _: self._json(self._text(start)))
 
     def _json(self, raw: str) -> None:
         try:
-            if json.loads(raw):
-                self.out["json_ld"].append(raw.strip())
+            value = json.loads(raw)
         except ValueError:
-            pass
+            return
+        if value or isinstance(value, (list, dict)):  # of the values that count as false, empty lists and objects stay
+            self.json_ld.append(raw.strip())
 
-    def _on_a(self, a: dict, depth: int) -> None:
+    def _on_a(self, a: dict, ends: list) -> None:
         if "href" not in a:
             return
-        entry = {"raw": a["href"], "href": normalize(a["href"], self.url), "rel": a.get("rel", ""), "link_title": a.get("title", ""), "text": ""}
-        self.out["links"].append(entry)
-        self._collect(depth, lambda s: entry.update(text=s.strip()))
-
-    def _on_img(self, a: dict, depth: int) -> None:
-        inside = any(t == "picture" for t, _ in self.stack)
-        image = {k: a.get(k) for k in ("src", "alt", "title", "width", "height", "srcset", "loading")}
-        self.out["images"].append(image | {"class_list": a.get("class", "").split(), "sources": list(self.sources) if inside else []})
+        entry = {"raw": a["href"], "href": self._absolute(a["href"]), "rel": a.get("rel", ""), "link_title": a.get("title", ""), "text": ""}
+        self.links.append(entry)
+        start = len(self.chunks)
+        ends.append(lambda _: entry.update(text=self._text(start).strip()))
 
-    def _on_picture(self, a: dict, depth: int) -> None:
-        self.sources = []
+    def _on_img(self, a: dict, ends: list) -> None:
+        image = {k: a.get(k, "") for k in ("src", "alt", "title", "width", "height", "srcset", "loading")}
+        self.images.append(image | {"class_list": a.get("class", "").split(), "sources": self.pictures[-1] if self.pictures else []})
 
-    def _on_source(self, a: dict, depth: int) -> None:
-        if any(t == "picture" for t, _ in self.stack):
-            self.sources.append({k: a.get(k) for k in ("srcset", "media", "type")})
+    def _on_picture(self, a: dict, ends: list) -> None:
+        self.pictures.append([])
 
-    def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None)
-        if at is None:
-            return
-        del self.stack[at:]
-        self._finish(at)
-
-    def _finish(self, depth: int) -> None:
-        for entry in [e for e in self.open if e[0] > depth]:
-            entry[2]("".join(entry[1]))
-        self.open = [e for e in self.open if e[0] <= depth]
-        for item in self.out["items"]:
-            if item["depth"] > depth:
-                item["depth"] = 1 << 30  # closed: nothing is inside it any more
-
-    def handle_data(self, data: str) -> None:
-        for entry in self.open:
-            entry[1].append(data)
-        hidden = any(t in HIDDEN for t, _ in self.stack)
-        if not hidden and not any(t in ("head", "title") for t, _ in self.stack):
-            self.text.append(data)
+    def _on_source(self, a: dict, ends: list) -> None:
+        for sources in self.pictures:
+            sources.append({"srcset": a.get("srcset", ""), "media": a.get("media") or None, "type": a.get("type") or None})
 
 
 def _matches(selector: str, tag: str, a: dict) -> bool:
@@ -182,52 +288,90 @@ def _matches(selector: str, tag: str, a: dict) -> bool:
     return a.get("role") == "main" if selector[0] == "[" else tag == selector
 
 
+def _properties(found: list[list[str]]) -> dict[str, list[str]]:
+    """Values by name, in the order of the page; an empty first value gives way to the next."""
+    out: dict[str, list[str]] = {}
+    for name, value in found:
+        if out.get(name) and out[name] != [""]:
+            out[name].append(value)
+        else:
+            out[name] = [value]
+    return out
+
+
+def _number(text: str | None) -> float | None:
+    """The number a text begins with; none for zero."""
+    found = re.match(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text or "")
+    return float(found[0]) or None if found else None
+
+
 def extract(html: str | None, url: str | None) -> dict:
-    """The record of one page; a null or empty page has empty fields."""
-    page = _Page(url)
-    page.feed(html or "")
+    """The record of one page; a null or empty page has empty fields.
+
+    HTML of the main content is cut out of the source as it is. Words are those
+    of all text in the body, that of scripts included; no text is one word.
+    """
+    page = _Page(url, html or "")
+    page.feed(page.html)
     page.close()
-    page._finish(-1)
-    out, meta = page.out, page.out["meta"]
-    full = " ".join("".join(page.text).split())
-    words = len(full.split())
-    main = next(((k, v) for k in MAIN_PLACES if len(v := out.get("main", {}).get(k, "")) > 100), ("body", full))
+    page.finish()
+    full = " ".join("".join(page.visible).split())
+    body_text = "".join(page.chunks[page.body_from :]) if page.body_from is not None else ""
+    words = len(body_text.split()) or 1
+    custom: dict[str, str] = {}
+    for key, value in page.named:
+        if key in CUSTOM_NAMES or key.startswith(("ai-", "search-")):
+            custom[key] = value
+    tags = custom.get("tags")
+    body = page.html[page.body[0] or 0 : page.body[1]]
+    selector, main = next(
+        ((p, text) for p in MAIN_PLACES if p in page.main and len((text := page.html[slice(*page.main[p])]).strip()) > MAIN_CHARS),
+        ("body", body),
+    )
     return {
         "url": url,
         "title": page.title or "",
-        "meta": meta,
-        "http_equiv": out["http_equiv"],
-        "canonical": out["single"].get("canonical"),
-        "alternate": out["alternate"],
-        "single_rels": out["single"],
-        "multi_rels": out["multi"],
+        "meta": page.meta,
+        "http_equiv": page.http_equiv,
+        "canonical": page.single.get("canonical"),
+        "alternate": page.alternate,
+        "single_rels": page.single,
+        "multi_rels": page.multi,
         "no_snippet": page.no_snippet,
-        "json_ld": out["json_ld"],
-        "microdata": [{"types": i["types"], "properties": i["properties"]} for i in out["items"]],
-        "custom": {k: v for k, v in meta.items() if v and (k in CUSTOM_NAMES or re.match("(ai|search)-", k))},
-        "page_map": {k[8:]: v for k, v in meta.items() if k.startswith("pagemap-")},
+        "json_ld": page.json_ld,
+        "microdata": [{"types": i["types"], "properties": _properties(i["found"])} for i in page.items],
+        "custom": {k: v for k, v in custom.items() if k not in ("tags", "rating", "boost")},
+        "tags": None if tags is None else [t.strip() for t in tags.split(",")],
+        "rating": _number(custom.get("rating")),
+        "boost": _number(custom.get("boost")),
+        "page_map": page.page_map,
         "words": words,
-        "reading_time": f"{-(-words // 200)} min",
-        "headings": out["headings"],
-        "links": out["links"],
-        "images": out["images"],
+        "reading_time": f"{-(-words // WORDS_PER_MINUTE)} min",
+        "headings": page.headings,
+        "links": page.links,
+        "images": page.images,
         "full_text": full,
-        "main_selector": main[0] if main[1] else "",
-        "main_text": main[1],
+        "full_html": page.html,
+        "main_html": main,
+        "main_selector": selector,
     }
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Records of `pages` (url, html): each page is parsed once, in Arrow batches, without a shuffle."""
+def page_records(pages: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """Records of `pages` (url, html), with the wanted `fields`: each page is parsed once, in Arrow batches, without a shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([extract(h, u) for h, u in zip(batch["html"], batch["url"], strict=True)])
+            rows = []
+            for html, url in zip(batch["html"], batch["url"], strict=True):
+                record = extract(html, url)
+                rows.append({name: record[name] for name in fields})
+            yield pd.DataFrame(rows, columns=list(fields))
 
-    return pages.select("url", "html").mapInPandas(run, SCHEMA)
+    return pages.select("url", "html").mapInPandas(run, ", ".join(f"{name} {FIELDS[name]}" for name in fields))
 
 
 def link_rows(records: DataFrame) -> DataFrame:
-    """Edges of records: src_url, pos, href, text, rel."""
-    rows = records.select(F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "link"))
-    return rows.select("src_url", "pos", "link.href", "link.text", "link.rel")
+    """Edges of records: src_url, src_title, pos, href, text, rel."""
+    rows = records.select(F.col("url").alias("src_url"), F.col("title").alias("src_title"), F.posexplode("links").alias("pos", "link"))
+    return rows.select("src_url", "src_title", "pos", "link.href", "link.text", "link.rel")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import text as t
@@ -20,7 +20,7 @@ def position(raw: Column) -> Column:
 
 
 def parse(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of tab-separated lines; short ones, the header and blank keywords are dropped."""
+    """Rows of tab-separated lines without the header; short ones and blank keywords are dropped."""
     cells = lines.select(F.split(value, "\t").alias("c")).where(F.size("c") >= len(COLUMNS))
     cell = {name: F.trim(F.col("c")[k]) for k, name in enumerate(COLUMNS)}
     out = cells.select(
@@ -34,7 +34,13 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
         cell["url_seznam"].alias("url_seznam"),
         cell["tag"].alias("tag"),
     )
-    return out.where("keyword <> '' AND keyword <> 'keyword'")
+    return out.where("keyword <> ''")
+
+
+def by_position(keywords: DataFrame, engine: str) -> DataFrame:
+    """Keywords with their place in the order of an engine's positions, unranked ones last."""
+    order = Window.orderBy(F.coalesce(f"position_{engine}", F.lit(61)), "keyword")  # one export of one site
+    return keywords.withColumn("place", F.row_number().over(order))
 
 
 def summary(keywords: DataFrame) -> DataFrame:

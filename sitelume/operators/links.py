@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from sitelume.functions import urls
 
+from .groups import join_groups, sample_of_each
+
 
 def is_dofollow(rel: Column) -> Column:
     return ~F.array_contains(F.split(F.lower(F.coalesce(rel, F.lit(""))), r"\s+"), "nofollow")
 
 
+def inbound_links(edges: DataFrame) -> DataFrame:
+    """The reversed link graph, an edge a row: href, src_url, pos, rel, is_dofollow. No target's links are gathered."""
+    return edges.where("href <> ''").select("href", "src_url", "pos", "rel", is_dofollow(F.col("rel")).alias("is_dofollow"))
+
+
 def reverse_graph(edges: DataFrame) -> DataFrame:
-    """Inbound links by target: occurrences, linking pages, followed occurrences."""
+    """Inbound links by target: occurrences, linking pages, followed occurrences. `inbound_links` has the links."""
     return (
         edges.where("href <> ''")
         .groupBy("href")
@@ -28,13 +35,14 @@ def reverse_graph(edges: DataFrame) -> DataFrame:
 def broken_internal(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for each link occurrence whose target was crawled with a status of 400 or more."""
     bad = pages.where("status >= 400").select(F.col("url").alias("href"), "status")
-    return edges.join(bad, "href").select("src_url", "pos", "href", "status")
+    inbound = edges.join(bad.select("href"), "href", "left_semi").groupBy("href").agg(F.count("*").alias("n"))
+    return join_groups(edges, bad.join(inbound, "href"), "href", "n").select("src_url", "pos", "href", "status")
 
 
 def orphaned_redirects(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Redirecting pages that no other page links to."""
     moved = pages.where("status >= 300 AND status < 400").select("url", "status")
-    inbound = edges.where("src_url <> href").select("href")
+    inbound = edges.where("src_url <> href").select("href").distinct()
     return moved.join(inbound, moved.url == inbound.href, "left_anti")
 
 
@@ -69,6 +77,13 @@ def not_found(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("url", "referrers", "first_referrer", origin.alias("origin"))
 
 
+def not_found_report(edges: DataFrame, pages: DataFrame, sample: int = 3) -> DataFrame:
+    """`not_found` with its first referrers by URL, `sample` at most; `referrers` gives all of them."""
+    some = sample_of_each(referrers(edges, pages).where("referrer IS NOT NULL").distinct(), ["url"], ["referrer"], sample)
+    some = some.groupBy("url").agg(F.array_sort(F.collect_list("referrer")).alias("sample"))  # at most `sample` each
+    return not_found(edges, pages).join(some, "url", "left")
+
+
 def orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that no page links to, a slash at the end aside; homepages do not count."""
     key = lambda c: F.regexp_replace(c, "/$", "")
@@ -77,8 +92,15 @@ def orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return told.join(linked, "k", "left_anti").select("url", "title")
 
 
+def backlinks(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every page with a status other than 200 and page that links to it, own and repeated ones included: url, status, found_on."""
+    bad = pages.where("coalesce(status, 200) <> 200").select("url", "status")
+    refs = edges.where("href <> ''").select("href", F.col("src_url").alias("found_on"))
+    return bad.join(refs, bad.url == refs.href, "left").select("url", "status", "found_on")
+
+
 def audit_broken(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every page with a status other than 200, with its backlinks, own and repeated ones included."""
+    """Every page with a status other than 200, with the number of its `backlinks`."""
     bad = pages.where("coalesce(status, 200) <> 200").select("url", "status")
     refs = edges.groupBy("href").agg(F.count("*").alias("found_on"))
     return bad.join(refs, bad.url == refs.href, "left").select(

@@ -21,18 +21,20 @@ def parse_responses(df: DataFrame, raw: str) -> DataFrame:
 
 
 def prompts(pages: DataFrame) -> DataFrame:
-    """url and prompt of pages (url, language, title, description, headings, excerpt, and which fixes they need)."""
-    clean = lambda c, empty: t.redact(F.coalesce(F.col(c), F.lit(empty)))
+    """url and prompt of pages (url, language, title, description, headings, excerpt, needs_title, needs_description).
+
+    Names of fields come first on a line; personal data is taken out of what
+    the page says; the answer is to be one JSON object with the wanted fields.
+    """
+    said = lambda name, value: F.concat(F.lit(f"{name} = "), t.redact(F.coalesce(value, F.lit("none"))))
+    wanted = F.array_join(F.filter(F.array(F.when(F.col("needs_title"), "title"), F.when(F.col("needs_description"), "description")), lambda x: x.isNotNull()), ", ")
     lines = [
-        F.concat(F.lit("URL: "), "url"),
-        F.concat(F.lit("Language: "), "language"),
-        F.concat(F.lit("Current title: "), clean("title", "(missing)")),
-        F.concat(F.lit("Current meta description: "), clean("description", "(missing)")),
-        F.concat(F.lit("Headings: "), clean("headings", "(none)")),
-        F.concat(F.lit("Content excerpt: "), F.substring(clean("excerpt", ""), 1, 1500)),
-        F.lit(""),
-        F.lit("Requested fixes:"),
-        F.when(F.col("needs_title"), '- Generate a new "title"'),
-        F.when(F.col("needs_description"), '- Generate a new "description"'),
+        F.concat(F.lit("page = "), "url"),
+        F.concat(F.lit("answer in = "), "language"),
+        said("title now", F.col("title")),
+        said("description now", F.col("description")),
+        said("headings", F.col("headings")),
+        said("text begins", F.col("excerpt")),
+        F.concat(F.lit("write a new = "), wanted),
     ]
     return pages.select("url", F.concat_ws("\n", *lines).alias("prompt"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.functions import urls
+from sitelume.functions import urls, weburl
+from sitelume.session import shared_folder
 
 STALE_DAYS = 30
 
@@ -20,20 +21,33 @@ def entries(sitemaps: DataFrame) -> DataFrame:
     )
 
 
-def reachable(sitemaps: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Sitemaps reached from `seeds` (sitemap_url) through index files, each once; cycles end by the anti join."""
-    child = F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), F.lit(1)))
-    step = sitemaps.select("sitemap_url", child.alias("child"))
-    seen = frontier = seeds.select("sitemap_url").distinct()
-    for _ in range(max_depth):
-        frontier = (
-            step.join(frontier, "sitemap_url").select(F.col("child").alias("sitemap_url")).distinct()
-            .join(seen, "sitemap_url", "left_anti")
-        )
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+def children(sitemaps: DataFrame) -> DataFrame:
+    """Sitemaps that index files list: sitemap_url, child."""
+    blocks = F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>.*?</sitemap>"), F.lit(0)))
+    found = sitemaps.select("sitemap_url", blocks.alias("block"))
+    return found.select("sitemap_url", F.trim(F.regexp_extract("block", "(?s)<loc>(.*?)</loc>", 1)).alias("child")).where("child <> ''")
+
+
+def reachable(sitemaps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Sitemaps reached from `seeds` (sitemap_url) through index files, each once.
+
+    The frontier moves one level a round, however deep they are nested, and is
+    empty once all are seen, so cycles end. Each round's sitemaps are written,
+    so no plan grows with the depth.
+    """
+    spark, root = sitemaps.sparkSession, shared_folder(sitemaps.sparkSession, "sitemaps")
+    step = children(sitemaps)
+    step.write.parquet(f"{root}/step")
+    step = spark.read.schema(step.schema).parquet(f"{root}/step")
+    frontier, level = seeds.select("sitemap_url").where("sitemap_url IS NOT NULL").distinct(), 0
+    while True:
+        frontier.write.parquet(f"{root}/seen/level={level}")
+        seen = spark.read.schema(seeds.select("sitemap_url").schema).parquet(f"{root}/seen").select("sitemap_url")
+        last = spark.read.schema(seen.schema).parquet(f"{root}/seen/level={level}")
+        if last.isEmpty():
+            return seen
+        frontier = step.join(last, "sitemap_url").select(F.col("child").alias("sitemap_url")).distinct().join(seen, "sitemap_url", "left_anti")
+        level += 1
 
 
 def in_several(entries_: DataFrame) -> DataFrame:
@@ -46,22 +60,19 @@ def in_several(entries_: DataFrame) -> DataFrame:
 
 
 def validate(sitemaps: DataFrame, now: Column) -> DataFrame:
-    """Counts of entries, bad and future lastmod values, and whether the root tag is closed."""
-    told = entries(sitemaps)
-    date = F.col("lastmod").try_cast("timestamp")
-    counted = told.groupBy("sitemap_url").agg(
-        F.count("*").alias("urls"),
-        F.count_if(F.col("lastmod").isNotNull() & date.isNull()).alias("bad_lastmod"),
-        F.count_if(date > now).alias("future_lastmod"),
-    )
-    root = sitemaps.select(
-        "sitemap_url", (F.regexp_count("xml", F.lit(r"<urlset\b")) == F.regexp_count("xml", F.lit("</urlset>"))).alias("balanced")
-    )
-    zero = F.lit(0)
-    return root.join(counted, "sitemap_url", "left").select(
+    """Whether each sitemap's root tag is balanced, and its counts of entries, unreadable and future lastmod values."""
+    blocks = F.regexp_extract_all("xml", F.lit("(?s)<url>.*?</url>"), F.lit(0))
+    stamps = F.transform(blocks, lambda b: F.when(b.rlike("<lastmod>.*?</lastmod>"), F.trim(F.regexp_extract(b, "<lastmod>(.*?)</lastmod>", 1))))
+    given = F.filter(stamps, lambda x: x.isNotNull())
+    root = F.when(F.col("xml").contains("<sitemapindex"), "sitemapindex").otherwise("urlset")
+    opens = F.regexp_count("xml", F.concat(F.lit("<"), root, F.lit(r"[\s>]")))
+    closes = F.regexp_count("xml", F.concat(F.lit("</"), root, F.lit(">")))
+    return sitemaps.select(
         "sitemap_url",
-        "balanced",
-        *[F.coalesce(c, zero).alias(c) for c in ("urls", "bad_lastmod", "future_lastmod")],
+        ((opens > 0) & (opens == closes)).alias("balanced"),
+        F.size(blocks).cast("bigint").alias("urls"),
+        F.size(F.filter(given, lambda x: x.try_cast("timestamp").isNull())).cast("bigint").alias("bad_lastmod"),
+        F.size(F.filter(given, lambda x: x.try_cast("timestamp") > now)).cast("bigint").alias("future_lastmod"),
     )
 
 
@@ -69,13 +80,21 @@ def difference(current: DataFrame, previous: DataFrame, index: DataFrame, now: C
     """Class of each URL: new, modified, unchanged or removed.
 
     `current` and `previous`: url, lastmod; `index`: url, status, crawled_at.
-    A listed URL that was not completed before, or not for 30 days, counts as
-    modified.
+    Dates are compared as times, whatever form they are written in. A listed
+    URL that was not completed before, or not for 30 days, counts as modified.
+    Of a URL listed more than once the latest date holds, of the index the
+    latest entry.
     """
-    cur = current.select("url", F.col("lastmod").alias("lastmod"), F.lit(True).alias("is_cur"))
-    old = previous.select("url", F.col("lastmod").alias("old_lastmod"), F.lit(True).alias("is_old"))
-    told = cur.join(old, "url", "full_outer").join(index.withColumn("is_known", F.lit(True)), "url", "left")
-    newer = F.coalesce(F.col("lastmod") > F.col("old_lastmod"), F.lit(False))
+    latest = lambda df, name: df.where("url IS NOT NULL").groupBy("url").agg(
+        F.max(F.col("lastmod").try_cast("timestamp")).alias(name), F.lit(True).alias(f"is_{name}")
+    )
+    known = index.groupBy("url").agg(
+        F.max_by("status", F.struct(F.col("crawled_at").isNotNull(), "crawled_at", "status")).alias("status"),
+        F.max("crawled_at").alias("crawled_at"),
+        F.lit(True).alias("is_known"),
+    )
+    told = latest(current, "cur").join(latest(previous, "old"), "url", "full_outer").join(known, "url", "left")
+    newer = F.coalesce(F.col("cur") > F.col("old"), F.lit(False))
     failed = F.coalesce(F.col("status") != "completed", F.lit(True))
     stale = F.coalesce(F.timestamp_diff("SECOND", F.col("crawled_at"), now) > STALE_DAYS * 86_400, F.lit(False))
     kind = (
@@ -87,6 +106,28 @@ def difference(current: DataFrame, previous: DataFrame, index: DataFrame, now: C
     return told.select("url", kind.alias("class"))
 
 
+def previous_or_index(previous: DataFrame | None, index: DataFrame) -> DataFrame:
+    """The sitemap of the crawl before, or the URLs of its index (without dates) where none was stored."""
+    if previous is not None:
+        return previous.select("url", "lastmod")
+    return index.select("url", F.lit(None).cast("string").alias("lastmod")).distinct()
+
+
+def without_sitemap(home: str, index: DataFrame, most: int = 50) -> DataFrame:
+    """What an incremental crawl of a site without a sitemap visits: its homepage, then URLs that were not completed.
+
+    `index`: url, status, pos (the order of its entries); the first `most` are retried.
+    """
+    again = index.where(F.coalesce("status", F.lit("")) != "completed").orderBy("pos").limit(most).select("url")
+    first = index.sparkSession.range(1).select(F.lit(home).alias("url"))
+    return first.unionByName(again.where(F.col("url") != home))
+
+
+def not_queued(found: DataFrame, queued: DataFrame) -> DataFrame:
+    """URLs of an HTML sitemap that are not queued yet, each once."""
+    return found.select("url").distinct().join(queued.select("url"), "url", "left_anti")
+
+
 MODES = {
     "incremental": ("new", "modified"),
     "new-only": ("new",),
@@ -95,22 +136,56 @@ MODES = {
 }
 
 
-def to_crawl(diff: DataFrame, mode: str = "incremental") -> DataFrame:
-    return diff.where(F.col("class").isin(*MODES[mode]))
+def to_crawl(diff: DataFrame, mode: str = "incremental", limit: int | None = None) -> DataFrame:
+    """URLs of the classes of a mode, new ones first; the first `limit` of them, if given."""
+    told = diff.where(F.col("class").isin(*MODES[mode]))
+    if limit is None:
+        return told
+    return told.orderBy(F.array_position(F.array(*[F.lit(c) for c in MODES[mode]]), F.col("class")), "url").limit(limit)
+
+
+def site_urls(crawled: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct URLs of crawled pages (url) and of internal links (href), in order, as a new sitemap lists them."""
+    return crawled.select("url").unionByName(links.select(F.col("href").alias("url"))).where("url <> ''").distinct().orderBy("url")
+
+
+def same_host_links(links: DataFrame, base: str) -> DataFrame:
+    """Distinct links (href) to the host of `base`, absolute and in normal form, and `base` itself."""
+    found = urls.parts(F.col("href"), F.lit(base))
+    own = weburl.parse(base)
+    told = links.select(found.alias("p")).where(F.col("p.host") == own.host).select(F.col("p.href").alias("url"))
+    return told.unionByName(links.sparkSession.range(1).select(F.lit(base).alias("url"))).distinct()
 
 
-def to_xml(urls: DataFrame, lastmod: str) -> DataFrame:
-    """A <url> element for each distinct URL, escaped; files of any size are written part by part."""
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+#: Entries of one sitemap file, as the protocol allows.
+FILE_URLS = 50_000
+
+
+def to_xml(urls_: DataFrame, lastmod: str) -> DataFrame:
+    """A <url> element for each distinct URL, escaped."""
     safe = F.col("url")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         safe = F.replace(safe, F.lit(char), F.lit(entity))
-    return urls.select("url").distinct().select(
+    return urls_.select("url").distinct().select(
         F.concat(
             F.lit("<url><loc>"), safe, F.lit(f"</loc><lastmod>{lastmod}</lastmod><changefreq>weekly</changefreq><priority>0.8</priority></url>")
         ).alias("value")
     )
 
 
+def sitemap_files(urls_: DataFrame, lastmod: str, most: int = FILE_URLS) -> DataFrame:
+    """Whole sitemap files of about half of `most` and never more than that many URLs: file (number), xml.
+
+    URLs are dealt by hash, so that no task counts them all.
+    """
+    files = max(1, -(-2 * urls_.select("url").distinct().count() // most))
+    entries_ = to_xml(urls_, lastmod).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(files)))
+    # bounded: `most` entries of a file
+    body = F.array_join(F.array_sort(F.collect_list("value")), "\n")
+    return entries_.groupBy("file").agg(F.concat(F.lit(HEAD), body, F.lit("\n</urlset>")).alias("xml"))
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """Distinct links of pages (url, html) to their own domain, resolved; fragments, mail, scripts and sitemaps left out."""
     raw = F.explode(F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"']+)[\"']"), F.lit(1)))

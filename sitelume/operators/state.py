@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000
+# Named rule sets, as (requests, hours).
 PRESETS = {
-    "conservative": ((30, 1),),
-    "moderate": ((60, 1),),
-    "aggressive": ((120, 1),),
-    "bulk": ((500, 5),),
-    "tiered": ((60, 1), (200, 5)),
+    "conservative": ((100, 1),),
+    "moderate": ((200, 2),),
+    "aggressive": ((500, 3),),
+    "bulk": ((1000, 5),),
+    "tiered": ((120, 1), (300, 3), (600, 5)),
 }
+# Hits that a key may make, and the window in ms, by kind of request.
+BUCKETS = {"crawl-start": (5, HOUR), "crawl-read": (120, HOUR), "email-send": (5, 24 * HOUR)}
+# Hours a finished job is kept, lines its log keeps and shows, failures before an alert or a rotation,
+# and ms between rotations.
+JOB_HOURS, LOG_LINES, SHOWN_LINES, FAILURES, ROTATION_MS = 24, 500, 10, 3, 60_000
 
 
 def parse_rules(text: str) -> tuple[tuple[int, int], ...]:
@@ -50,30 +60,27 @@ def retryable(index: DataFrame, most: int = 3) -> DataFrame:
 
 
 def search(index: DataFrame, text: str) -> DataFrame:
-    return index.where(F.lower("url").contains(text.lower()) | F.lower("status").contains(text.lower()))
+    """Entries whose URL, status or domain (if the index has one) holds `text`, in any case."""
+    columns = [c for c in ("url", "status", "domain") if c in index.columns]
+    found = [F.coalesce(F.lower(c).contains(text.lower()), F.lit(False)) for c in columns]
+    return index.where(reduce(lambda a, b: a | b, found))
 
 
-def trailing_counts(requests: DataFrame, hours: list[int], key: list[str] = ()) -> DataFrame:
-    """Requests in the trailing windows of each request, both ends included: n_<hours>h.
+def trailing_counts(requests: DataFrame, hours: list[int]) -> DataFrame:
+    """Requests in the trailing windows of each request, both ends included: n_<hours>h, and oldest_<hours>h (ms).
 
-    Without a key the windows run over all requests; hour buckets then spread
-    the work: each bucket also holds the rows of the buckets a window reaches
-    back into.
+    Requests of one millisecond are counted first; what is left is dealt to
+    buckets as long as the longest window, each of which also holds the bucket
+    before it, which windows reach back into.
     """
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    if key:
-        told = requests.withColumn("ms", ms)
-        for h in hours:
-            w = Window.partitionBy(*key).orderBy("ms").rangeBetween(-h * HOUR, 0)
-            told = told.withColumn(f"n_{h}h", F.count("*").over(w))
-        return told
-    reach = max(hours)
-    told = requests.withColumn("ms", ms).withColumn("bucket", F.floor(F.col("ms") / (reach * HOUR)))
-    spread = told.withColumn("of", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    told = requests.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    counts = told.groupBy("ms").agg(F.count("*").alias("n"))
+    bucket = F.floor(F.col("ms") / (max(hours) * HOUR))
+    spread = counts.withColumn("bucket", bucket).withColumn("of", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     for h in hours:
         w = Window.partitionBy("of").orderBy("ms").rangeBetween(-h * HOUR, 0)
-        spread = spread.withColumn(f"n_{h}h", F.count("*").over(w))
-    return spread.where("of = bucket").drop("of", "bucket")
+        spread = spread.withColumns({f"n_{h}h": F.sum("n").over(w), f"oldest_{h}h": F.min("ms").over(w)})
+    return told.join(spread.where("of = bucket").drop("of", "bucket", "n"), "ms")
 
 
 def limit_status(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: Column) -> DataFrame:
@@ -100,28 +107,147 @@ def limit_status(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: C
     return counted.select(F.inline(rows))
 
 
+def limit_summary(status: DataFrame, now: Column) -> DataFrame:
+    """One row over the rules of `limit_status`: is_blocked, the last rule that blocks, when a request is allowed again."""
+    order = F.struct("window_hours", "max_requests")
+    blocks = F.col("is_blocked")
+    return status.agg(
+        F.coalesce(F.bool_or(blocks), F.lit(False)).alias("is_blocked"),
+        F.max(F.when(blocks, order)).alias("rule"),
+        F.greatest(F.unix_millis(now), F.max(F.when(blocks, F.col("next_reset_ms")))).alias("next_allowed_ms"),
+    ).select("is_blocked", F.col("rule.max_requests").alias("max_requests"), F.col("rule.window_hours").alias("window_hours"), "next_allowed_ms")
+
+
+def even_delay_ms(rules: tuple[tuple[int, int], ...], jitter: float = 1.0) -> int:
+    """Milliseconds between requests that the strictest rule spreads evenly; `jitter` (0.8 to 1.2) varies them."""
+    return round(HOUR / min(most / hours for most, hours in rules) * jitter) if rules else 0
+
+
+def unexpired(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: Column) -> DataFrame:
+    """Requests that a limiter still needs: those of its longest window and one hour more."""
+    kept = F.unix_millis(now) - (max(hours for _, hours in rules) + 1) * HOUR
+    return requests.where(F.unix_millis(F.col("ts").cast("timestamp")) >= kept)
+
+
+class Limiter:
+    """A sliding limiter of one key: a hit is admitted with fewer than `most` admitted in the window before; others leave no trace."""
+
+    def __init__(self, most: int, window_ms: int, held: list[int] = ()):
+        self.most, self.window_ms, self.held = most, window_ms, deque(held)
+
+    def hit(self, now: int) -> bool:
+        while self.held and self.held[0] <= now - self.window_ms:
+            self.held.popleft()
+        free = len(self.held) < self.most
+        if free:
+            self.held.append(now)
+        return free
+
+
 def admit(times: list[int], most: int, window_ms: int) -> list[bool]:
-    """Which hits a sliding limiter admits: those with fewer than `most` admitted in the window before; others leave no trace."""
-    held: list[int] = []
-    out = []
-    for now in times:
-        held = [t for t in held if t > now - window_ms]
-        out.append(len(held) < most)
-        if out[-1]:
-            held.append(now)
-    return out
+    limiter = Limiter(most, window_ms)
+    return [limiter.hit(now) for now in times]
 
 
-def sliding_limiter(requests: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
-    """Requests (key, ts, seq) with is_admitted. Keys are independent; each one's requests are read in order."""
+def in_order(rows: DataFrame, key: str, order: list[str], new: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
+    """Fold over the rows of each key in order: `step` gets the key's state and a row (as `rows` has it) and gives an output row.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ms", "seq"], kind="stable")
-        return rows.assign(is_admitted=admit(rows["ms"].tolist(), most, window_ms))
+    A task reads its keys sorted, batch by batch, and holds the state of one
+    key at a time, however many rows the key has.
+    """
+    names = rows.columns
+    at = names.index(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[at] != now:
+                    now, state = row[at], new()
+                out.append(step(state, row))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
+
+def sliding_limiter(requests: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
+    """Requests (key, ts, seq) with is_admitted; keys are independent. State is at most `most` times."""
     told = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq")
     kind = requests.schema[key].dataType.simpleString()
-    return told.groupBy(key).applyInPandas(run, f"{key} {kind}, ms long, seq long, is_admitted boolean")
+    step = lambda limiter, row: (*row, limiter.hit(row[1]))
+    return in_order(told, key, ["ms", "seq"], lambda: Limiter(most, window_ms), step, f"{key} {kind}, ms long, seq long, is_admitted boolean")
+
+
+def bucket_limiter(requests: DataFrame) -> DataFrame:
+    """Requests (bucket, key, ts, seq) with is_admitted, each kind under its own limit; mail addresses in lower case."""
+    name = F.when(F.col("bucket") == "email-send", F.lower("key")).otherwise(F.col("key"))
+    told = requests.where(F.col("bucket").isin(*BUCKETS)).select(
+        F.concat_ws("\n", "bucket", name).alias("of"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq"
+    )
+
+    def step(state: dict, row: tuple) -> tuple:
+        bucket, _, key = row[0].partition("\n")
+        if not state:
+            state["limiter"] = Limiter(*BUCKETS[bucket])
+        return bucket, key, row[1], row[2], state["limiter"].hit(row[1])
+
+    return in_order(told, "of", ["ms", "seq"], dict, step, "bucket string, key string, ms long, seq long, is_admitted boolean")
+
+
+def rotations(responses: DataFrame, key: str = "domain") -> DataFrame:
+    """Responses (key, ts, seq, status) with failures (403s since the last 404 or rotation) and is_rotated.
+
+    The third 403 rotates the user agent, unless that happened a minute ago or less.
+    """
+    told = responses.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq", F.coalesce("status", F.lit(0)).alias("status"))
+    kind = responses.schema[key].dataType.simpleString()
+
+    def step(state: dict, row: tuple) -> tuple:
+        _, ms, _, status = row
+        run, last = state.get("run", 0), state.get("last")
+        run = run + 1 if status == 403 else 0 if status == 404 else run
+        turn = status == 403 and run >= FAILURES and (last is None or ms - last > ROTATION_MS)
+        state.update(run=0 if turn else run, last=ms if turn else last)
+        return *row, run, turn
+
+    return in_order(told, key, ["ms", "seq"], dict, step, f"{key} {kind}, ms long, seq long, status int, failures int, is_rotated boolean")
+
+
+def kept_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs (job_id, started_at, finished_at) that are not evicted: unfinished, or finished in the last 24 hours."""
+    age = F.unix_millis(now) - F.unix_millis(F.col("finished_at").cast("timestamp"))
+    return jobs.where(F.coalesce(age <= JOB_HOURS * HOUR, F.lit(True)))
+
+
+def last_lines(log: DataFrame, n: int = LOG_LINES) -> DataFrame:
+    """The last `n` lines of each job's log (job_id, seq, line)."""
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))
+    return log.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def job_status(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """Jobs with their status and the last lines of their log joined."""
+    shown = last_lines(log, SHOWN_LINES).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    told = jobs.join(shown, "job_id", "left")
+    state = F.when(F.col("finished_at").isNull(), "running").otherwise("finished")
+    return told.select("job_id", state.alias("status"), F.coalesce(F.array_join("l.line", ""), F.lit("")).alias("last_log"))
+
+
+def running_jobs(jobs: DataFrame) -> DataFrame:
+    """At each start or end of a job, how many are unfinished then: ts, job_id, kind, running.
+
+    Events are summed by hour, then within the hour, so no task holds them all.
+    """
+    starts = jobs.select(F.col("started_at").alias("ts"), "job_id", F.lit("start").alias("kind"), F.lit(1).alias("n"))
+    ends = jobs.where("finished_at IS NOT NULL").select(F.col("finished_at").alias("ts"), "job_id", F.lit("end").alias("kind"), F.lit(-1).alias("n"))
+    told = starts.unionByName(ends).withColumn("hour", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / HOUR))
+    sums = told.groupBy("hour").agg(F.sum("n").alias("all"))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # a row an hour
+    sums = sums.select("hour", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("at_hour"))
+    inside = Window.partitionBy("hour").orderBy("ts", "kind", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumn("inside", F.sum("n").over(inside)).join(sums, "hour")
+    return told.select("ts", "job_id", "kind", (F.col("at_hour") + F.col("inside")).alias("running"))
 
 
 def streaks(events: DataFrame, key: str, order: list[str], failed: Column, least: int = 3) -> DataFrame:
@@ -135,6 +261,17 @@ def streaks(events: DataFrame, key: str, order: list[str], failed: Column, least
     return runs.where(F.col("failures") >= least).drop("island")
 
 
+def alerts(events: DataFrame, key: str, order: list[str], failed: Column, least: int = FAILURES) -> DataFrame:
+    """A row for each failure that is the `least`-th in a row of its key, or a later one: key, ts, failures, message."""
+    w = Window.partitionBy(key).orderBy(*order)
+    told = events.withColumn("is_failed", failed)
+    told = told.withColumn("island", F.count_if(~F.col("is_failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(key, "island").orderBy(*order))
+    told = told.where("is_failed").withColumn("failures", place).where(F.col("failures") >= least)
+    message = F.concat(F.lit('[ALERT] Domain "'), F.col(key).cast("string"), F.lit('" failed '), F.col("failures"), F.lit(" crawls in a row"))
+    return told.select(key, order[0], "failures", message.alias("message"))
+
+
 def frontier(seeds: DataFrame, index: DataFrame) -> DataFrame:
     """URLs to crawl: seeds and unfinished URLs of the index, each once, without the completed ones."""
     unfinished = index.where("status IN ('pending', 'processing')").select("url")
@@ -147,6 +284,19 @@ def alerts_kept(alerts: DataFrame, cutoff: Column) -> DataFrame:
     return alerts.where(F.coalesce(F.col("timestamp").try_cast("timestamp") >= cutoff, F.lit(True)))
 
 
+def latest_date(records: DataFrame) -> DataFrame:
+    """The records of the latest crawl date; all of them where none has a date."""
+    latest = records.agg(F.max("crawl_date").alias("latest"))  # one row
+    return records.join(F.broadcast(latest), F.col("latest").isNull() | (F.col("crawl_date") == F.col("latest"))).drop("latest")
+
+
+def latest_file(files: DataFrame, suffix: str = ".md") -> DataFrame:
+    """Of each domain the first file of that kind in its latest report that has one: domain, crawl_date, name."""
+    found = files.where(F.col("name").endswith(suffix))
+    best = found.groupBy("domain").agg(F.min(F.struct(-F.unix_date("crawl_date"), "name", "crawl_date")).alias("b"))
+    return best.select("domain", "b.crawl_date", "b.name")
+
+
 def latest_reports(partitions: DataFrame) -> DataFrame:
     """Crawl dates of each domain (domain, crawl_date): the latest and how many."""
     return partitions.groupBy("domain").agg(F.max("crawl_date").alias("latest"), F.countDistinct("crawl_date").alias("crawls"))

@@ -9,7 +9,7 @@ from sitelume.functions import ids, urls
 from sitelume.functions import text as t
 from sitelume.operators import audit, dedup, issues, links
 
-from .fixtures import CTE, crawl, edges, recrawl, table
+from .fixtures import CTE, crawl, edges, recrawl, site_pages, table
 from .registry import Registry
 
 R = Registry()
@@ -33,35 +33,36 @@ def _issues_sql(column: str, low: int, high: int, pixels: int) -> str:
     CASE WHEN NOT {blank} AND g.pages > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS issue,
     CAST(length({value}) AS BIGINT) AS chars,
     CAST(CASE WHEN {value} = '' THEN 0 ELSE {_PIXELS.format(value)} END AS BIGINT) AS pixels, g.pages
-  FROM crawl c CROSS JOIN widths LEFT JOIN (SELECT {column} AS v, count(*) AS pages FROM crawl GROUP BY 1) g ON g.v = {value}
+  FROM html_crawl c CROSS JOIN widths LEFT JOIN (SELECT {column} AS v, count(*) AS pages FROM html_crawl GROUP BY 1) g ON g.v = {value}
 ) x""",
         _WIDTHS,
     ).replace("SELECT * FROM (", "SELECT url, issue, chars, pixels, CASE WHEN issue = 'duplicate' THEN pages - 1 END AS others FROM (")
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return crawl(spark, d)
-
-
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The crawl without PDF and other pages that are not HTML."""
-    kind = F.col("content_type")
-    return crawl(spark, d).where(issues.is_html(kind) & ~issues.is_pdf(F.col("url"), kind))
+    return issues.html_pages(crawl(spark, d))
 
 
 @R.query("title_issues", _issues_sql("title", *issues.TITLE_CHARS, t.TITLE_PIXELS))
 def title_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(_pages(spark, d), "title", issues.TITLE_CHARS, t.TITLE_PIXELS)
+    return issues.value_issues(html_pages(spark, d), "title", issues.TITLE_CHARS, t.TITLE_PIXELS)
 
 
 @R.query("meta_description_issues", _issues_sql("description", *issues.DESCRIPTION_CHARS, t.DESCRIPTION_PIXELS))
 def meta_description_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(_pages(spark, d), "description", issues.DESCRIPTION_CHARS, t.DESCRIPTION_PIXELS)
+    return issues.value_issues(html_pages(spark, d), "description", issues.DESCRIPTION_CHARS, t.DESCRIPTION_PIXELS)
 
 
-@R.query("h1_issues", _issues_sql("h1", 1, 100_000, 1_000_000))
+@R.query(
+    "h1_issues",
+    _sql("""SELECT url, CAST(NULL AS VARCHAR) AS h1, CASE WHEN len(h1s) = 0 THEN 'missing' ELSE 'multiple' END AS issue, CAST(NULL AS BIGINT) AS others
+  FROM html_crawl WHERE len(h1s) <> 1
+UNION ALL SELECT url, h1, CASE WHEN length(h1) < 10 THEN 'too_short' ELSE 'too_long' END, NULL FROM headed WHERE length(h1) NOT BETWEEN 10 AND 70
+UNION ALL SELECT url, h1, 'duplicate', (SELECT count(*) FROM headed o WHERE o.h1 = r.h1 AND o.url <> r.url) FROM headed r
+  WHERE (SELECT count(*) FROM headed o WHERE o.h1 = r.h1) > 1""", "headed AS (SELECT url, unnest(h1s) AS h1 FROM html_crawl)"),
+)
 def h1_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(_pages(spark, d), "h1", (1, 100_000), 1_000_000)
+    return issues.h1_issues(html_pages(spark, d))
 
 
 @R.query(
@@ -74,11 +75,11 @@ def title_pixel_width(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "duplicate_peers",
-    _sql("""SELECT title AS value, count(*) AS pages, min(url) AS first_url, max(url) AS last_url FROM crawl
+    _sql("""SELECT title AS value, count(*) AS pages, min(url) AS first_url, max(url) AS last_url FROM html_crawl
 WHERE regexp_replace(title, '\\s+', '', 'g') <> '' GROUP BY title HAVING count(*) > 1"""),
 )
 def duplicate_peers(spark: SparkSession, d: str) -> DataFrame:
-    return issues.peers(crawl(spark, d), "title")
+    return issues.peers(html_pages(spark, d), "title")
 
 
 @R.query(
@@ -89,7 +90,7 @@ FROM (SELECT url, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS
 )
 def heading_structure(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit("(?is)<h[1-6][^>]*>.*?</h[1-6]>"), F.lit(0))
-    rows = table(spark, d, "pages").select("url", F.posexplode(found).alias("pos", "h"))
+    rows = site_pages(spark, d).select("url", F.posexplode(found).alias("pos", "h"))
     return rows.select(
         "url",
         F.col("pos").cast("bigint").alias("pos"),
@@ -103,16 +104,16 @@ def word_count_metrics(spark: SparkSession, d: str) -> DataFrame:
     return crawl(spark, d).select("url", "words", F.ceil(F.col("words") / 200.0).cast("bigint").alias("minutes"))
 
 
-@R.query("thin_content", _sql("SELECT url, CAST(words AS BIGINT) AS words FROM crawl WHERE words > 0 AND words < 300"))
+@R.query("thin_content", _sql("SELECT url, CAST(words AS BIGINT) AS words FROM audit_crawl WHERE words > 0 AND words < 300"))
 def thin_content(spark: SparkSession, d: str) -> DataFrame:
-    return crawl(spark, d).where("words > 0 AND words < 300").select("url", "words")
+    return issues.audit_pages(crawl(spark, d)).where("words > 0 AND words < 300").select("url", "words")
 
 
 @R.query(
     "anchors_extract",
     _sql("""SELECT url, unnest(range(len(a))) AS pos, regexp_extract(unnest(a), 'href="([^"]*)"', 1) AS href,
   trim(regexp_replace(unnest(a), '<[^>]*>', '', 'g')) AS text
-FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS a FROM crawl)"""),
+FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS a FROM pages)"""),
 )
 def anchors_extract(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
@@ -175,11 +176,11 @@ def not_found_referrers(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "orphaned_pages",
-    _sql("""SELECT url, title FROM crawl c WHERE NOT regexp_matches(url, '^https?://[^/?#]*/?#?$')
+    _sql("""SELECT url, title FROM html_crawl c WHERE NOT regexp_matches(url, '^https?://[^/?#]*/?#?$')
 AND NOT EXISTS (SELECT 1 FROM edges e WHERE regexp_replace(e.href, '/$', '') = regexp_replace(c.url, '/$', ''))"""),
 )
 def orphaned_pages(spark: SparkSession, d: str) -> DataFrame:
-    return links.orphans(edges(spark, d), crawl(spark, d))
+    return links.orphans(edges(spark, d), html_pages(spark, d))
 
 
 @R.query(
@@ -234,22 +235,25 @@ def redirect_classification(spark: SparkSession, d: str) -> DataFrame:
     _sql("""SELECT url, array_to_string(gone, ',') AS missing FROM (SELECT url, list_filter([
   CASE WHEN coalesce(og_title, '') = '' THEN 'og_title' END, CASE WHEN coalesce(og_description, '') = '' THEN 'og_description' END,
   CASE WHEN coalesce(og_image, '') = '' THEN 'og_image' END, CASE WHEN coalesce(og_url, '') = '' THEN 'og_url' END],
-  lambda x: x IS NOT NULL) AS gone FROM crawl) WHERE len(gone) BETWEEN 1 AND 3"""),
+  lambda x: x IS NOT NULL) AS gone FROM html_crawl) WHERE len(gone) BETWEEN 1 AND 3"""),
 )
 def og_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return issues.open_graph(crawl(spark, d))
+    return issues.open_graph(html_pages(spark, d))
 
 
-@R.query("twitter_card_missing", _sql("SELECT url FROM crawl WHERE coalesce(twitter_card, '') = ''"))
+@R.query("twitter_card_missing", _sql("SELECT url FROM html_crawl WHERE coalesce(twitter_card, '') = ''"))
 def twitter_card_missing(spark: SparkSession, d: str) -> DataFrame:
-    return crawl(spark, d).where("coalesce(twitter_card, '') = ''").select("url")
+    return issues.twitter_card_missing(html_pages(spark, d))
 
 
-def analysis(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
-    pages = crawl(spark, d) if pages is None else pages
+def analysis(spark: SparkSession, d: str, with_links: bool = False) -> DataFrame:
+    """The audit's facts; links are counted only for what reads them."""
+    pages = issues.audit_pages(crawl(spark, d))
     blocks = F.when(F.col("jsonld").isNull(), F.array().cast("array<string>")).otherwise(F.array("jsonld"))
-    totals = links.link_totals(pages, edges(spark, d))
-    return audit.analyse(pages.withColumn("types", audit.jsonld_types(blocks)).join(totals, "url"))
+    pages = pages.withColumn("types", audit.jsonld_types(blocks))
+    if not with_links:
+        return audit.analyse(pages.withColumn("internal_links", F.lit(None).cast("bigint")))
+    return audit.analyse(pages.join(links.link_totals(pages, edges(spark, d)), "url"))
 
 
 _TYPE = """CASE WHEN list_has_any(types, ['Article', 'BlogPosting', 'NewsArticle']) THEN 'Article'
@@ -266,7 +270,7 @@ _ANALYSIS = f"""a AS (
     length(title) AS title_length, canonical IS NOT NULL AS has_canonical, coalesce(og_title, '') <> '' AS has_og_title,
     og_description <> '' AS has_og_description, coalesce(og_image, '') <> '' AS has_og_image,
     coalesce(twitter_card, '') <> '' AS has_twitter_card, coalesce(hreflang, 'x-default') <> 'x-default' AS has_hreflang
-  FROM (SELECT c.*, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, coalesce(l.n, 0) AS internal_links FROM crawl c
+  FROM (SELECT c.*, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, coalesce(l.n, 0) AS internal_links FROM audit_crawl c
     LEFT JOIN (SELECT src_url, count(*) AS n FROM edges GROUP BY src_url) l ON l.src_url = c.url)),
 found AS (
   SELECT url, list_filter([
@@ -296,14 +300,15 @@ def page_type_histogram(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "page_analysis",
     _audit_sql("""SELECT url, page_type, indexable, has_canonical, has_description, CAST(description_length AS BIGINT) AS description_length,
-  CAST(title_length AS BIGINT) AS title_length, has_hreflang, array_to_string(types, ',') AS types, CAST(words AS BIGINT) AS words,
+  CAST(title_length AS BIGINT) AS title_length, has_hreflang,
+  CAST(CASE WHEN hreflang IS NULL THEN 0 ELSE 1 END AS BIGINT) AS hreflang_count, canonical AS canonical_url, array_to_string(types, ',') AS types, CAST(words AS BIGINT) AS words,
   internal_links, array_to_string(issues, ',') AS issues FROM a JOIN found USING (url)"""),
 )
 def page_analysis(spark: SparkSession, d: str) -> DataFrame:
     codes = F.transform("issues", lambda i: F.concat(i["severity"], F.lit(":"), i["code"]))
-    return analysis(spark, d).select(
+    return analysis(spark, d, with_links=True).select(
         "url", "page_type", "indexable", "has_canonical", "has_description", "description_length", "title_length",
-        "has_hreflang", F.array_join("types", ",").alias("types"), "words", "internal_links",
+        "has_hreflang", "hreflang_count", "canonical_url", F.array_join("types", ",").alias("types"), "words", "internal_links",
         F.array_join(codes, ",").alias("issues"),
     )
 
@@ -317,7 +322,7 @@ def page_analysis(spark: SparkSession, d: str) -> DataFrame:
   CAST(sum(len(list_filter(issues, lambda i: starts_with(i, 'warning')))) AS BIGINT) AS warnings FROM a JOIN found USING (url)"""),
 )
 def executive_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.executive_summary(analysis(spark, d))
+    return audit.executive_summary(analysis(spark, d, with_links=True))
 
 
 @R.query(
@@ -326,7 +331,7 @@ def executive_summary(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT unnest(issues) AS i FROM found) GROUP BY i"""),
 )
 def issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.issue_counts(analysis(spark, d))
+    return audit.issue_counts(analysis(spark, d, with_links=True))
 
 
 @R.query(
@@ -361,7 +366,12 @@ def jsonld_missing(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "schema_coverage",
     _audit_sql("""SELECT page_type, count(*) AS pages, count(*) FILTER (len(types) > 0) AS with_schema,
-  array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') AS types FROM a GROUP BY page_type"""),
+  array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') AS types,
+  CASE WHEN page_type = 'Homepage' AND NOT contains(array_to_string(flatten(list(types)), ' '), 'Organization') THEN 'Organization, WebSite'
+    WHEN page_type = 'Branch/Contact' AND NOT contains(array_to_string(flatten(list(types)), ' '), 'LocalBusiness') THEN 'LocalBusiness'
+    WHEN page_type = 'Service' AND NOT contains(array_to_string(flatten(list(types)), ' '), 'Service') THEN 'Service'
+    WHEN page_type = 'FAQ' AND NOT contains(array_to_string(flatten(list(types)), ' '), 'FAQPage') THEN 'FAQPage' ELSE '' END AS missing
+  FROM a GROUP BY page_type"""),
 )
 def schema_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.schema_coverage(analysis(spark, d))
@@ -412,7 +422,7 @@ def content_depth(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'verify_canonical', 0, true) x WHERE wanted"""),
 )
 def roadmap_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return audit.roadmap(analysis(spark, d))
+    return audit.roadmap(analysis(spark, d, with_links=True))
 
 
 @R.query(
@@ -456,29 +466,46 @@ def path_segment_topk(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("segment").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "segment").limit(25)
 
 
+# Hrefs and what they count as on www.example.com, with the blog and two paths of it excluded. A domain that an excluded one
+# is part of is excluded too.
+_HREFS = (
+    ("https://www.example.com/a", "internal"), ("https://EXAMPLE.com", "external"), ("https://WWW.EXAMPLE.com", "internal"), ("http://shop.example.com:8080/x?y", "internal"),
+    ("https://com/", "external"), ("https://blog.example.com/post", "external"), ("https://www.blog.example.com/", "external"),
+    ("https://www.example.com/private/x", "external"), ("https://www.example.com/a/../private", "external"), ("https://www.example.com/tmpfile", "external"),
+    ("https://notexample.com/", "external"), ("ftp://www.example.com/f", "internal"), ("mailto:a@example.com", "external"),
+    ("tel:+420", "external"), ("javascript:void(0)", "external"), ("/relative", "internal"), ("invalid-url", "internal"), ("", "internal"),
+    ("http://exa mple.com/", "internal"), ("http://[bad", "internal"), ("https://", "internal"), ("http://[::1]/", "external"),
+    ("https://ex\u00e4mple.com/", "external"), ("https://example.com:99999/", "internal"),
+)
+
+
 @R.query(
     "categorize_links",
-    _sql("""SELECT e.src_url, e.pos, CASE WHEN h = b OR h LIKE '%.' || b OR b LIKE '%.' || h THEN 'internal' ELSE 'external' END AS kind FROM
-(SELECT *, regexp_replace(regexp_extract(href, '//([^/?#:]*)', 1), '^www\\.', '') AS h, 'example.com' AS b FROM edges) e"""),
+    "SELECT p.url AS src_url, h.href, h.kind FROM pages p JOIN (VALUES "
+    + ", ".join(f"({k}, '{href}', '{kind}')" for k, (href, kind) in enumerate(_HREFS))
+    + f") AS h(n, href, kind) ON h.n = p.page_id % {len(_HREFS)}",
 )
 def categorize_links(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).select("src_url", "pos", urls.categorize(F.col("href"), ["www.example.com"]).alias("kind"))
+    href = F.element_at(F.array(*[F.lit(h) for h, _ in _HREFS]), (F.col("page_id") % len(_HREFS) + 1).cast("int"))
+    told = table(spark, d, "pages").select(F.col("url").alias("src_url"), href.alias("href"))
+    kind = urls.categorize(F.col("href"), ["www.example.com"], ["blog.example.com"], ["/private", "/tmp"])
+    return told.select("src_url", "href", kind.alias("kind"))
 
 
 @R.query(
     "fix_candidates",
     _sql(f"""SELECT url, language, array_to_string(ti, ',') AS title_issues, array_to_string(di, ',') AS description_issues FROM (
   SELECT url, CASE WHEN starts_with(lower(coalesce(lang, '')), 'cs') THEN 'cs' WHEN starts_with(lower(coalesce(lang, '')), 'en') THEN 'en'
-      WHEN contains(url, '/cs/') THEN 'cs' ELSE 'en' END AS language,
+      WHEN regexp_matches(url, '^https?://[^/]*/cs/') OR url LIKE '%/cs/' THEN 'cs' ELSE 'en' END AS language,
     list_filter([CASE WHEN title = '' THEN 'missing' WHEN length(title) < 30 THEN 'too_short' WHEN length(title) > 60 THEN 'too_long' END,
       CASE WHEN title <> '' AND {_PIXELS.format('title')} > 579 THEN 'pixel_too_long' END], lambda x: x IS NOT NULL) AS ti,
     list_filter([CASE WHEN trim(coalesce(description, '')) = '' THEN 'missing' WHEN length(description) < 70 THEN 'too_short'
       WHEN length(description) > 160 THEN 'too_long' END,
       CASE WHEN coalesce(description, '') <> '' AND {_PIXELS.format('description')} > 919 THEN 'pixel_too_long' END], lambda x: x IS NOT NULL) AS di
-  FROM crawl, widths) WHERE len(ti) > 0 OR len(di) > 0""", _WIDTHS),
+  FROM html_crawl, widths) WHERE len(ti) > 0 OR len(di) > 0""", _WIDTHS),
 )
 def fix_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return issues.fix_candidates(crawl(spark, d))
+    return issues.fix_candidates(html_pages(spark, d))
 
 
 @R.query(
@@ -489,92 +516,138 @@ def url_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("url", ids.url_id(F.col("url"), F.col("page_id").cast("string")).alias("url_id"))
 
 
-@R.query("content_ids")
+@R.query(
+    "content_ids",
+    _sql("""SELECT url, substr(sha256('{"content":' || to_json(trim(text)) || ',"timestamp":"' || page_id || '","contentLength":' || length(text) || '}'), 1, 16) AS content_id,
+  substr(sha256('{"url":' || to_json(url) || ',"status":' || status || ',"timestamp":"' || page_id || '","headers":{"content-type":'
+    || coalesce(CAST(to_json(content_type) AS VARCHAR), 'null') || ',"last-modified":null,"etag":' || CASE WHEN page_id % 3 = 0 THEN '"e' || page_id || '"' ELSE 'null' END || '}}'), 1, 16) AS response_id
+FROM crawl"""),
+)
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
-    pages = crawl(spark, d)
     stamp = F.col("page_id").cast("string")
-    return pages.select(
+    etag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("e"), stamp))
+    return crawl(spark, d).select(
         "url",
         ids.content_id(F.col("text"), stamp).alias("content_id"),
-        ids.response_id(F.col("url"), F.col("status"), stamp, F.col("content_type"), F.lit(None), F.lit(None)).alias("response_id"),
+        ids.response_id(F.col("url"), F.col("status"), stamp, F.col("content_type"), F.lit(None), etag).alias("response_id"),
     )
 
 
-# --- HTML pages only -------------------------------------------------------------
+# --- the same queries by the names they had when only these left other pages out --
 
-_HTML = """html_crawl AS (SELECT * FROM crawl WHERE (coalesce(content_type, '') = '' OR contains(lower(content_type), 'text/html')
-  OR contains(lower(content_type), 'application/xhtml')) AND NOT ends_with(lower(url), '.pdf')
-  AND NOT contains(lower(coalesce(content_type, '')), 'application/pdf')), """
+for _name, _query in (
+    ("title_issues", title_issues), ("meta_description_issues", meta_description_issues), ("h1_issues", h1_issues),
+    ("thin_content", thin_content), ("executive_summary", executive_summary), ("issue_counts", issue_counts),
+    ("meta_coverage_matrix", meta_coverage_matrix),
+):
+    R.query(f"html_{_name}", R.oracle[_name])(_query)
 
 
-def _html_sql(name: str) -> str:
-    """The SQL of a registered query, over the HTML pages of the crawl."""
-    own = R.oracle[name].removeprefix("WITH " + CTE)
-    own = own.removeprefix(", ").replace("FROM crawl", "FROM html_crawl")
-    return "WITH " + CTE + ", " + (_HTML if own[:1] != "\n" else _HTML.rstrip(", ")) + own
+# --- members of the counted groups -----------------------------------------------
 
 
-@R.query("html_title_issues", _html_sql("title_issues"))
-def html_title_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(html_pages(spark, d), "title", issues.TITLE_CHARS, t.TITLE_PIXELS)
+@R.query(
+    "not_found_referrer_rows",
+    _sql("SELECT c.url, e.src_url AS referrer FROM crawl c LEFT JOIN edges e ON e.href = c.url AND e.src_url <> c.url WHERE c.status = 404"),
+)
+def not_found_referrer_rows(spark: SparkSession, d: str) -> DataFrame:
+    return links.referrers(edges(spark, d), crawl(spark, d))
 
 
-@R.query("html_meta_description_issues", _html_sql("meta_description_issues"))
-def html_meta_description_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(html_pages(spark, d), "description", issues.DESCRIPTION_CHARS, t.DESCRIPTION_PIXELS)
+def _duplicates_sql(column: str) -> str:
+    return _sql(f"""SELECT {column} AS value, url FROM html_crawl WHERE regexp_replace({column}, '\\s+', '', 'g') <> ''
+AND {column} IN (SELECT {column} FROM html_crawl GROUP BY 1 HAVING count(*) > 1)""")
 
 
-@R.query("html_h1_issues", _html_sql("h1_issues"))
-def html_h1_issues(spark: SparkSession, d: str) -> DataFrame:
-    return issues.value_issues(html_pages(spark, d), "h1", (1, 100_000), 1_000_000)
+@R.query("duplicate_title_pages", _duplicates_sql("title"))
+def duplicate_title_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(html_pages(spark, d), "title")
 
 
-@R.query("html_thin_content", _html_sql("thin_content"))
-def html_thin_content(spark: SparkSession, d: str) -> DataFrame:
-    return html_pages(spark, d).where("words > 0 AND words < 300").select("url", "words")
+@R.query("duplicate_description_pages", _duplicates_sql("description"))
+def duplicate_description_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(html_pages(spark, d), "description")
+
+
+@R.query("duplicate_h1_pages", _duplicates_sql("h1"))
+def duplicate_h1_pages(spark: SparkSession, d: str) -> DataFrame:
+    return issues.duplicates(html_pages(spark, d), "h1")
 
 
-@R.query("html_executive_summary", _html_sql("executive_summary"))
-def html_executive_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.executive_summary(analysis(spark, d, html_pages(spark, d)))
+@R.query("inbound_links", _sql(f"SELECT href, src_url, pos, rel, {_FOLLOW} AS is_dofollow FROM edges WHERE href <> ''"))
+def inbound_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.inbound_links(edges(spark, d))
 
 
-@R.query("html_issue_counts", _html_sql("issue_counts"))
-def html_issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.issue_counts(analysis(spark, d, html_pages(spark, d)))
+@R.query(
+    "broken_backlinks",
+    _sql("SELECT c.url, c.status, e.src_url AS found_on FROM crawl c LEFT JOIN edges e ON e.href = c.url WHERE c.status <> 200"),
+)
+def broken_backlinks(spark: SparkSession, d: str) -> DataFrame:
+    return links.backlinks(edges(spark, d), crawl(spark, d))
 
 
-@R.query("html_meta_coverage_matrix", _html_sql("meta_coverage_matrix"))
-def html_meta_coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return audit.meta_coverage(analysis(spark, d, html_pages(spark, d)))
+@R.query(
+    "not_found_samples",
+    _sql("""SELECT c.url, count(e.src_url) AS referrers, min(e.src_url) AS first_referrer,
+  CASE WHEN count(e.src_url) = 0 THEN 'seeded_or_sitemap' ELSE 'linked' END AS origin,
+  array_to_string(list_sort(list_distinct(list(e.src_url) FILTER (e.src_url IS NOT NULL)))[1:3], ' | ') AS sample
+FROM crawl c LEFT JOIN edges e ON e.href = c.url AND e.src_url <> c.url WHERE c.status = 404 GROUP BY c.url"""),
+)
+def not_found_samples(spark: SparkSession, d: str) -> DataFrame:
+    return links.not_found_report(edges(spark, d), crawl(spark, d)).withColumn("sample", F.array_join("sample", " | "))
 
 
-# --- members of the counted groups -----------------------------------------------
+@R.query(
+    "jsonld_type_occurrences",
+    _sql("""SELECT type, count(*) AS occurrences FROM (SELECT unnest(CASE WHEN page_id % 8 = 7 THEN ['WebSite', 'Organization'] ELSE types END) AS type FROM html_crawl) GROUP BY type"""),
+)
+def jsonld_type_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    pages = html_pages(spark, d).withColumn("blocks", F.array("jsonld")).where("jsonld IS NOT NULL")
+    return audit.type_occurrences(pages)
 
 
 @R.query(
-    "not_found_referrer_rows",
-    _sql("SELECT c.url, e.src_url AS referrer FROM crawl c LEFT JOIN edges e ON e.href = c.url AND e.src_url <> c.url WHERE c.status = 404"),
+    "jsonld_issues",
+    _sql("SELECT url, CASE WHEN page_id % 8 = 0 THEN 'missing' ELSE 'no_type' END AS issue FROM html_crawl WHERE page_id % 8 = 0 OR page_id % 10 = 3"),
 )
-def not_found_referrer_rows(spark: SparkSession, d: str) -> DataFrame:
-    return links.referrers(edges(spark, d), crawl(spark, d))
+def jsonld_issues(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.when(F.col("page_id") % 10 == 3, F.array(F.lit('{"name":"no type"}'), F.lit("{bad"))).otherwise(F.array("jsonld"))
+    none = F.array().cast("array<string>")
+    return audit.jsonld_issues(html_pages(spark, d).withColumn("blocks", F.when(F.col("page_id") % 8 == 0, none).otherwise(plain)))
 
 
-def _duplicates_sql(column: str) -> str:
-    return _sql(f"""SELECT {column} AS value, url FROM crawl WHERE regexp_replace({column}, '\\s+', '', 'g') <> ''
-AND {column} IN (SELECT {column} FROM crawl GROUP BY 1 HAVING count(*) > 1)""")
+@R.query("pdf_files", _sql("SELECT url, status FROM crawl WHERE lower(url) LIKE '%.pdf' OR lower(content_type) LIKE '%application/pdf%'"))
+def pdf_files(spark: SparkSession, d: str) -> DataFrame:
+    return issues.pdf_pages(crawl(spark, d)).select("url", "status")
 
 
-@R.query("duplicate_title_pages", _duplicates_sql("title"))
-def duplicate_title_pages(spark: SparkSession, d: str) -> DataFrame:
-    return issues.duplicates(crawl(spark, d), "title")
+@R.query(
+    "priority_pages",
+    _audit_sql("SELECT url, array_to_string(types, ', ') AS types FROM a WHERE len(types) > 0 ORDER BY url LIMIT 10"),
+)
+def priority_pages(spark: SparkSession, d: str) -> DataFrame:
+    return audit.priority_pages(analysis(spark, d))
 
 
-@R.query("duplicate_description_pages", _duplicates_sql("description"))
-def duplicate_description_pages(spark: SparkSession, d: str) -> DataFrame:
-    return issues.duplicates(crawl(spark, d), "description")
+@R.query(
+    "response_classes",
+    _sql("""SELECT CASE status WHEN 404 THEN 'not_found' WHEN 500 THEN 'error' ELSE 'complete' END AS class, count(*) AS pages FROM crawl GROUP BY 1"""),
+)
+def response_classes(spark: SparkSession, d: str) -> DataFrame:
+    return crawl(spark, d).groupBy(issues.response_class(F.col("status")).alias("class")).agg(F.count("*").alias("pages"))
 
 
-@R.query("duplicate_h1_pages", _duplicates_sql("h1"))
-def duplicate_h1_pages(spark: SparkSession, d: str) -> DataFrame:
-    return issues.duplicates(crawl(spark, d), "h1")
+@R.query(
+    "fix_contexts",
+    _sql("""SELECT c.url, coalesce(g.heads, '') AS headings, substr(c.text, 1, 1500) AS excerpt FROM html_crawl c LEFT JOIN (
+  SELECT url, string_agg(trim(regexp_replace(h, '<[^>]*>', '', 'g')), ' | ' ORDER BY n) AS heads FROM (
+    SELECT url, unnest(hs) AS h, unnest(range(len(hs))) AS n FROM (SELECT url, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS hs FROM html_crawl))
+  WHERE regexp_matches(h, '^<[hH][12]') GROUP BY url) g USING (url)"""),
+)
+def fix_contexts(spark: SparkSession, d: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit("(?is)<h[1-6][^>]*>.*?</h[1-6]>"), F.lit(0))
+    headings = F.transform(found, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.trim(t.strip_tags(h)).alias("text")))
+    told = html_pages(spark, d).withColumn("headings", headings)
+    high, excerpt = issues.fix_context(F.col("headings"), F.col("text"))
+    return told.select("url", F.array_join(high, " | ").alias("headings"), excerpt.alias("excerpt"))

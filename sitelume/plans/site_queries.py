@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sitelume.functions import text as t
 from sitelume.functions import urls
-from sitelume.operators import hrefs, keywords, llm_text, probes, robots, sitemaps, state
+from sitelume.operators import hrefs, issues, keywords, llm_text, probes, robots, sitemaps, state
 
-from .fixtures import CTE, crawl, edges, recrawl, table
+from .fixtures import CTE, crawl, edges, recrawl, site_pages, table
 from .registry import Registry
 
 R = Registry()
@@ -66,17 +66,29 @@ def multi_sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return sitemaps.in_several(sitemaps.entries(_sitemaps(spark, d)))
 
 
+_ODD_MAPS = (
+    ("https://s.example/open.xml", "<urlset><url><loc>a</loc><lastmod>2024-01-01</lastmod></url>", False, 1, 0, 0),
+    ("https://s.example/none.xml", "<html></html>", False, 0, 0, 0),
+    ("https://s.example/index.xml", '<sitemapindex xmlns="x"><sitemap><loc>b</loc></sitemap></sitemapindex>', True, 0, 0, 0),
+    ("https://s.example/half.xml", "<sitemapindex ><sitemap><loc>b</loc></sitemap><urlset></urlset>", False, 0, 0, 0),
+)
+
+
 @R.query(
     "sitemap_validation",
     f"""WITH {_MAPS} SELECT sitemap_url, true AS balanced, count(*) AS urls, count(*) FILTER (lastmod = 'soon') AS bad_lastmod,
-  count(*) FILTER (lastmod = '2099-01-01') AS future_lastmod FROM maps GROUP BY sitemap_url""",
+  count(*) FILTER (lastmod = '2099-01-01') AS future_lastmod FROM maps GROUP BY sitemap_url UNION ALL VALUES """
+    + ", ".join(f"('{u}', {ok}, {n}, {bad}, {late})" for u, _, ok, n, bad, late in _ODD_MAPS),
 )
 def sitemap_validation(spark: SparkSession, d: str) -> DataFrame:
-    return sitemaps.validate(_sitemaps(spark, d), _now())
+    odd = spark.createDataFrame([m[:2] for m in _ODD_MAPS], "sitemap_url string, xml string")
+    return sitemaps.validate(_sitemaps(spark, d).unionByName(odd), _now())
 
 
-_DIFF = """cur AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN '2024-02-20' ELSE '2024-01-05' END AS lastmod FROM pages WHERE page_id % 5 <> 0),
-old AS (SELECT url, '2024-02-01' AS lastmod FROM pages WHERE page_id % 4 <> 0),
+# Dates are written in two ways, and some URLs stand twice in a list.
+_DIFF = """cur AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-02-20 00:00:00' WHEN page_id % 3 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' END AS lastmod
+  FROM pages WHERE page_id % 5 <> 0),
+old AS (SELECT url, TIMESTAMP '2024-02-01 00:00:00' AS lastmod FROM pages WHERE page_id % 4 <> 0),
 idx AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-02-25 00:00:00' ELSE TIMESTAMP '2024-01-10 00:00:00' END AS crawled_at
   FROM pages WHERE page_id % 8 < 6),
@@ -90,13 +102,17 @@ diff AS (
 def _diff(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
     k = F.col("page_id")
-    current = pages.where(k % 5 != 0).select("url", F.when(k % 3 == 0, "2024-02-20").otherwise("2024-01-05").alias("lastmod"))
+    written = F.when(k % 3 == 0, "2024-02-20").when(k % 3 == 1, "2024-02-01T02:00:00+02:00")
+    current = pages.where(k % 5 != 0).select("url", written.alias("lastmod"))
+    again = pages.where((k % 5 != 0) & (k % 6 == 0)).select("url", F.lit("2023-05-05").alias("lastmod"))
     previous = pages.where(k % 4 != 0).select("url", F.lit("2024-02-01").alias("lastmod"))
+    previous = previous.unionByName(previous.withColumn("lastmod", F.lit("2024-01-31T23:00:00Z")))
     at = F.when(k % 2 == 0, "2024-02-25").otherwise("2024-01-10").cast("timestamp")
     index = pages.where(k % 8 < 6).select(
         "url", F.when(k % 7 == 0, "failed").otherwise("completed").alias("status"), at.alias("crawled_at")
     )
-    return sitemaps.difference(current, previous, index, _now())
+    earlier = index.where("length(url) % 2 = 0").select("url", F.lit("pending").alias("status"), F.lit("2023-01-01").cast("timestamp").alias("crawled_at"))
+    return sitemaps.difference(current.unionByName(again), previous, index.unionByName(earlier), _now())
 
 
 @R.query("sitemap_diff", f"WITH {_DIFF} SELECT url, class FROM diff")
@@ -159,7 +175,7 @@ def robots_filter(spark: SparkSession, d: str) -> DataFrame:
 # --- anchors ---------------------------------------------------------------------
 
 _ANCHORS = """tagged AS (SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN '<a href="">Empty</a>' WHEN 1 THEN '<a class="x  y" id="k">No</a>'
-  WHEN 2 THEN '<a href="#">Top &amp; up</a>' WHEN 3 THEN '<a href="javascript:void(0)">Run</a>' WHEN 4 THEN '<a href=/ok>ok</a>'
+  WHEN 2 THEN '<a href="#">Top  &amp; ' || chr(10) || '<b data-note="' || repeat('n', 220) || '">up</b></a>' WHEN 3 THEN '<a href="javascript:void(0)">Run</a>' WHEN 4 THEN '<a href=/ok>ok</a>'
   ELSE '<a href>bare</a>' END AS html FROM pages)"""
 _CATEGORY = "CASE page_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'missing' WHEN 2 THEN 'hash' WHEN 3 THEN 'javascript' WHEN 5 THEN 'empty' END"
 
@@ -170,7 +186,7 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
             *[
                 F.lit(x)
                 for x in (
-                    '<a href="">Empty</a>', '<a class="x  y" id="k">No</a>', '<a href="#">Top &amp; up</a>',
+                    '<a href="">Empty</a>', '<a class="x  y" id="k">No</a>', '<a href="#">Top  &amp; \n<b data-note="' + "n" * 220 + '">up</b></a>',
                     '<a href="javascript:void(0)">Run</a>', "<a href=/ok>ok</a>", "<a href>bare</a>",
                 )
             ]
@@ -182,11 +198,12 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "empty_href_findings",
-    f"""SELECT url, {_CATEGORY} AS category, CASE page_id % 6 WHEN 0 THEN 'Empty' WHEN 1 THEN 'No' WHEN 2 THEN 'Top & up' WHEN 3 THEN 'Run' ELSE 'bare' END AS text,
-  CASE page_id % 6 WHEN 1 THEN '#k .x.y' ELSE '(no id/class)' END AS locator FROM pages WHERE page_id % 6 <> 4""",
+    f"""WITH {_ANCHORS} SELECT url, {_CATEGORY} AS category, CASE page_id % 6 WHEN 0 THEN 'Empty' WHEN 1 THEN 'No' WHEN 2 THEN 'Top & up' WHEN 3 THEN 'Run' ELSE 'bare' END AS text,
+  CASE page_id % 6 WHEN 1 THEN '#k .x.y' ELSE '(no id/class)' END AS locator, CASE WHEN length(one) > 200 THEN substr(one, 1, 200) || '…' ELSE one END AS snippet
+FROM (SELECT *, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS one FROM tagged) WHERE page_id % 6 <> 4""",
 )
 def empty_href_findings(spark: SparkSession, d: str) -> DataFrame:
-    return _findings(spark, d).select("url", "category", "text", "locator")
+    return _findings(spark, d).select("url", "category", "text", "locator", "snippet")
 
 
 @R.query(
@@ -212,23 +229,23 @@ def srcset_urls(spark: SparkSession, d: str) -> DataFrame:
 
 _PROBES = """tgt AS (
   SELECT href AS url, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT src_url) AS referrers, min(src_url) AS first_referrer
-  FROM (SELECT src_url, href, CASE pos WHEN 0 THEN 'internal' WHEN 1 THEN 'external' ELSE 'image' END AS kind FROM edges) GROUP BY href),
+  FROM (SELECT src_url, href, CASE pos WHEN 0 THEN 'internal-link' WHEN 1 THEN 'external-link' ELSE 'image' END AS kind FROM edges) GROUP BY href),
 prb AS (
   SELECT url, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN NULL WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS status,
-    CASE WHEN page_id % 17 <> 0 AND page_id % 23 = 0 THEN 'ETIMEDOUT: slow' END AS error FROM pages)"""
+    CASE WHEN page_id % 17 <> 0 AND page_id % 23 = 0 THEN 'socket hang up: slow' END AS error FROM site)"""
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).select("src_url", F.col("href").alias("url"), "pos")
-    return probes.targets(*[(kind, e.where(F.col("pos") == k)) for k, kind in enumerate(("internal", "external", "image"))])
+    return probes.targets(*[(kind, e.where(F.col("pos") == k)) for k, kind in enumerate(("internal-link", "external-link", "image"))])
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
     """HEAD and, where refused, GET attempts, resolved."""
-    pages = table(spark, d, "pages").select("page_id", "url")
+    pages = site_pages(spark, d).select("page_id", "url")
     k = F.col("page_id")
     status = F.when(k % 17 == 0, 404).when(k % 23 == 0, None).when(k % 19 == 0, 403).otherwise(F.when(k % 3 == 0, 405).otherwise(200))
-    error = F.when((k % 17 != 0) & (k % 23 == 0), "ETIMEDOUT: slow")
+    error = F.when((k % 17 != 0) & (k % 23 == 0), "socket hang up: slow")
     head = pages.select("url", F.lit("HEAD").alias("method"), status.alias("status"), error.alias("error"))
     again = F.when(k % 23 == 0, None).when(k % 19 == 0, 403).otherwise(200)
     get = pages.where((k % 17 != 0) & ((k % 23 == 0) | (k % 19 == 0) | (k % 3 == 0)))
@@ -241,13 +258,48 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
     return _targets(spark, d)
 
 
+_BROKEN = """brk AS (SELECT url, status, referrers, contains(kinds, 'internal-link') AND inside AS is_internal_link, contains(kinds, 'image') AS is_image,
+  NOT inside AND NOT contains(kinds, 'image') AS is_external
+FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '//([^/?#:]*)', 1)), '^www\\.', '') = 'site3.example' AS inside FROM tgt JOIN prb USING (url))
+WHERE status IS NULL OR status >= 400)"""
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    return probes.broken(_targets(spark, d), _probes(spark, d), "site3.example")
+
+
+@R.query("broken_targets", _sql("SELECT * FROM brk", _PROBES, _BROKEN))
+def broken_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d)
+
+
 @R.query(
-    "broken_targets",
-    _sql("""SELECT url, status, referrers, CASE WHEN contains(kinds, 'image') THEN 'image' WHEN contains(kinds, 'internal') THEN 'internal' ELSE 'external' END AS target
-FROM tgt JOIN prb USING (url) WHERE status IS NULL OR status >= 400""", _PROBES),
+    "broken_summary",
+    _sql("""SELECT count(*) AS broken, count(*) FILTER (is_internal_link) AS internal_links, count(*) FILTER (is_image) AS images,
+  count(*) FILTER (is_external) AS externals FROM brk""", _PROBES, _BROKEN),
 )
-def broken_targets(spark: SparkSession, d: str) -> DataFrame:
-    return probes.broken(_targets(spark, d), _probes(spark, d))
+def broken_summary(spark: SparkSession, d: str) -> DataFrame:
+    return probes.broken_summary(_broken(spark, d))
+
+
+@R.query("link_target_rows", _sql("SELECT href AS url, CASE pos WHEN 0 THEN 'internal-link' WHEN 1 THEN 'external-link' ELSE 'image' END AS kind, src_url FROM edges"))
+def link_target_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d).select("src_url", F.col("href").alias("url"), "pos")
+    return probes.target_rows(*[(kind, e.where(F.col("pos") == k)) for k, kind in enumerate(("internal-link", "external-link", "image"))])
+
+
+@R.query(
+    "reverified_probes",
+    _sql("""SELECT url, CASE WHEN status IS NULL AND again THEN 200 ELSE status END AS status,
+  CASE WHEN status IS NULL AND again THEN 'GET(reverify)' ELSE method END AS method,
+  CASE WHEN NOT (status IS NULL AND again) THEN error END AS error, status IS NULL AND again AS is_reverified
+FROM (SELECT url, status, error, length(url) % 2 = 0 AS again, CASE WHEN page_id % 17 <> 0 AND (page_id % 19 = 0 OR page_id % 3 = 0) AND page_id % 23 <> 0
+    AND (page_id % 19 <> 0 OR status = 403) THEN 'GET' ELSE 'HEAD' END AS method FROM prb JOIN site USING (url))""", _PROBES),
+)
+def reverified_probes(spark: SparkSession, d: str) -> DataFrame:
+    first = _probes(spark, d)
+    again = first.where("length(url) % 2 = 0").select("url", F.lit(200).alias("status"), F.lit("GET").alias("method"))
+    return probes.reverify(first, again)
 
 
 @R.query(
@@ -260,13 +312,19 @@ def probe_status_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "only_status_foldin",
-    "SELECT url, CASE WHEN page_id % 2 = 0 THEN 503 END AS status FROM pages WHERE page_id % 5 = 0 AND page_id % 3 <> 0",
+    """SELECT url, 503 AS status, min(method) AS method FROM (
+  SELECT url, 'probe' AS method FROM site WHERE page_id % 3 = 0 AND page_id % 4 = 1
+  UNION ALL SELECT regexp_replace(url, '#.*$', ''), 'crawl-record' FROM site s WHERE page_id % 5 = 0 AND page_id % 2 = 0
+    AND regexp_replace(url, '#.*$', '') NOT IN (SELECT url FROM site WHERE page_id % 3 = 0 AND page_id % 4 = 1)) GROUP BY url""".join(["WITH " + CTE + "\n", ""]),
 )
 def only_status_foldin(spark: SparkSession, d: str) -> DataFrame:
-    pages, k = table(spark, d, "pages").select("page_id", "url"), F.col("page_id")
-    error = F.when(k % 2 == 0, "Request failed: received 503 status code").otherwise("Timed out")
-    index = pages.select("url", F.when(k % 5 == 0, "failed").otherwise("completed").alias("status"), error.alias("error"))
-    return probes.fold_in(pages.where(k % 3 == 0), index)
+    pages, k = site_pages(spark, d).select("page_id", "url"), F.col("page_id")
+    code = F.when(k % 2 == 0, "503").otherwise("404")
+    error = F.when(k % 7 == 0, "Timed out").otherwise(F.concat(F.lit("Request failed: received "), code, F.lit(" status code")))
+    error = F.when((k % 7 == 0) & (k % 2 == 0), "received 503 status code").otherwise(error)
+    index = pages.where(k % 5 == 0).select("url", error.alias("error"))
+    reported = pages.where(k % 3 == 0).select("url", F.when(k % 4 == 1, 503).when(k % 4 == 2, 404).otherwise(F.lit(None)).alias("status"))
+    return probes.fold_in(reported, index.unionByName(index), 503, "site.example")
 
 
 # --- events: URL state, limits, streaks ------------------------------------------
@@ -304,9 +362,10 @@ def retry_urls(spark: SparkSession, d: str) -> DataFrame:
     return state.retryable(state.fold_url_state(_status_events(spark, d)), 20)
 
 
-@R.query("search_urls", f"WITH {_EVENTS} SELECT url, status FROM idx WHERE contains(lower(url), '/1') OR contains(status, '/1')")
+@R.query("search_urls", f"WITH {_EVENTS} SELECT url, status FROM idx WHERE contains(lower(url), '/1') OR contains(status, '/1') OR url LIKE '%7'")
 def search_urls(spark: SparkSession, d: str) -> DataFrame:
-    return state.search(state.fold_url_state(_status_events(spark, d)), "/1").select("url", "status")
+    domain = F.when(F.col("url").endswith("7"), "Odd/1.example")
+    return state.search(state.fold_url_state(_status_events(spark, d)).withColumn("domain", domain), "/1").select("url", "status")
 
 
 @R.query(
@@ -321,10 +380,11 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "rate_limit_windows",
     """SELECT event_id, count(*) OVER (ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS n_1h,
-  count(*) OVER (ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 18000000 PRECEDING AND CURRENT ROW) AS n_5h FROM events""",
+  count(*) OVER (ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 18000000 PRECEDING AND CURRENT ROW) AS n_5h,
+  min(epoch_us(ts) // 1000) OVER (ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 18000000 PRECEDING AND CURRENT ROW) AS oldest_5h FROM events""",
 )
 def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
-    return state.trailing_counts(table(spark, d, "events"), [1, 5]).select("event_id", "n_1h", "n_5h")
+    return state.trailing_counts(table(spark, d, "events"), [1, 5]).select("event_id", "n_1h", "n_5h", "oldest_5h")
 
 
 @R.query(
@@ -332,7 +392,7 @@ def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
     """SELECT m AS max_requests, h AS window_hours, n AS current, greatest(0, m - n) AS remaining, n >= m AS is_blocked,
   coalesce(o + h * 3600000, now) AS next_reset_ms FROM (
   SELECT r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o
-  FROM (SELECT (epoch_us(ts) // 1000) AS ms, max((epoch_us(ts) // 1000)) OVER () - 7200000 AS now FROM events) e CROSS JOIN (VALUES (60, 1), (200, 5)) AS r(m, h) GROUP BY r.m, r.h, now)""",
+  FROM (SELECT (epoch_us(ts) // 1000) AS ms, max((epoch_us(ts) // 1000)) OVER () - 7200000 AS now FROM events) e CROSS JOIN (VALUES (120, 1), (300, 3), (600, 5)) AS r(m, h) GROUP BY r.m, r.h, now)""",
 )
 def rate_limit_status(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
@@ -421,12 +481,11 @@ def pii_redaction(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "language_detect",
-    _sql("SELECT url, CASE WHEN starts_with(lower(coalesce(lang, '')), 'cs') THEN 'cs' WHEN starts_with(lower(coalesce(lang, '')), 'en') THEN 'en' WHEN contains(url, '/cs/') THEN 'cs' ELSE 'en' END AS language FROM crawl"),
+    _sql("""SELECT url, CASE WHEN lower(lang) LIKE 'cs%' THEN 'cs' WHEN lower(lang) LIKE 'en%' THEN 'en'
+  WHEN regexp_matches(url, '^https?://[^/]*/cs/') OR url LIKE '%/cs/' THEN 'cs' ELSE 'en' END AS language FROM crawl"""),
 )
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    lang = F.lower(F.coalesce("lang", F.lit("")))
-    found = F.when(lang.startswith("cs"), "cs").when(lang.startswith("en"), "en").when(F.col("url").contains("/cs/"), "cs").otherwise("en")
-    return crawl(spark, d).select("url", found.alias("language"))
+    return crawl(spark, d).select("url", issues.language(F.col("url"), F.col("lang")).alias("language"))
 
 
 @R.query(
@@ -445,18 +504,56 @@ def llm_parse(spark: SparkSession, d: str) -> DataFrame:
     return llm_text.parse_responses(told, "raw").select("conv_id", "turn", "title", "description", "is_object")
 
 
+_IPV6 = (
+    ("::", True), ("::1", True), ("::FFFF:10.1.2.3", True), ("::ffff:8.8.8.8", False), ("::ffff:7f00:1", True), ("fc00::1", True), ("FDab::1", True),
+    ("fe80::1", True), ("febf::1", True), ("fec0::1", False), ("2001:db8::1", False), ("ff02::1", False),
+)
+
+
 @R.query(
     "private_ip_check",
     """SELECT ip, a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
   OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR a >= 224 AS is_private
-FROM (SELECT a || '.' || b || '.3.4' AS ip, a, b FROM (SELECT page_id * 7 % 256 AS a, page_id * 31 % 256 AS b FROM pages))""",
+FROM (SELECT a || '.' || b || '.3.4' AS ip, a, b FROM (SELECT page_id * 7 % 256 AS a, page_id * 31 % 256 AS b FROM pages)) UNION ALL VALUES """
+    + ", ".join(f"('{ip}', {private})" for ip, private in (*_IPV6, ("169.254.169.254", True), ("172.31.255.255", True), ("172.32.0.0", False), ("100.63.9.9", False), ("198.20.0.1", False))),
 )
 def private_ip_check(spark: SparkSession, d: str) -> DataFrame:
     ip = F.concat_ws(".", (F.col("page_id") * 7 % 256).cast("string"), (F.col("page_id") * 31 % 256).cast("string"), F.lit("3.4"))
     told = table(spark, d, "pages").select(ip.alias("ip"))
+    others = [(ip,) for ip, _ in _IPV6] + [("169.254.169.254",), ("172.31.255.255",), ("172.32.0.0",), ("100.63.9.9",), ("198.20.0.1",)]
+    told = told.unionByName(spark.createDataFrame(others, "ip string"))
     return told.select("ip", urls.private_ip(F.col("ip")).alias("is_private"))
 
 
+# URLs and the verdict on each; names resolve by a table of addresses.
+_VERDICTS = (
+    ("not a url", "Invalid URL format"), ("", "Invalid URL format"), ("http://", "Invalid URL format"), ("file:///etc/passwd", "Only http(s) URLs are allowed"),
+    ("ftp://example.com", "Only http(s) URLs are allowed"), ("http://127.0.0.1/", "Target resolves to a private address"),
+    ("http://169.254.169.254/latest/", "Target resolves to a private address"), ("http://[::1]/", "Target resolves to a private address"),
+    ("http://[fd00::1]/", "Target resolves to a private address"), ("http://2130706433/", "Target resolves to a private address"),
+    ("http://0x7f.1/", "Target resolves to a private address"), ("http://017700000001/", "Target resolves to a private address"),
+    ("http://8.8.8.8/", None), ("http://localhost/", "Target resolves to a private address"), ("https://PUBLIC.example/x", None),
+    ("https://mixed.example/", "Target resolves to a private address"), ("https://unknown.example/", "Cannot resolve hostname: unknown.example"),
+    ("https://denied.example/", "Host is denied"), ("https://user@public.example/", None),
+)
+_DNS = (
+    ("localhost", "127.0.0.1"), ("localhost", "::1"), ("public.example", "93.184.216.34"), ("public.example", "2606:2800::1"),
+    ("mixed.example", "93.184.216.34"), ("mixed.example", "10.0.0.8"), ("denied.example", "93.184.216.34"),
+)
+
+
+@R.query(
+    "request_verdicts",
+    "SELECT p.page_id, v.url, v.verdict FROM pages p JOIN (VALUES "
+    + ", ".join(f"({k}, '{u}', {v!r})".replace("None", "NULL") for k, (u, v) in enumerate(_VERDICTS))
+    + f") AS v(n, url, verdict) ON v.n = p.page_id % {len(_VERDICTS)}",
+)
+def request_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    url = F.element_at(F.array(*[F.lit(u) for u, _ in _VERDICTS]), (F.col("page_id") % len(_VERDICTS) + 1).cast("int"))
+    told = table(spark, d, "pages").select("page_id", url.alias("url"))
+    return urls.request_verdicts(told, spark.createDataFrame(list(_DNS), "host string, address string"), denied=["denied.example"])
+
+
 @R.query("retention_filter", _sql("SELECT url, crawl_date FROM recrawl WHERE crawl_date >= DATE '2024-01-11'"))
 def retention_filter(spark: SparkSession, d: str) -> DataFrame:
     return recrawl(spark, d).where("crawl_date >= DATE '2024-01-11'").select("url", "crawl_date")

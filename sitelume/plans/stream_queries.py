@@ -19,7 +19,8 @@ R = Registry()
 
 @R.query("full_page_record")
 def full_page_record(spark: SparkSession, d: str) -> DataFrame:
-    records = html.page_records(table(spark, d, "pages"))
+    wanted = ("url", "title", "words", "reading_time", "headings", "links", "images", "no_snippet", "main_selector", "full_text")
+    records = html.page_records(table(spark, d, "pages"), wanted)
     return records.select(
         "url", "title", "words", "reading_time", F.size("headings").alias("headings"), F.size("links").alias("links"),
         F.size("images").alias("images"), "no_snippet", "main_selector", F.length("full_text").alias("text_length"),
@@ -32,7 +33,7 @@ def full_page_record(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS a FROM pages)""",
 )
 def parsed_links(spark: SparkSession, d: str) -> DataFrame:
-    records = html.page_records(table(spark, d, "pages"))
+    records = html.page_records(table(spark, d, "pages"), ("url", "links"))
     rows = records.select(F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "link"))
     return rows.select("src_url", F.col("pos").cast("bigint").alias("pos"), F.col("link.raw").alias("raw"))
 

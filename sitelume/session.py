@@ -35,6 +35,14 @@ def share(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the session's machines share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sitelume-")
+    """A new folder below the one that the session's machines share.
+
+    Only a session on this machine alone may do without `spark.checkpoint.dir`
+    and gets a local folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="sitelume-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelume.operators import keywords
 
-from .schema import PAGE, REQUEST_LOG, URL_INDEX
+from .schema import CRAWL_METADATA, PAGE, REQUEST_LOG, URL_INDEX
 
 DATE_FOLDER = r"/(\d{2}-\d{2}-\d{4})/[^/]*$"
 
@@ -82,9 +82,31 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return told.withColumn("ts", F.timestamp_millis("timestamp"))
 
 
+def keyword_file(spark: SparkSession, folder: str) -> str | None:
+    """The first .csv or .tsv file of a folder by name."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(hadoop)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile()) if fs.exists(path) else []
+    return next((f"{folder}/{n}" for n in names if n.lower().endswith((".csv", ".tsv"))), None)
+
+
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated keyword export; short lines, the header and blank keywords are dropped."""
-    return keywords.parse(spark.read.text(path))
+    """A tab-separated keyword export without its first line; short lines and blank keywords are dropped."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    return keywords.parse(lines.where("at <> 0"))  # the file begins the first partition
+
+
+def read_previous(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Sitemap (url, lastmod) and index (url, status, crawled_at) of the metadata of a crawl; None if there is no such file."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(hadoop).exists(place):
+        return None
+    told = spark.read.schema(CRAWL_METADATA).option("multiLine", True).json(path)
+    listed = told.select(F.explode("sitemapUrls").alias("s")).select("s.url", "s.lastmod")
+    index = told.select(F.explode("urlIndex").alias("url", "e"))
+    return listed, index.select("url", "e.status", F.col("e.timestamp").try_cast("timestamp").alias("crawled_at"))
 
 
 def flatten(pages: DataFrame) -> DataFrame:
@@ -101,7 +123,8 @@ def flatten(pages: DataFrame) -> DataFrame:
         F.col("seo.specialLinks.canonical").alias("canonical"),
         *[meta[f"og:{k}"].alias(f"og_{k}") for k in ("title", "description", "image", "url")],
         meta["twitter:card"].alias("twitter_card"),
-        F.element_at(F.filter("seo.specialLinks.alternate", lambda a: a["hreflang"] != "x-default")["hreflang"], 1).alias("hreflang"),
+        F.get(F.filter("seo.specialLinks.alternate", lambda a: (a["hreflang"] != "") & (a["hreflang"] != "x-default")), F.lit(0))["hreflang"].alias("hreflang"),
+        F.coalesce(F.size(F.filter("seo.specialLinks.alternate", lambda a: a["hreflang"] != "")), F.lit(0)).alias("hreflang_count"),
         F.coalesce(F.transform("aiMetadata.structuredData.jsonLd", lambda b: F.to_json(b)), F.array().cast("array<string>")).alias("blocks"),
         F.coalesce(
             F.col("aiMetadata.customMetadata.wordCount"), F.size(F.filter(F.split("fullText", r"\s+"), lambda w: w != "")), F.lit(0)

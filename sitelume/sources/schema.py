@@ -15,3 +15,6 @@ htmlContent struct<full:string,main:string,mainSelector:string>,
 images array<struct<src:string,alt:string,title:string,width:string,height:string,srcset:string,loading:string>>"""
 URL_INDEX = "url string, id string, status string, domain string, retryCount int, timestamp string, error string"
 REQUEST_LOG = "timestamp long, url string, success boolean, statusCode int"
+CRAWL_METADATA = """domain string, crawlDate string, timestamp string, totalUrls long,
+sitemapUrls array<struct<url:string,lastmod:string,changefreq:string,priority:string>>,
+urlIndex map<string,struct<status:string,timestamp:string,lastModified:string>>"""

@@ -7,6 +7,9 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelume.functions import text as t
+from sitelume.operators import audit, issues, keywords, links
+
 from .readers import crawl_dates
 
 
@@ -34,15 +37,34 @@ def report_json(df: DataFrame, path: str, name: str = "issues") -> None:
     df.agg(F.count("*").alias("total")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
-def explode_referrers(df: DataFrame, column: str = "referrers") -> DataFrame:
-    """A row for each referrer; rows without any stay."""
-    return df.withColumn("referrer", F.explode_outer(column)).drop(column)
+def not_found_csv(referrers: DataFrame, path: str) -> None:
+    """A row for each page not found and page that links to it (`links.referrers`); the origin of those without one."""
+    origin = F.when(F.col("referrer").isNull(), "seeded_or_sitemap").otherwise("linked")
+    report_csv(referrers.select("url", "referrer", origin.alias("origin")), path)
+
+
+def broken_csv(broken: DataFrame, references: DataFrame, path: str) -> None:
+    """A row for each broken target (`probes.broken`) and reference to it (`probes.target_rows`)."""
+    rows = references.join(broken.select("url", "status"), "url")
+    report_csv(rows.select("url", F.coalesce(F.col("status").cast("string"), F.lit("ERR")).alias("status"), "kind", "src_url"), path)
 
 
 def index_csv(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
+def index_json(index: DataFrame, path: str) -> None:
+    index.write.mode("overwrite").json(path)
+
+
+def merged_jsonl(spark: SparkSession, files: list[str], path: str, keep_unreadable: bool = False) -> None:
+    """All lines of page files as they are, in one place; unreadable ones are dropped, or kept."""
+    lines = spark.read.text(files).where("trim(value) <> ''")
+    if not keep_unreadable:
+        lines = lines.where(F.try_parse_json("value").isNotNull())
+    lines.write.mode("overwrite").text(path)
+
+
 def localised(name: str, language: str) -> str:
     """File name with the suffix of a language other than English."""
     stem, dot, end = name.rpartition(".")
@@ -77,11 +99,57 @@ def purge(spark: SparkSession, root: str, days: int, today: date, dry_run: bool
     return spark.createDataFrame(rows, "path string, bytes long")
 
 
-def audit_markdown(summary: DataFrame, counts: DataFrame, coverage: DataFrame, title: str) -> str:
-    """A short report of the audit's small tables."""
-    lines = [f"# {title}", "", "## Summary", ""]
-    lines += [f"- {k}: {v}" for k, v in summary.first().asDict().items()]
-    for name, df in (("Issues", counts.orderBy("severity", "code")), ("Meta tags", coverage.orderBy("check"))):
-        lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join(map(str, row)) + " |" for row in df.collect()]
+def _table(df: DataFrame) -> list[str]:
+    """Lines of a Markdown table of a small frame."""
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return head + ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.collect()]
+
+
+def audit_markdown(title: str, sections: list[tuple[str, DataFrame]]) -> str:
+    """A report of small tables (counts, never pages), a section each."""
+    lines = [f"# {title}"]
+    for k, (name, df) in enumerate(sections, 1):
+        lines += ["", f"## {k}. {name}", "", *_table(df)]
     return "\n".join(lines) + "\n"
+
+
+def audit_report(analysis: DataFrame, pages: DataFrame, edges: DataFrame, path: str, title: str, keyword_rows: DataFrame | None = None) -> str:
+    """The whole audit below `path`: summary (text) with the counted sections, and a folder of lines for each list of pages.
+
+    Lists may be as long as the crawl, so they are written in parts. Returns the summary.
+    """
+    analysis = analysis.select("*", F.exists("issues", lambda i: i["severity"] == "critical").alias("is_critical"))
+    found = links.audit_broken(edges, pages)
+    sections = [
+        ("Executive summary", audit.executive_summary(analysis)),
+        ("Scope", audit.type_histogram(analysis).orderBy(F.desc("pages"))),
+        ("Page inventory", analysis.groupBy("page_type", "indexable").agg(F.count("*").alias("pages"), F.count_if("is_critical").alias("critical")).orderBy("page_type", "indexable")),
+        ("Structured data", audit.schema_types(analysis).orderBy(F.desc("pages"), "type")),
+        ("Technical coverage", audit.meta_coverage(analysis)),
+        ("Entities", audit.schema_coverage(analysis).orderBy("page_type")),
+        ("Gaps", audit.gap_analysis(analysis).orderBy("page_type", "type")),
+        ("Content", audit.word_histogram(analysis)),
+        ("Internal linking", links.link_stats(analysis)),
+        ("Broken links", found.groupBy("status").agg(F.count("*").alias("pages"), F.sum("found_on").alias("links")).orderBy("status")),
+        ("Validation plan", audit.priority_pages(analysis)),
+        ("Roadmap", audit.roadmap(analysis)),
+        ("Issues", audit.issue_counts(analysis).orderBy("severity", "code")),
+    ]
+    if keyword_rows is not None:
+        sections.append(("Keywords", keywords.summary(keyword_rows)))
+    link = t.markdown_link(F.col("url"))
+    issue = F.array_join(F.transform("issues", lambda i: F.concat(i["severity"], F.lit(": "), i["code"])), "; ")
+    lists = {
+        "inventory": analysis.select(F.concat_ws(" | ", link, "page_type", F.col("indexable").cast("string"), F.array_join("types", ", "))),
+        "thin": analysis.where(f"words > 0 AND words < {audit.THIN_WORDS}").select(F.concat_ws(" - ", link, "words")),
+        "without-links": analysis.where("internal_links = 0").select(link),
+        "broken": links.backlinks(edges, pages).select(F.concat_ws(" - ", link, "status", t.markdown_escape(F.col("found_on")))),
+        "pdf": issues.pdf_pages(pages).select(F.concat_ws(" - ", link, "status")),
+        "issues": analysis.where(F.size("issues") > 0).select(F.concat_ws(" - ", link, issue)),
+    }
+    for name, lines in lists.items():
+        lines.toDF("value").write.mode("overwrite").text(f"{path}/{name}")
+    text = audit_markdown(title, sections)
+    spark = analysis.sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    return text

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from sitelume.operators.state import HOUR, Limiter
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int = 100) -> DataFrame:
     """New files of a folder as a stream; `files` bounds a micro-batch."""
@@ -38,15 +40,19 @@ def fold_status(events: DataFrame) -> DataFrame:
     )
 
 
-def streak_alerts(events: DataFrame, key: str, failed: Column, least: int = 3) -> DataFrame:
+def streak_alerts(events: DataFrame, key: str, failed: Column, least: int = 3, ttl_ms: int = 30 * 24 * HOUR, late: str = "1 day") -> DataFrame:
     """A row whenever a key's failures in a row reach `least` (once for each run).
 
     Rows of a micro-batch are read in the order of ts and seq; across batches
-    the order of arrival holds. State is one number for each key.
+    the order of arrival holds, and rows later than `late` are dropped. State is
+    one number for each key, and goes when a key has been quiet for `ttl_ms`.
     """
     kind = events.schema[key].dataType.simpleString()
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run = state.get[0] if state.exists else 0
         out = []
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
@@ -55,36 +61,59 @@ def streak_alerts(events: DataFrame, key: str, failed: Column, least: int = 3) -
             if run == least:
                 out.append((name[0], ts))
         state.update((run,))
+        _expire(state, rows, ttl_ms)
         yield pd.DataFrame(out, columns=[key, "ts"])
 
-    told = events.select(key, "ts", "seq", failed.alias("is_failed"))
+    told = _timed(events.select(key, "ts", "seq", failed.alias("is_failed")), late)
     return told.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, ts timestamp_ntz", "run int", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} {kind}, ts timestamp_ntz", "run int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def limiter(events: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
-    """Hits with is_admitted, as `operators.state.sliding_limiter`; state is at most `most` times for each key."""
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
+
+
+def _expire(state: GroupState, rows: pd.DataFrame, ttl_ms: int) -> None:
+    """Let a key's state go once the stream is `ttl_ms` past its last row."""
+    last = int(rows["event_time"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def limiter(events: DataFrame, key: str, most: int, window_ms: int, late: str = "1 day") -> DataFrame:
+    """Hits with is_admitted, as `operators.state.sliding_limiter`.
+
+    State is at most `most` times for each key, and goes an hour after its
+    window if the key is quiet. Rows later than `late` are dropped.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        limiter = Limiter(most, window_ms, list(state.get[0]) if state.exists else [])
         rows = pd.concat(list(frames)).sort_values(["ms", "seq"], kind="stable")
-        admitted = []
-        for now in rows["ms"]:
-            held = [t for t in held if t > now - window_ms]
-            admitted.append(len(held) < most)
-            if admitted[-1]:
-                held.append(int(now))
-        state.update((held,))
+        admitted = [limiter.hit(int(now)) for now in rows["ms"]]
+        state.update((list(limiter.held),))
+        _expire(state, rows, window_ms + HOUR)
         yield pd.DataFrame({key: name[0], "ms": rows["ms"], "seq": rows["seq"], "is_admitted": admitted})
 
-    told = events.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq")
+    told = _timed(events.select(key, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq"), late)
     return told.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, ms long, seq long, is_admitted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} {kind}, ms long, seq long, is_admitted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def write_alerts(alerts: DataFrame, folder: str, checkpoint: str):
+    """Append alerts as JSON lines below `folder`, as they come; a batch that runs again replaces its own file."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{folder}/batch={number}")
+
+    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Process what is there, stop, and return the result as written below `folder`.
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
-from datetime import date
+import time
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from sitelume.operators import dedup, hrefs, html, issues, keywords, links, llm_text, robots, sitemaps, state
+from sitelume.operators import audit, dedup, groups, hrefs, html, issues, keywords, links, llm_text, probes, robots, sitemaps, state
+from sitelume.sources import sinks
 
 
 def pages(spark, rows):
@@ -104,8 +106,8 @@ def test_rules():
 def test_keywords(spark):
     header = "\t".join(keywords.COLUMNS)
     line = "1\tshoes\t2024\t1\t10x\t60+\t\t5\t-2\tu\tv\t\t"
-    rows = keywords.parse(spark.createDataFrame([(header,), (line,), ("short\tline",), ("\t" * 12,)], "value string")).collect()
-    assert len(rows) == 1
+    rows = keywords.parse(spark.createDataFrame([(line,), (header,), ("short\tline",), ("\t" * 12,)], "value string")).collect()
+    assert [r.keyword for r in rows] == ["shoes", "keyword"]  # the reader leaves out the first line, and only that
     assert (rows[0].keyword, rows[0].volume_google, rows[0].position_google, rows[0].position_seznam, rows[0].change_seznam) == ("shoes", 10, None, 5, -2)
 
 
@@ -141,6 +143,7 @@ def test_page_record():
     assert r["page_map"] == {"x": "1"}
     assert r["custom"] == {"ai-topic": "q"}
     assert r["headings"] == [{"level": 1, "text": "Head one"}]
+    assert (r["words"], r["reading_time"]) == (37, "1 min")  # text of scripts in the body counts
     assert r["links"] == [{"raw": "../k", "href": "https://e.com/k", "rel": "", "link_title": "t", "text": "Go on"}]
     assert r["images"][0]["class_list"] == ["x", "y"]
     assert r["images"][0]["sources"] == [{"srcset": "s.webp", "media": None, "type": "image/webp"}]
@@ -162,6 +165,95 @@ def test_all_referrers_and_duplicates_are_given(spark):
     assert sorted(issues.duplicates(p, "title").collect()) == [("T", "c"), ("T", "d"), ("T", "e")]
 
 
+def test_page_record_fields():
+    """Every field against what the page says, with the names that are kept and those that are not."""
+    kept = ("publisher", "edit", "sidebar", "webmention", "micropub", "hub", "self", "service", "profile", "apple-touch-icon-precomposed")
+    dropped = ("nofollow", "me", "mask-icon", "modulepreload", "shortcut", "terms-of-service")
+    head = "".join(f'<link rel="{rel.upper()}" href="/{rel}">' for rel in kept + dropped)
+    metas = {"department": "D", "tags": "a, b", "rating": "4.5 of 5", "boost": "0", "wordCount": "9", "region": "r", "search-x": "s", "AI-y": "y", "language": "cs", "editor": ""}
+    head += "".join(f'<meta name="{k}" content="{v}">' for k, v in metas.items())
+    body = '<article class="post">' + "<p>short</p></article>" + '<div id="content">' + "<b>x</b>" * 20 + "</div>"
+    items = """<div itemscope itemtype="A B"><i itemprop="n"></i><i itemprop="n">one</i><i itemprop="n">two</i><a itemprop="u" href="/p">t</a>
+<time itemprop="w">now</time><div itemscope><span itemprop="n">inner</span></div></div>"""
+    r = html.extract(f"<html><head>{head}</head><body data-nosnippet>{body}{items}<h2> A </h2><script>var words;</script></body></html>", "https://e.com/x/y")
+    assert set(r["single_rels"]) == set(kept)
+    assert r["custom"] == {"department": "D", "search-x": "s", "ai-y": "y", "language": "cs"}
+    assert (r["tags"], r["rating"], r["boost"]) == (["a", "b"], 4.5, None)
+    assert (r["main_selector"], r["main_html"]) == ("#content", "<b>x</b>" * 20)  # the article's HTML is too short
+    assert r["microdata"][0] == {"types": ["A", "B"], "properties": {"n": ["one", "two", "inner"], "u": ["https://e.com/p"], "w": ["now"]}}
+    assert r["microdata"][1] == {"types": [], "properties": {"n": ["inner"]}}
+    assert not r["no_snippet"]  # the body itself does not count
+    assert r["words"] == 5 and r["headings"] == [{"level": 2, "text": "A"}]
+
+
+def test_main_content_falls_back_to_the_body():
+    r = html.extract("<html><body><main>tiny</main> rest</body></html>", None)
+    assert (r["main_selector"], r["main_html"]) == ("body", "<main>tiny</main> rest")
+
+
+def test_unclosed_elements_take_no_square_time():
+    began = time.perf_counter()
+    links_ = html.extract("<a href=/x>y" * 20_000, "https://e.com/")["links"]
+    assert len(links_) == 20_000 and links_[0]["text"] == "y"
+    html.extract("<div>" * 20_000 + "</p>" * 20_000, None)
+    assert time.perf_counter() - began < 20
+
+
+def test_h1_rules(spark):
+    rows = [("a", []), ("b", ["Long enough one", "tiny"]), ("c", ["Long enough one"]), ("d", ["x" * 71]), ("e", None)]
+    got = sorted((r.url, r.issue, r.h1 or "", r.others) for r in issues.h1_issues(spark.createDataFrame(rows, "url string, h1s array<string>")).collect())
+    assert got == [
+        ("a", "missing", "", None), ("b", "duplicate", "Long enough one", 1), ("b", "multiple", "", None), ("b", "too_short", "tiny", None),
+        ("c", "duplicate", "Long enough one", 1), ("d", "too_long", "x" * 71, None), ("e", "missing", "", None),
+    ]
+
+
+def test_types_at_any_depth(spark):
+    blocks = ['[{"@type":"A","@graph":[{"@type":["B","C"]},[{"@type":"B"}]]}]', "{bad", '{"x":{"@type":"not looked at"}}', "5"]
+    df = spark.createDataFrame([("u", blocks), ("v", [])], "url string, blocks array<string>")
+    assert [tuple(r) for r in audit.type_occurrences(df).collect()] == [("B", 2), ("A", 1), ("C", 1)]
+    assert {r.url: r.issue for r in audit.jsonld_issues(df).collect()} == {"v": "missing"}
+
+
+def test_rotations_and_buckets(spark):
+    def at(k, s):
+        return datetime(2024, 1, 1, 0, k, s)
+
+    rows = [("d", at(0, s), s, 403) for s in range(3)] + [("d", at(0, 10 + s), 10 + s, 403) for s in range(3)] + [("d", at(1, 30), 40, 403), ("d", at(1, 31), 41, 404), ("d", at(1, 32), 42, 403)]
+    got = state.rotations(spark.createDataFrame(rows, "domain string, ts timestamp, seq int, status int")).orderBy("ms").collect()
+    assert [(r.failures, r.is_rotated) for r in got] == [(1, False), (2, False), (3, True), (1, False), (2, False), (3, False), (4, True), (0, False), (1, False)]
+    hits = [("email-send", key, at(0, s), s) for s, key in enumerate(["A@x.cz", "a@X.cz"] * 4)] + [("crawl-start", "ip", at(0, s), 50 + s) for s in range(6)]
+    told = state.bucket_limiter(spark.createDataFrame(hits, "bucket string, key string, ts timestamp, seq int")).orderBy("seq").collect()
+    assert [r.is_admitted for r in told] == [True] * 5 + [False] * 3 + [True] * 5 + [False]
+
+
+def test_even_delay_and_presets():
+    assert state.even_delay_ms(state.parse_rules("tiered")) == 36_000
+    assert state.even_delay_ms(((100, 1),), 0.8) == 28_800
+    assert state.parse_rules("bulk") == ((1000, 5),)
+
+
+def test_referrer_rows_feed_the_reports(spark, tmp_path):
+    p = pages(spark, [("https://e/a", "A", 404), ("https://e/b", "B", 404), ("https://e/c", "C", 200)])
+    e = edges(spark, [(f"https://e/{x}", 0, "https://e/a", "") for x in "cdf"])
+    sinks.not_found_csv(links.referrers(e, p), f"{tmp_path}/404")
+    back = sorted((r.url, r.referrer or "", r.origin) for r in spark.read.csv(f"{tmp_path}/404", header=True).collect())
+    assert back == [("https://e/a", f"https://e/{x}", "linked") for x in "cdf"] + [("https://e/b", "", "seeded_or_sitemap")]
+    assert [r.sample for r in links.not_found_report(e, p).orderBy("url").collect()] == [["https://e/c", "https://e/d", "https://e/f"], None]
+    refs = probes.target_rows(("internal-link", e.select("src_url", F.col("href").alias("url"))))
+    found = probes.broken(probes.targets(("internal-link", e.select("src_url", F.col("href").alias("url")))), spark.createDataFrame([("https://e/a", None)], "url string, status int"), "e")
+    sinks.broken_csv(found, refs, f"{tmp_path}/broken")
+    assert {(r.status, r.kind) for r in spark.read.csv(f"{tmp_path}/broken", header=True).collect()} == {("ERR", "internal-link")}
+
+
+def test_hot_groups_join_apart(spark, monkeypatch):
+    monkeypatch.setattr(groups, "HOT", 2)
+    rows = spark.createDataFrame([(k % 7, k) for k in range(50)] + [(1, k) for k in range(100)], "v int, k int")
+    sizes = rows.groupBy("v").agg(F.count("*").alias("n")).where("v <> 3")
+    got = sorted(tuple(r) for r in groups.join_groups(rows, sizes, "v", "n").collect())
+    assert got == sorted(tuple(r) for r in rows.join(sizes, "v").collect())
+
+
 def test_html_links_are_resolved_and_of_the_same_domain(spark):
     page = """<a href="/a"><a HREF='b.html'><a href="../c"><a href="?p=2"><a href="https://e.com/d"><a href='https://sub.e.com/e'>
 <a href="//other.example/x"><a href="https://note.com/y"><a href="#f"><a href="mailto:m@e.com"><a href="javascript:v()">
