@@ -2,8 +2,8 @@
 
 A table is written as Parquet below the shared folder that the session names
 in ``spark.checkpoint.dir`` and read again, so a later failure recomputes from
-files and not from the start. Only where the session names none (tests on one
-machine) is a local folder used. Tables go when the driver ends, or earlier by
+files and not from the start. Where the session names none, a local folder is
+used on one machine (tests), and anything else is an error. Tables go when the driver ends, or earlier by
 `drop`.
 """
 
@@ -26,6 +26,8 @@ def folder(spark: SparkSession) -> str:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = checkpoint.get() if checkpoint.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sitelume-"))
         place = _own[0]
