@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, search, valid_vectors
 
+#: Queries whose windows are looked up at once.
+QUERY_ROWS = 256
+
 
 def nearest_by_collisions(
     df: DataFrame,
@@ -67,45 +70,47 @@ def count_collisions(
     order = np.argsort(place, axis=0).astype(np.int32)
     lines = np.ascontiguousarray(np.take_along_axis(place, order, axis=0).T)
     order = np.ascontiguousarray(order.T)
-    centre = _unit(queries) @ directions
     enough = np.sqrt(np.maximum(2 - 2 * floor, 0))
+    radii = [first]
+    while radii[-1] <= 2.0:  # unit vectors are no farther apart
+        radii.append(radii[-1] * growth)
+    reach = width * np.array(radii)
     out: list[tuple[np.ndarray, ...]] = []
     n_verified = 0
-    for q, own in enumerate(query_ids):
-        count = np.zeros(len(ids), np.int32)
-        verified = np.zeros(len(ids), bool)
-        rows, cosine = np.zeros(0, np.int64), np.zeros(0)
-        others = ids != own
-        most = min(k, int(others.sum()))
-        low = [int(np.searchsorted(lines[j], centre[q, j])) for j in range(projections)]
-        high = list(low)
-        radius = first
-        while True:
-            fresh = []
-            for j in range(projections):
-                a = int(np.searchsorted(lines[j], centre[q, j] - width * radius))
-                b = int(np.searchsorted(lines[j], centre[q, j] + width * radius, "right"))
-                if a < low[j]:
-                    fresh.append(order[j, a : low[j]])
-                    low[j] = a
-                if b > high[j]:
-                    fresh.append(order[j, high[j] : b])
-                    high[j] = b
-            if fresh:
-                count += np.bincount(np.concatenate(fresh), minlength=len(ids)).astype(np.int32)
-            full = radius > 2.0  # unit vectors are no farther apart
-            new = np.flatnonzero(((count >= need) | full) & ~verified & others)
-            if len(new):
-                verified[new] = True
-                rows, cosine = np.append(rows, new), np.append(cosine, _cosine(queries[q], data[new]))
-            # distance r of unit vectors: cosine 1 - r * r / 2
-            if full or radius >= enough[q] or (cosine >= 1 - radius * radius / 2).sum() >= most:
-                break
-            radius *= growth
-        n_verified += len(rows)
-        good = cosine >= floor[q]
-        best = best_of(cosine[good], ids[rows[good]], k)
-        out.append((np.full(len(best), own), ids[rows[good][best]], cosine[good][best]))
+    for begin in range(0, len(queries), QUERY_ROWS):
+        part = slice(begin, begin + QUERY_ROWS)
+        centre = (_unit(queries[part]) @ directions).T
+        # ends of every window of these queries: projection, query, radius
+        low = np.stack([np.searchsorted(line, c[:, None] - reach) for line, c in zip(lines, centre, strict=True)], axis=1)
+        high = np.stack([np.searchsorted(line, c[:, None] + reach, "right") for line, c in zip(lines, centre, strict=True)], axis=1)
+        for q, own in enumerate(query_ids[part], begin):
+            count = np.zeros(len(ids), np.int64)
+            verified = np.zeros(len(ids), bool)
+            rows, cosine = np.zeros(0, np.int64), np.zeros(0)
+            others = ids != own
+            most = min(k, int(others.sum()))
+            for turn, radius in enumerate(radii):
+                a, b = low[q - begin, :, turn], high[q - begin, :, turn]
+                if turn:
+                    c, d = low[q - begin, :, turn - 1], high[q - begin, :, turn - 1]
+                    fresh = [order[j, x:y] for j, (x, y) in enumerate(zip(a, c, strict=True)) if x < y]
+                    fresh += [order[j, x:y] for j, (x, y) in enumerate(zip(d, b, strict=True)) if x < y]
+                else:
+                    fresh = [order[j, x:y] for j, (x, y) in enumerate(zip(a, b, strict=True)) if x < y]
+                if fresh:
+                    count += np.bincount(np.concatenate(fresh), minlength=len(ids))
+                full = radius > 2.0
+                new = np.flatnonzero(((count >= need) | full) & ~verified & others)
+                if len(new):
+                    verified[new] = True
+                    rows, cosine = np.append(rows, new), np.append(cosine, _cosine(queries[q], data[new]))
+                # distance r of unit vectors: cosine 1 - r * r / 2
+                if full or radius >= enough[q] or (cosine >= 1 - radius * radius / 2).sum() >= most:
+                    break
+            n_verified += len(rows)
+            good = cosine >= floor[q]
+            best = best_of(cosine[good], ids[rows[good]], k)
+            out.append((np.full(len(best), own), ids[rows[good][best]], cosine[good][best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)), n_verified
 
 

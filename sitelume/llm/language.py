@@ -19,7 +19,7 @@ from .textbytes import slices, string_bytes
 #: Hashed n-gram counts of a text.
 BUCKETS = 2048
 #: Rows whose features are held at once.
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 #: Families of common languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -55,6 +55,17 @@ def gram_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter, of any script."""
+    seen = np.concatenate([[0], np.cumsum(_FOLD[data] != 32)])
+    out = seen[offsets[1:]] > seen[offsets[:-1]]
+    for k in np.flatnonzero(out):
+        raw = data[offsets[k] : offsets[k + 1]]
+        if raw.max() > 127 and not ((raw >= 97) & (raw < 123) | (raw >= 65) & (raw < 91)).any():
+            out[k] = any(c.isalpha() for c in raw.tobytes().decode())
+    return out
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200, stop: float = 1e-3) -> np.ndarray:
     """Weights and bias (last) of a linear SVM of squared hinge loss; y is 1 or -1, both sides weigh alike.
 
@@ -179,7 +190,7 @@ def learn_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_language: int = 1_500,
-    side_rows: int = 4_000,
+    side_rows: int = 3_000,
     families: dict[str, tuple[str, ...]] = FAMILIES,
     scratch: Scratch | None = None,
 ) -> LanguageModel:
@@ -208,8 +219,8 @@ def learn_languages(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = string_bytes(batch.column(1))
-            for a, b in slices(offsets, rows=SLICE_ROWS):
-                x = gram_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype("<f4")
+            for a, b in slices(offsets, 1 << 18, SLICE_ROWS):
+                x = gram_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype("<f2")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"]
                 )
@@ -231,7 +242,7 @@ def learn_languages(
 
         def fit(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["side", "x"])  # the same sums on every run
-            x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(len(rows), BUCKETS)
+            x = np.frombuffer(b"".join(rows["x"]), "<f2").reshape(len(rows), BUCKETS).astype("f4")
             w = linear_svm(x, rows["side"].to_numpy())
             return pd.DataFrame({"machine": rows["machine"].iloc[:1], "w": [w.tobytes()]})
 
@@ -258,17 +269,12 @@ def identify_languages(
         use = held.value
         for batch in batches:
             data, offsets, valid = string_bytes(batch.column(1))
-            ascii_letter = np.concatenate([[0], np.cumsum(_FOLD[data] != 32)])
-            lettered = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
-            for k in np.flatnonzero(lettered & valid):
-                raw = data[offsets[k] : offsets[k + 1]]
-                if raw.max() > 127 and not ((raw >= 97) & (raw < 123) | (raw >= 65) & (raw < 91)).any():
-                    lettered[k] = any(c.isalpha() for c in raw.tobytes().decode())
-            for a, b in slices(offsets, 1 << 19, SLICE_ROWS):
+            for a, b in slices(offsets, 1 << 18, SLICE_ROWS):
                 name, score = np.full(b - a, "und", object), np.zeros(b - a)
-                rows = np.flatnonzero(lettered[a:b] & valid[a:b])
+                own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                rows = np.flatnonzero(_lettered(own, at) & valid[a:b])
                 if use.families and len(rows):
-                    x = gram_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    x = gram_features(own, at)
                     name[rows], score[rows] = use.predict(x[rows])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(name, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
