@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SAME = "The same words on many pages, of a length that is no issue by itself, only by being repeated."
 _URL = """CASE page_id % 20 WHEN 3 THEN concat('https://www.site', page_id % 7, '.example/kontakt/', page_id)
     WHEN 5 THEN concat('https://site', page_id % 7, '.example/cs/', page_id) WHEN 7 THEN concat('https://site', page_id % 7, '.example/Sluzby/', page_id)
     WHEN 9 THEN concat('https://site', page_id % 7, '.example/o-nas/', page_id) WHEN 11 THEN concat('https://site', page_id % 7, '.example/faq/', page_id)
@@ -58,7 +59,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     length = F.col("page_id") % 140 + 40
-    description = F.when(F.col("page_id") % 5 == 0, None).when(F.col("page_id") % 5 == 1, "").otherwise(
+    description = F.when(F.col("page_id") % 5 == 0, None).when(F.col("page_id") % 5 == 1, "").when(F.col("page_id") % 10 == 2, SAME).otherwise(
         F.substring(F.col("text"), F.lit(1), length.cast("int"))
     )
     none = F.array().cast("array<string>")
@@ -120,7 +121,8 @@ parsed AS (
       '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text
   FROM facts),
 crawl AS (
-  SELECT *, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '' ELSE substring(text, 1, CAST(page_id % 140 + 40 AS INT)) END
+  SELECT *, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '' WHEN page_id % 10 = 2 THEN '{SAME}'
+      ELSE substring(text, 1, CAST(page_id % 140 + 40 AS INT)) END
       AS description, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words,
     CASE page_id % 8 WHEN 1 THEN ['Article'] WHEN 2 THEN ['WebPage', 'BreadcrumbList'] WHEN 3 THEN ['Product', 'Offer']
       WHEN 4 THEN ['FAQPage'] WHEN 5 THEN ['Service'] WHEN 6 THEN ['PostalAddress'] WHEN 7 THEN ['WebSite'] ELSE CAST([] AS VARCHAR[]) END AS types,
