@@ -48,5 +48,5 @@ def test_html_queries_leave_pdf_pages_out(spark, data, name):
 
 def test_no_oracle_is_empty(con):
     """A query whose oracle has no row on the test tables would prove nothing."""
-    empty = [n for n, sql in ORACLE_SQL.items() if not con.sql(f"SELECT count(*) FROM ({sql})").fetchone()[0]]
+    empty = [n for n, sql in ORACLE_SQL.items() if not con.sql(f"SELECT count(*) FROM ({sql})").fetchall()[0][0]]
     assert set(empty) <= {"orphaned_redirects"}  # it has rows on the larger tables
