@@ -59,4 +59,36 @@ r AS (
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": TOP_K, "op4_line_dedup": LINE_DEDUP}
+
+def lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round compares every vector with every centroid and adds up anew."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS INT) AS c, e AS p FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), e) <= {k})""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, r, any_value(e) AS e, min({{'d': d, 'c': c}}) AS o FROM (
+    SELECT vec_id, r, e, c, CAST(list_sum(list_transform(list_zip(e, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM v, c{n}) GROUP BY vec_id, r)""")
+        if n < rounds:
+            parts.append(f"""s{n} AS (
+  SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT o.c AS c, unnest(range(1, 65)) AS i, unnest(e) AS x FROM a{n}) GROUP BY c, i),
+m{n} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM s{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m{n}.p, c{n}.p) AS p FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, o.c AS cluster, o.d AS distance, CAST(sum(o.d) OVER (PARTITION BY o.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(o.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON o.c = c{rounds}.c
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": TOP_K, "op4_line_dedup": LINE_DEDUP, "op13_delta_lloyd": lloyd_sql()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest_by_collisions
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
+from .lloyd import delta_lloyd
 from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
@@ -82,6 +83,10 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_bradley_terry_quality": op2_bradley_terry_quality,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op9_collision_ann": op9_collision_ann,
     "op10_minmax_near_dup": op10_minmax_near_dup,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
