@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_by_collisions
+from .bpe import decode_documents, encode_documents
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .lloyd import delta_lloyd
@@ -83,6 +84,11 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode_documents(encode_documents(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd(_table(spark, sf_dir, "embeddings"))
 
@@ -98,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op9_collision_ann": op9_collision_ann,
     "op10_minmax_near_dup": op10_minmax_near_dup,
+    "op12_word_table_bpe": op12_word_table_bpe,
     "op13_delta_lloyd": op13_delta_lloyd,
 }
