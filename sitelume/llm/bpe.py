@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -16,10 +18,10 @@ from tokenizers import Tokenizer
 
 from .scratch import Scratch, only
 
-#: Frequent words whose ids every task gets: so many of at most so many bytes. Both tiers together stay below 25 MB.
-TIERS = ((65_536, 64), (2_048, 4_096))
-#: Distinct words, and bytes of them, that a task counts before it passes them on.
-COUNTED, COUNTED_BYTES = 200_000, 1 << 24
+#: Frequent words whose ids every task gets: so many of at most so many bytes. All tiers together are a few dozen MB.
+TIERS = ((262_144, 32), (2_048, 4_096))
+#: Distinct words, and bytes of them, that a task counts before it passes them on; runs that it remembers the ids of.
+COUNTED, COUNTED_BYTES, REMEMBERED = 400_000, 1 << 24, 100_000
 #: Bytes of a batch that a task gives at once.
 BATCH_BYTES = 1 << 22
 
@@ -37,7 +39,7 @@ def encode_documents(
     """The ids of whole texts: doc_id, ids (binary: little-endian unsigned 32-bit numbers), as the tokenizer of `path` gives them without special tokens.
 
     The tokenizer must drop white space, so that a text's ids are those of its
-    words (runs without ASCII white space) one after another. Words are split
+    words one after another; `splitter` says what a word is. Words are split
     and counted in Spark, and each distinct word is encoded once, by the
     tokenizer itself, into a table. Ids go back to their positions by two
     joins: the ids of frequent words (`tiers`: a number of words of at most so
@@ -53,13 +55,13 @@ def encode_documents(
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     docs = only(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     table = scratch.keep(word_table(docs, path))
-    known = spark.sparkContext.broadcast(_frequent(table, tiers))
-    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    known = spark.sparkContext.broadcast(_frequent(table, tiers, narrow(path)))
+    key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))))
     keyed = docs.withColumn("key", key)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    filled = keyed.mapInArrow(_filler(known, narrow(path)), f"doc_id {kind}, key string, ids binary, gaps int")
-    missed = keyed.select("key", "text").mapInArrow(_misses(known), "key string, place int, word binary")
+    filled = keyed.mapInArrow(_filler(known, path), f"doc_id {kind}, key binary, ids binary, gaps int")
+    missed = keyed.select("key", "text").mapInArrow(_misses(known, path), "key binary, place int, word binary")
     found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word")
     # a set, as repeated rows miss the same words at the same places
     found = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
@@ -114,7 +116,7 @@ def piece_list(tokenizer: Tokenizer) -> list[str | None]:
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
     """Every distinct word of `docs` once, with how often it occurs and its ids: word, n, ids (both binary)."""
-    counts = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_counter(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
@@ -145,29 +147,81 @@ def _load(path: str) -> Tokenizer:
     return _loaded[path]
 
 
-def _frequent(table: DataFrame, tiers: tuple[tuple[int, int], ...]) -> dict[bytes, bytes]:
-    """The most frequent words of each tier with their ids; bounded by the tiers."""
+#: Fixed value: the pattern by which the 49k word vocabulary splits a text in lower case.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Runs that are split further, and how: with these characters there is nothing to compose, and each has one lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_INSIDE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def splitter(path: str) -> Callable[[bytes], list[bytes]]:
+    """What makes words of a run without ASCII white space.
+
+    A run is one word, but with a tokenizer that splits by WORD_PATTERN after
+    lower-casing, runs of ASCII and Latin-1 letters are split by it, so that
+    there are fewer distinct words. Runs with an added token stay whole, as
+    does every run with other characters.
+    """
+    told = json.loads(_load(path).to_str())
+    parts = lambda kind, name: (told[kind] or {}).get(name) or [told[kind] or {}]
+    normal = [n.get("type") for n in parts("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
+    if not (normal and parts("pre_tokenizer", "pretokenizers")[0].get("pattern") == {"Regex": WORD_PATTERN}):
+        return lambda run: [run]
+    added = [t["content"].lower() for t in told["added_tokens"]]
+
+    def split(run: bytes) -> list[bytes]:
+        text = run.decode()
+        if not _PLAIN.fullmatch(text):
+            return [run]
+        text = text.lower()
+        if any(t in text for t in added):
+            return [run]
+        return [w.encode() for w in _INSIDE.findall(text)]
+
+    return split
+
+
+def _frequent(table: DataFrame, tiers: tuple[tuple[int, int], ...], kind: str) -> dict[bytes, bytes]:
+    """The most frequent words of each tier with their ids as numbers of `kind`; bounded by the tiers."""
     out: dict[bytes, bytes] = {}
     least = 0
     for most, size in tiers:
         length: Column = F.octet_length("word")
         fits = (length > least) & (length <= size) & (F.octet_length("ids") <= 4 * size)
-        for r in table.where(fits).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").collect():
-            out[bytes(r.word)] = bytes(r.ids)
+        top = table.where(fits).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").toArrow()
+        for word, ids in zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True):
+            out[word] = np.frombuffer(ids, "<u4").astype(kind).tobytes()
         least = size
     return out
 
 
 class _Known(dict):
-    """Word to ids; a word that is not there gives a gap and is noted."""
+    """Runs of a text to ids: the ids of their words, with a gap for each word that is not known, which is noted.
 
-    def __init__(self, words: dict[bytes, bytes], gap: bytes):
-        super().__init__(words)
-        self.gap, self.missed = gap, []
+    Remembers the ids of some runs that have no gap.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        self.missed.append(word)
-        return self.gap
+    def __init__(self, words: dict[bytes, bytes], path: str):
+        super().__init__()
+        kind = np.dtype(narrow(path))
+        self.words, self.split = words, splitter(path)
+        self.gap, self.missed = np.array([np.iinfo(kind).max], kind).tobytes(), []
+
+    def __missing__(self, run: bytes) -> bytes:
+        words = self.split(run)
+        ids = [self.words.get(w) for w in words]
+        if None in ids:
+            self.missed += [w for w, x in zip(words, ids, strict=True) if x is None]
+            return b"".join(self.gap if x is None else x for x in ids)
+        out = b"".join(ids)
+        if len(self) < REMEMBERED and len(run) <= 64:
+            self[run] = out
+        return out
+
+    def read(self, text: bytes) -> tuple[bytes, list[bytes]]:
+        """Ids with gaps, and the words of the gaps."""
+        self.missed = []
+        return b"".join(map(self.__getitem__, text.split())), self.missed
 
 
 def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
@@ -181,56 +235,65 @@ def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
         start = end
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words with how often they occur, added up in a task as far as memory is set aside for them."""
 
-    def told() -> Iterator[pa.RecordBatch]:
-        whole = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.large_binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-        for part in _parts(whole, "word"):
-            yield pa.RecordBatch.from_arrays([part["word"].cast(pa.binary()), part["n"]], ["word", "n"])
-        counts.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter(path)
+        runs: Counter[bytes] = Counter()
+        words: Counter[bytes] = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.large_binary()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            for part in _parts(whole, "word"):
+                yield pa.RecordBatch.from_arrays([part["word"].cast(pa.binary()), part["n"]], ["word", "n"])
+            words.clear()
+
+        def fold() -> None:
+            for each, n in runs.items():
+                for word in split(each):
+                    words[word] += n
+            runs.clear()
+
+        size = 0
+        for batch in batches:
+            for text in batch["text"].cast(pa.binary()):
+                raw = text.as_py()
+                runs.update(raw.split())
+                size += len(raw)
+                if size > COUNTED_BYTES:
+                    fold()
+                    if len(words) > COUNTED or sum(map(len, words)) > COUNTED_BYTES:
+                        yield from told()
+                    size = 0
+        fold()
+        yield from told()
 
-    size = 0
-    for batch in batches:
-        for text in batch["text"].cast(pa.binary()):
-            raw = text.as_py()
-            counts.update(raw.split())
-            size += len(raw)
-            if len(counts) > COUNTED or size > COUNTED_BYTES and sum(map(len, counts)) > COUNTED_BYTES:
-                yield from told()
-                size = 0
-            elif size > COUNTED_BYTES:
-                size = sum(map(len, counts))
-    yield from told()
+    return run
 
 
-def _filler(known: Broadcast, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to ids (numbers of `kind`), with a gap for each word that is not known."""
+def _filler(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to ids, with a gap for each word that is not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(kind)
-        words = {w: np.frombuffer(ids, "<u4").astype(width).tobytes() for w, ids in known.value.items()}
-        ids_of = _Known(words, np.array([np.iinfo(width).max], width).tobytes())
+        runs = _Known(known.value, path)
         for batch in batches:
             for part in _parts(batch, "text"):
-                ids, gaps = [], []
-                for text in part["text"].cast(pa.binary()):
-                    ids_of.missed.clear()
-                    ids.append(b"".join(map(ids_of.__getitem__, text.as_py().split())))
-                    gaps.append(len(ids_of.missed))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(ids, pa.binary()), pa.array(gaps, pa.int32())], ["doc_id", "key", "ids", "gaps"])
+                found = [runs.read(text.as_py()) for text in part["text"].cast(pa.binary())]
+                ids, gaps = pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], ids, gaps], ["doc_id", "key", "ids", "gaps"])
 
     return run
 
 
-def _misses(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _misses(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The words of each text that are not known, with their place among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known.value
+        runs = _Known(known.value, path)
         for batch in batches:
             for part in _parts(batch, "text"):
-                missed = [[w for w in text.as_py().split() if w not in words] for text in part["text"].cast(pa.binary())]
+                missed = [runs.read(text.as_py())[1] for text in part["text"].cast(pa.binary())]
                 sizes = [len(m) for m in missed]
                 keys = part["key"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
                 places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
