@@ -7,21 +7,25 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .samples import share_of
 from .scratch import Scratch, only
 
-#: Frequent words whose ids every task gets: so many of at most so many bytes. All tiers together are a few dozen MB.
-TIERS = ((262_144, 32), (2_048, 4_096))
-#: Distinct words, and bytes of them, that a task counts before it passes them on; runs that it remembers the ids of.
-COUNTED, COUNTED_BYTES, REMEMBERED = 400_000, 1 << 24, 100_000
+#: Words whose ids every task gets: so many of at most so many bytes, the most frequent ones of a sample of so many
+#: characters. Together they are a few dozen MB. Which words these are does not change a result.
+TIERS, SAMPLE = ((262_144, 32), (2_048, 4_096)), 100_000_000
+#: Distinct words, and characters of them, that a task counts before it passes them on.
+COUNTED, COUNTED_CHARS = 400_000, 1 << 24
 #: Bytes of a batch that a task gives at once.
 BATCH_BYTES = 1 << 22
 
@@ -34,18 +38,18 @@ def default_tokenizer() -> str:
 
 
 def encode_documents(
-    df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[tuple[int, int], ...] = TIERS
-) -> DataFrame:
+    df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+    tiers: tuple[tuple[int, int], ...] = TIERS, sample: int = SAMPLE,
+) -> DataFrame:
     """The ids of whole texts: doc_id, ids (binary: little-endian unsigned 32-bit numbers), as the tokenizer of `path` gives them without special tokens.
 
     The tokenizer must drop white space, so that a text's ids are those of its
-    words one after another; `splitter` says what a word is. Words are split
-    and counted in Spark, and each distinct word is encoded once, by the
-    tokenizer itself, into a table. Ids go back to their positions by two
-    joins: the ids of frequent words (`tiers`: a number of words of at most so
-    many bytes) are broadcast, and the other words of a document, none of which
-    is in more than a small share of all positions, meet the table by a
-    shuffle. A document with only frequent words is not shuffled.
+    words one after another; `Splitter` says what a word is. Each distinct word
+    is encoded once, by the tokenizer itself, into a table, and ids go back to
+    their positions by two joins: words that a sample shows to be frequent are
+    encoded first and broadcast with their ids (`tiers` bound them); all other
+    words are gaps, of which each distinct one of a document meets the table by
+    a shuffle, so that no word has more rows than documents have it.
 
     Null text: empty, no ids. Rows keep their number, repeated ones included;
     a null doc_id is one like another. Very long texts and words are whole.
@@ -54,20 +58,23 @@ def encode_documents(
     path = path or default_tokenizer()
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     docs = only(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    table = scratch.keep(word_table(docs, path))
-    known = spark.sparkContext.broadcast(_frequent(table, tiers, narrow(path)))
-    key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))))
-    keyed = docs.withColumn("key", key)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    filled = keyed.mapInArrow(_filler(known, path), f"doc_id {kind}, key binary, ids binary, gaps int")
-    missed = keyed.select("key", "text").mapInArrow(_misses(known, path), "key binary, place int, word binary")
+    size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    some = docs if size <= sample else docs.where(share_of("doc_id", "text") < sample / size)
+    counts = some.select("text").mapInArrow(_counter(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = scratch.keep(encode_words(most_frequent(scratch.keep(counts), tiers), path))
+    known = spark.sparkContext.broadcast(_as_numbers(frequent, narrow(path)))
+    # names a row's id and text, so that repeated rows have one name
+    keyed = docs.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))))
+
+    missed = keyed.select("key", "text").mapInArrow(_misses(known, path), "key binary, place int, word string")
+    table = scratch.keep(encode_words(missed.groupBy("word").agg(F.count("*").alias("n")), path))
     found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word")
     # a set, as repeated rows miss the same words at the same places
     found = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
-    whole = filled.where("gaps = 0").select("doc_id", "ids", F.lit(None).cast("array<binary>").alias("found"))
-    gapped = filled.where("gaps > 0").join(found, "key", "left").select("doc_id", "ids", F.col("found.word_ids").alias("found"))
-    return whole.unionByName(gapped).mapInArrow(_joiner(narrow(path)), f"doc_id {kind}, ids binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    filled = keyed.mapInArrow(_filler(known, path), f"doc_id {kind}, key binary, n long, ids binary, gaps array<int>")
+    told = filled.join(found, "key", "left").select("doc_id", "n", "ids", "gaps", F.col("found.word_ids").alias("found"))
+    return told.mapInArrow(_joiner(path), f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -114,19 +121,17 @@ def piece_list(tokenizer: Tokenizer) -> list[str | None]:
     return pieces
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """Every distinct word of `docs` once, with how often it occurs and its ids: word, n, ids (both binary)."""
-    counts = docs.select("text").mapInArrow(_counter(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """A table of distinct words (word, n) with their ids: word, n, ids (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
         for batch in batches:
             for part in _parts(batch, "word"):
-                texts = part["word"].cast(pa.string()).to_pylist()
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part["word"].to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part["word"], part["n"], pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return counts.mapInArrow(run, "word binary, n long, ids binary")
+    return words.mapInArrow(run, "word string, n long, ids binary")
 
 
 def narrow(path: str) -> str:
@@ -149,79 +154,72 @@ def _load(path: str) -> Tokenizer:
 
 #: Fixed value: the pattern by which the 49k word vocabulary splits a text in lower case.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Runs that are split further, and how: with these characters there is nothing to compose, and each has one lower case.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_INSIDE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Texts and runs that are split by it: with these characters there is nothing to compose, and each has one lower case.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+_RUNS = re.compile("[^\t-\r ]+")
 
 
-def splitter(path: str) -> Callable[[bytes], list[bytes]]:
-    """What makes words of a run without ASCII white space.
+class Splitter:
+    """Cuts texts into words whose ids, one after another, are those of the text.
 
-    A run is one word, but with a tokenizer that splits by WORD_PATTERN after
-    lower-casing, runs of ASCII and Latin-1 letters are split by it, so that
-    there are fewer distinct words. Runs with an added token stay whole, as
-    does every run with other characters.
+    A word is a run without ASCII white space; with a tokenizer that splits by
+    WORD_PATTERN after lower-casing, plain runs (ASCII and Latin-1 letters) are
+    split by it, so that there are fewer distinct words. Runs with an added
+    token or with any other character stay whole.
     """
-    told = json.loads(_load(path).to_str())
-    parts = lambda kind, name: (told[kind] or {}).get(name) or [told[kind] or {}]
-    normal = [n.get("type") for n in parts("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
-    if not (normal and parts("pre_tokenizer", "pretokenizers")[0].get("pattern") == {"Regex": WORD_PATTERN}):
-        return lambda run: [run]
-    added = [t["content"].lower() for t in told["added_tokens"]]
-
-    def split(run: bytes) -> list[bytes]:
-        text = run.decode()
-        if not _PLAIN.fullmatch(text):
-            return [run]
-        text = text.lower()
-        if any(t in text for t in added):
-            return [run]
-        return [w.encode() for w in _INSIDE.findall(text)]
-
-    return split
-
-
-def _frequent(table: DataFrame, tiers: tuple[tuple[int, int], ...], kind: str) -> dict[bytes, bytes]:
-    """The most frequent words of each tier with their ids as numbers of `kind`; bounded by the tiers."""
-    out: dict[bytes, bytes] = {}
-    least = 0
+
+    def __init__(self, path: str):
+        told = json.loads(_load(path).to_str())
+        parts = lambda kind, name: (told[kind] or {}).get(name) or [told[kind] or {}]
+        normal = [n.get("type") for n in parts("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
+        self.finer = normal and parts("pre_tokenizer", "pretokenizers")[0].get("pattern") == {"Regex": WORD_PATTERN}
+        self.added = [t["content"].lower() for t in told["added_tokens"]]
+
+    def is_plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and not any(t in text.lower() for t in self.added)
+
+    def words(self, text: str) -> list[str]:
+        if not self.finer:
+            return _RUNS.findall(text)
+        if self.is_plain(text):
+            return _WORDS.findall(text.lower())
+        out, plain = [], []
+        for run in _RUNS.findall(text):
+            if self.is_plain(run):
+                plain.append(run)
+            else:
+                out += [*_WORDS.findall(" ".join(plain).lower()), run]
+                plain = []
+        return out + _WORDS.findall(" ".join(plain).lower())
+
+
+def most_frequent(counts: DataFrame, tiers: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The most frequent words (word, n) of each tier: so many of at most so many bytes."""
+    length = F.octet_length("word")
+    tops, least = [], 0
     for most, size in tiers:
-        length: Column = F.octet_length("word")
-        fits = (length > least) & (length <= size) & (F.octet_length("ids") <= 4 * size)
-        top = table.where(fits).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").toArrow()
-        for word, ids in zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True):
-            out[word] = np.frombuffer(ids, "<u4").astype(kind).tobytes()
+        tops.append(counts.where((length > least) & (length <= size)).orderBy(F.desc("n"), "word").limit(most))
         least = size
-    return out
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _as_numbers(table: DataFrame, kind: str) -> dict[str, bytes]:
+    """Word to ids as numbers of `kind`, the most frequent first; the table is bounded by the tiers."""
+    top = table.select("n", "word", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return {w: np.frombuffer(ids, "<u4").astype(kind).tobytes() for w, ids in zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True)}
 
 
 class _Known(dict):
-    """Runs of a text to ids: the ids of their words, with a gap for each word that is not known, which is noted.
+    """Word to ids; a word that is not there gives a gap and is noted."""
 
-    Remembers the ids of some runs that have no gap.
-    """
+    def __init__(self, words: dict[str, bytes], gap: bytes):
+        super().__init__(words)
+        self.gap, self.missed = gap, []
 
-    def __init__(self, words: dict[bytes, bytes], path: str):
-        super().__init__()
-        kind = np.dtype(narrow(path))
-        self.words, self.split = words, splitter(path)
-        self.gap, self.missed = np.array([np.iinfo(kind).max], kind).tobytes(), []
-
-    def __missing__(self, run: bytes) -> bytes:
-        words = self.split(run)
-        ids = [self.words.get(w) for w in words]
-        if None in ids:
-            self.missed += [w for w, x in zip(words, ids, strict=True) if x is None]
-            return b"".join(self.gap if x is None else x for x in ids)
-        out = b"".join(ids)
-        if len(self) < REMEMBERED and len(run) <= 64:
-            self[run] = out
-        return out
-
-    def read(self, text: bytes) -> tuple[bytes, list[bytes]]:
-        """Ids with gaps, and the words of the gaps."""
-        self.missed = []
-        return b"".join(map(self.__getitem__, text.split())), self.missed
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return self.gap
 
 
 def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
@@ -239,88 +237,86 @@ def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """Words with how often they occur, added up in a task as far as memory is set aside for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(path)
-        runs: Counter[bytes] = Counter()
-        words: Counter[bytes] = Counter()
+        split = Splitter(path).words
+        words: Counter[str] = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.large_binary()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            whole = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.large_string()), pa.array(words.values(), pa.int64())], ["word", "n"])
             for part in _parts(whole, "word"):
-                yield pa.RecordBatch.from_arrays([part["word"].cast(pa.binary()), part["n"]], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([part["word"].cast(pa.string()), part["n"]], ["word", "n"])
             words.clear()
 
-        def fold() -> None:
-            for each, n in runs.items():
-                for word in split(each):
-                    words[word] += n
-            runs.clear()
-
         size = 0
         for batch in batches:
-            for text in batch["text"].cast(pa.binary()):
-                raw = text.as_py()
-                runs.update(raw.split())
-                size += len(raw)
-                if size > COUNTED_BYTES:
-                    fold()
-                    if len(words) > COUNTED or sum(map(len, words)) > COUNTED_BYTES:
+            for text in batch["text"]:
+                words.update(split(text.as_py()))
+                size += len(text.as_py())
+                if size > COUNTED_CHARS:
+                    size = sum(map(len, words))
+                    if len(words) > COUNTED or 2 * size > COUNTED_CHARS:
                         yield from told()
-                    size = 0
-        fold()
+                        size = 0
         yield from told()
 
     return run
 
 
-def _filler(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to ids, with a gap for each word that is not known."""
+def _misses(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each distinct word of a text that is not known, with its place among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Known(known.value, path)
+        split, is_known = Splitter(path).words, known.value.__contains__
         for batch in batches:
             for part in _parts(batch, "text"):
-                found = [runs.read(text.as_py()) for text in part["text"].cast(pa.binary())]
-                ids, gaps = pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], ids, gaps], ["doc_id", "key", "ids", "gaps"])
+                missed = [list(dict.fromkeys(filterfalse(is_known, split(text)))) for text in part["text"].to_pylist()]
+                sizes = [len(m) for m in missed]
+                keys = part["key"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(places), pa.array([w for m in missed for w in m], pa.string())], ["key", "place", "word"])
 
     return run
 
 
-def _misses(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The words of each text that are not known, with their place among these."""
+def _filler(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to ids (their number, and the numbers compressed), with a gap for each word that is not known, and the place of each gap's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Known(known.value, path)
+        split, kind, pack = Splitter(path).words, np.dtype(narrow(path)), pa.Codec("zstd", 1).compress
+        ids_of = _Known(known.value, np.array([np.iinfo(kind).max], kind).tobytes())
         for batch in batches:
             for part in _parts(batch, "text"):
-                missed = [runs.read(text.as_py())[1] for text in part["text"].cast(pa.binary())]
-                sizes = [len(m) for m in missed]
-                keys = part["key"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(places), pa.array([w for m in missed for w in m], pa.binary())], ["key", "place", "word"])
+                sizes, ids, gaps = [], [], []
+                for text in part["text"].to_pylist():
+                    ids_of.missed = []
+                    raw = b"".join(map(ids_of.__getitem__, split(text)))
+                    place = {w: n for n, w in enumerate(dict.fromkeys(ids_of.missed))}
+                    sizes.append(len(raw) // kind.itemsize)
+                    ids.append(pack(raw, asbytes=True))
+                    gaps.append([place[w] for w in ids_of.missed])
+                columns = [part["doc_id"], part["key"], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(gaps, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "ids", "gaps"])
 
     return run
 
 
-def _joiner(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ids of 32 bits, with every gap filled by the ids found for it."""
+def _joiner(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ids of 32 bits, with every gap filled by the ids found for its word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(kind)
-        gap = np.iinfo(width).max
+        kind, unpack = np.dtype(narrow(path)), pa.Codec("zstd").decompress
+        gap = np.iinfo(kind).max
         for batch in batches:
             for part in _parts(batch, "ids"):
                 out = []
-                for raw, found in zip(part["ids"].to_pylist(), part["found"].to_pylist(), strict=True):
-                    ids = np.frombuffer(raw, width)
+                for n, raw, gaps, found in zip(*(part[c].to_pylist() for c in ("n", "ids", "gaps", "found")), strict=True):
+                    ids = np.frombuffer(unpack(raw, n * kind.itemsize, asbytes=True), kind)
                     places = np.flatnonzero(ids == gap)
                     ids = ids.astype("<u4")
-                    if len(places) != len(found or []):
-                        raise ValueError("a word of a document has no row in the word table")
-                    if found:
+                    if gaps:
+                        words = [np.frombuffer(x, "<u4") for x in found]
                         pieces = [ids[: places[0]]]
-                        for at, after, word_ids in zip(places, [*places[1:], len(ids)], found, strict=True):
-                            pieces += [np.frombuffer(word_ids, "<u4"), ids[at + 1 : after]]
+                        for at, after, word in zip(places, [*places[1:], n], gaps, strict=True):
+                            pieces += [words[word], ids[at + 1 : after]]
                         ids = np.concatenate(pieces)
                     out.append(ids.tobytes())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sitelume.llm.bpe import TIERS, decode_documents, default_tokenizer, encode_documents, piece_table, splitter, word_table
+from sitelume.llm.bpe import TIERS, Splitter, decode_documents, default_tokenizer, encode_documents, encode_words, piece_table
 from sitelume.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, ids string, key int, gaps int, found int"
@@ -52,11 +52,23 @@ def test_fuzzed_texts_equal_the_tokenizer(spark):
         assert got[k].decoded == tokenizer.decode(ids, skip_special_tokens=False), repr(text)
 
 
-def test_every_distinct_word_is_encoded_once(spark, documents):
-    table = word_table(documents.selectExpr("coalesce(text, '') AS text"), default_tokenizer()).collect()
-    split = splitter(default_tokenizer())
-    counts = Counter(w for r in documents.select("text").collect() for run in (r.text or "").encode().split() for w in split(run))
-    assert {bytes(r.word): r.n for r in table} == counts and len(table) == len(counts)
+def test_a_sample_changes_no_result(spark, documents):
+    whole = {(r.doc_id, bytes(r.ids)) for r in encode_documents(documents).collect()}
+    assert {(r.doc_id, bytes(r.ids)) for r in encode_documents(documents, sample=20_000).collect()} == whole
+
+
+def test_words_have_the_ids_of_their_text():
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    for text in filter(None, ODD):
+        words = Splitter(default_tokenizer()).words(text)
+        assert [i for w in words for i in encode(w)] == encode(text), repr(text)
+
+
+def test_table_of_words(spark):
+    words = spark.createDataFrame([("the", 3), ("It's", 1), ("", 1)], "word string, n long")
+    table = {r.word: (r.n, np.frombuffer(r.ids, "<u4").tolist()) for r in encode_words(words, default_tokenizer()).collect()}
+    assert table == {w: (n, reference(w)[0]) for w, n in [("the", 3), ("It's", 1), ("", 1)]}
 
 
 def test_very_long_texts_and_words(spark):
