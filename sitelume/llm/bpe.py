@@ -25,9 +25,9 @@ from .scratch import Scratch, only
 #: characters. Together they are a few dozen MB. Which words these are does not change a result.
 TIERS, SAMPLE = ((262_144, 32), (2_048, 4_096)), 100_000_000
 #: Distinct words, and characters of them, that a task counts before it passes them on.
-COUNTED, COUNTED_CHARS = 400_000, 1 << 24
+COUNTED, COUNTED_CHARS = 150_000, 1 << 22
 #: Bytes of a batch that a task gives at once.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 
 
 def default_tokenizer() -> str:
@@ -60,21 +60,22 @@ def encode_documents(
     docs = only(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     some = docs if size <= sample else docs.where(share_of("doc_id", "text") < sample / size)
-    counts = some.select("text").mapInArrow(_counter(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    splitter, number = Splitter(path), narrow(path)  # made here, so that tasks need no tokenizer for them
+    counts = some.select("text").mapInArrow(_counter(splitter), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = scratch.keep(encode_words(most_frequent(scratch.keep(counts), tiers), path))
-    known = spark.sparkContext.broadcast(_as_numbers(frequent, narrow(path)))
+    known = spark.sparkContext.broadcast(_as_numbers(frequent, number))
     # names a row's id and text, so that repeated rows have one name
     keyed = docs.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))))
 
-    missed = keyed.select("key", "text").mapInArrow(_misses(known, path), "key binary, place int, word string")
+    missed = keyed.select("key", "text").mapInArrow(_misses(known, splitter), "key binary, place int, word string")
     table = scratch.keep(encode_words(missed.groupBy("word").agg(F.count("*").alias("n")), path))
     found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word")
     # a set, as repeated rows miss the same words at the same places
     found = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    filled = keyed.mapInArrow(_filler(known, path), f"doc_id {kind}, key binary, n long, ids binary, gaps array<int>")
+    filled = keyed.mapInArrow(_filler(known, splitter, number), f"doc_id {kind}, key binary, n long, ids binary, gaps array<int>")
     told = filled.join(found, "key", "left").select("doc_id", "n", "ids", "gaps", F.col("found.word_ids").alias("found"))
-    return told.mapInArrow(_joiner(path), f"doc_id {kind}, ids binary")
+    return told.mapInArrow(_joiner(number), f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -86,10 +87,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_tokenizer()
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    named, plain = piece_list(_load(path)), _load(path).decoder is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        named = piece_list(tokenizer)
         pieces, used = pa.array(named, pa.large_string()), np.array([t is not None for t in named] + [False])
         for batch in batches:
             for part in _parts(batch, "ids"):
@@ -99,10 +99,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(used[flat])])[np.concatenate([[0], np.cumsum(sizes)])]  # ids without a piece are left out
                 told = pieces.take(pa.array(flat[used[flat]]))  # the join: each id with its piece
                 lists = pa.LargeListArray.from_arrays(pa.array(ends), told)
-                if tokenizer.decoder is None:
+                if plain:
                     text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
                 else:
-                    text = pa.array(map(tokenizer.decoder.decode, lists.to_pylist()), pa.large_string())
+                    text = pa.array(map(_load(path).decoder.decode, lists.to_pylist()), pa.large_string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(sizes), text.cast(pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded string")
@@ -204,17 +204,18 @@ def most_frequent(counts: DataFrame, tiers: tuple[tuple[int, int], ...]) -> Data
     return reduce(DataFrame.unionByName, tops)
 
 
-def _as_numbers(table: DataFrame, kind: str) -> dict[str, bytes]:
-    """Word to ids as numbers of `kind`, the most frequent first; the table is bounded by the tiers."""
+def _as_numbers(table: DataFrame, kind: str) -> pa.Table:
+    """Words and their ids as numbers of `kind`, the most frequent first; the table is bounded by the tiers."""
     top = table.select("n", "word", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return {w: np.frombuffer(ids, "<u4").astype(kind).tobytes() for w, ids in zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True)}
+    ids = pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in top["ids"].to_pylist()], pa.binary())
+    return pa.table({"word": top["word"], "ids": ids})
 
 
 class _Known(dict):
     """Word to ids; a word that is not there gives a gap and is noted."""
 
-    def __init__(self, words: dict[str, bytes], gap: bytes):
-        super().__init__(words)
+    def __init__(self, words: pa.Table, gap: bytes):
+        super().__init__(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
         self.gap, self.missed = gap, []
 
     def __missing__(self, word: str) -> bytes:
@@ -233,11 +234,11 @@ def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
         start = end
 
 
-def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(splitter: Splitter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Words with how often they occur, added up in a task as far as memory is set aside for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(path).words
+        split = splitter.words
         words: Counter[str] = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -261,11 +262,11 @@ def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _misses(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _misses(known: Broadcast, splitter: Splitter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each distinct word of a text that is not known, with its place among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, is_known = Splitter(path).words, known.value.__contains__
+        split, is_known = splitter.words, frozenset(known.value["word"].to_pylist()).__contains__
         for batch in batches:
             for part in _parts(batch, "text"):
                 missed = [list(dict.fromkeys(filterfalse(is_known, split(text)))) for text in part["text"].to_pylist()]
@@ -277,11 +278,11 @@ def _misses(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _filler(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _filler(known: Broadcast, splitter: Splitter, number: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts to ids (their number, and the numbers compressed), with a gap for each word that is not known, and the place of each gap's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, kind, pack = Splitter(path).words, np.dtype(narrow(path)), pa.Codec("zstd", 1).compress
+        split, kind, pack = splitter.words, np.dtype(number), pa.Codec("zstd", 1).compress
         ids_of = _Known(known.value, np.array([np.iinfo(kind).max], kind).tobytes())
         for batch in batches:
             for part in _parts(batch, "text"):
@@ -299,11 +300,11 @@ def _filler(known: Broadcast, path: str) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _joiner(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _joiner(number: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ids of 32 bits, with every gap filled by the ids found for its word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, unpack = np.dtype(narrow(path)), pa.Codec("zstd").decompress
+        kind, unpack = np.dtype(number), pa.Codec("zstd").decompress
         gap = np.iinfo(kind).max
         for batch in batches:
             for part in _parts(batch, "ids"):
