@@ -23,7 +23,7 @@ from .scratch import Scratch, only
 
 #: Words whose ids every task gets: so many of at most so many bytes, the most frequent ones of a sample of so many
 #: characters. Together they are a few dozen MB. Which words these are does not change a result.
-TIERS, SAMPLE = ((262_144, 32), (2_048, 4_096)), 100_000_000
+TIERS, SAMPLE = ((262_144, 32), (2_048, 4_096), (16, 1 << 20)), 100_000_000
 #: Distinct words, and characters of them, that a task counts before it passes them on.
 COUNTED, COUNTED_CHARS = 150_000, 1 << 22
 #: Bytes of a batch that a task gives at once.
@@ -48,8 +48,8 @@ def encode_documents(
     is encoded once, by the tokenizer itself, into a table, and ids go back to
     their positions by two joins: words that a sample shows to be frequent are
     encoded first and broadcast with their ids (`tiers` bound them); all other
-    words are gaps, of which each distinct one of a document meets the table by
-    a shuffle, so that no word has more rows than documents have it.
+    words of a document, each once, meet the table by a shuffle. Texts become
+    numbers of words before they are shuffled to the ids of their other words.
 
     Null text: empty, no ids. Rows keep their number, repeated ones included;
     a null doc_id is one like another. Very long texts and words are whole.
@@ -60,22 +60,24 @@ def encode_documents(
     docs = only(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     some = docs if size <= sample else docs.where(share_of("doc_id", "text") < sample / size)
-    splitter, number = Splitter(path), narrow(path)  # made here, so that tasks need no tokenizer for them
+    splitter = Splitter(path)  # made here, so that tasks need no tokenizer for it
     counts = some.select("text").mapInArrow(_counter(splitter), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = scratch.keep(encode_words(most_frequent(scratch.keep(counts), tiers), path))
-    known = spark.sparkContext.broadcast(_as_numbers(frequent, number))
+    known = spark.sparkContext.broadcast(_by_number(frequent))
     # names a row's id and text, so that repeated rows have one name
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))))
+    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keyed = docs.withColumns({"key": F.xxhash64(row, "text"), "key_2": F.xxhash64("text", row)})
 
-    missed = keyed.select("key", "text").mapInArrow(_misses(known, splitter), "key binary, place int, word string")
-    table = scratch.keep(encode_words(missed.groupBy("word").agg(F.count("*").alias("n")), path))
-    found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word")
+    missed = keyed.select("key", "key_2", "text").mapInArrow(_misses(known, splitter), "key long, key_2 long, place int, word string")
+    missed = missed.repartition("word")  # one exchange for the table and for the join with it
+    table = encode_words(missed.groupBy("word").agg(F.count("*").alias("n")), path)
+    found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word").select("key", "key_2", "place", "word_ids")
     # a set, as repeated rows miss the same words at the same places
-    found = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
+    found = found.repartition("key", "key_2").groupBy("key", "key_2").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    filled = keyed.mapInArrow(_filler(known, splitter, number), f"doc_id {kind}, key binary, n long, ids binary, gaps array<int>")
-    told = filled.join(found, "key", "left").select("doc_id", "n", "ids", "gaps", F.col("found.word_ids").alias("found"))
-    return told.mapInArrow(_joiner(number), f"doc_id {kind}, ids binary")
+    filled = keyed.mapInArrow(_filler(known, splitter), f"doc_id {kind}, key long, key_2 long, n long, numbers binary")
+    told = filled.join(found, ["key", "key_2"], "left").select("doc_id", "n", "numbers", F.col("found.word_ids").alias("found"))
+    return told.mapInArrow(_joiner(known), f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -134,11 +136,6 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(run, "word string, n long, ids binary")
 
 
-def narrow(path: str) -> str:
-    """The smallest kind of number that holds every id and, as its largest value, the mark of a gap."""
-    return "<u2" if max(_load(path).get_vocab(with_added_tokens=True).values()) < 0xFFFF else "<u4"
-
-
 _loaded: dict[str, Tokenizer] = {}
 
 
@@ -204,23 +201,21 @@ def most_frequent(counts: DataFrame, tiers: tuple[tuple[int, int], ...]) -> Data
     return reduce(DataFrame.unionByName, tops)
 
 
-def _as_numbers(table: DataFrame, kind: str) -> pa.Table:
-    """Words and their ids as numbers of `kind`, the most frequent first; the table is bounded by the tiers."""
+def _by_number(table: DataFrame) -> pa.Table:
+    """Words and their ids, the most frequent first: a word's number is its place here. The table is bounded by the tiers."""
     top = table.select("n", "word", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    ids = pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in top["ids"].to_pylist()], pa.binary())
-    return pa.table({"word": top["word"], "ids": ids})
+    return top.select(["word", "ids"]).combine_chunks()
 
 
 class _Known(dict):
-    """Word to ids; a word that is not there gives a gap and is noted."""
+    """Word to number; other words of a text get the numbers after the last known one, in the order of their first places."""
 
-    def __init__(self, words: pa.Table, gap: bytes):
-        super().__init__(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-        self.gap, self.missed = gap, []
+    def __init__(self, words: pa.Table):
+        super().__init__((w, n) for n, w in enumerate(words["word"].to_pylist()))
+        self.size, self.missed = len(self), {}
 
-    def __missing__(self, word: str) -> bytes:
-        self.missed.append(word)
-        return self.gap
+    def __missing__(self, word: str) -> int:
+        return self.missed.setdefault(word, self.size + len(self.missed))
 
 
 def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
@@ -271,55 +266,63 @@ def _misses(known: Broadcast, splitter: Splitter) -> Callable[[Iterator[pa.Recor
             for part in _parts(batch, "text"):
                 missed = [list(dict.fromkeys(filterfalse(is_known, split(text)))) for text in part["text"].to_pylist()]
                 sizes = [len(m) for m in missed]
-                keys = part["key"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(places), pa.array([w for m in missed for w in m], pa.string())], ["key", "place", "word"])
+                columns = [part["key"].take(rows), part["key_2"].take(rows), pa.array(places), pa.array([w for m in missed for w in m], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "key_2", "place", "word"])
 
     return run
 
 
-def _filler(known: Broadcast, splitter: Splitter, number: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to ids (their number, and the numbers compressed), with a gap for each word that is not known, and the place of each gap's word."""
+def _filler(known: Broadcast, splitter: Splitter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to the numbers of their words, packed byte by byte of all numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, kind, pack = splitter.words, np.dtype(number), pa.Codec("zstd", 1).compress
-        ids_of = _Known(known.value, np.array([np.iinfo(kind).max], kind).tobytes())
+        split, number_of, pack = splitter.words, _Known(known.value), pa.Codec("zstd", 1).compress
         for batch in batches:
             for part in _parts(batch, "text"):
-                sizes, ids, gaps = [], [], []
+                sizes, packed = [], []
                 for text in part["text"].to_pylist():
-                    ids_of.missed = []
-                    raw = b"".join(map(ids_of.__getitem__, split(text)))
-                    place = {w: n for n, w in enumerate(dict.fromkeys(ids_of.missed))}
-                    sizes.append(len(raw) // kind.itemsize)
-                    ids.append(pack(raw, asbytes=True))
-                    gaps.append([place[w] for w in ids_of.missed])
-                columns = [part["doc_id"], part["key"], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(gaps, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "ids", "gaps"])
+                    words = split(text)
+                    number_of.missed = {}
+                    numbers = np.fromiter(map(number_of.__getitem__, words), "<u4", len(words))
+                    sizes.append(len(words))
+                    packed.append(pack(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True))
+                columns = [part["doc_id"], part["key"], part["key_2"], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "key_2", "n", "numbers"])
 
     return run
 
 
-def _joiner(number: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ids of 32 bits, with every gap filled by the ids found for its word."""
+def _joiner(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers of words to ids: those of the known words, and after them those found for the document's other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, unpack = np.dtype(number), pa.Codec("zstd").decompress
-        gap = np.iinfo(kind).max
+        unpack = pa.Codec("zstd").decompress
+        every = _rows(known.value["ids"])
         for batch in batches:
-            for part in _parts(batch, "ids"):
-                out = []
-                for n, raw, gaps, found in zip(*(part[c].to_pylist() for c in ("n", "ids", "gaps", "found")), strict=True):
-                    ids = np.frombuffer(unpack(raw, n * kind.itemsize, asbytes=True), kind)
-                    places = np.flatnonzero(ids == gap)
-                    ids = ids.astype("<u4")
-                    if gaps:
-                        words = [np.frombuffer(x, "<u4") for x in found]
-                        pieces = [ids[: places[0]]]
-                        for at, after, word in zip(places, [*places[1:], n], gaps, strict=True):
-                            pieces += [words[word], ids[at + 1 : after]]
-                        ids = np.concatenate(pieces)
-                    out.append(ids.tobytes())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for part in _parts(batch, "numbers"):
+                sizes = part["n"].to_numpy()
+                numbers = [np.frombuffer(unpack(x, 4 * n, asbytes=True), np.uint8).reshape(4, -1).T for x, n in zip(part["numbers"].to_pylist(), sizes, strict=True)]
+                numbers = [np.ascontiguousarray(x).view("<u4").ravel().astype(np.int64) for x in numbers]
+                found = part["found"].fill_null([]) if part["found"].null_count else part["found"]
+                shift = 0
+                for mine, n in zip(numbers, pc.list_value_length(found).to_numpy(zero_copy_only=False), strict=True):
+                    mine[mine >= len(every)] += shift  # after the words of the documents before
+                    shift += int(n)
+                table = pa.concat_arrays([every, _rows(found.flatten())])
+                told = table.take(pa.array(np.concatenate(numbers)))  # the join: each word with its ids
+                counts = pc.list_value_length(told).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+                flat = told.flatten().to_numpy(zero_copy_only=False)
+                ids = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
+
+
+def _rows(ids: pa.Array | pa.ChunkedArray) -> pa.LargeListArray:
+    """Ids as bytes to lists of numbers."""
+    values = [np.frombuffer(x, "<u4") for x in ids.to_pylist()]
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, "<u4"), *values])))
