@@ -27,7 +27,7 @@ TIERS, SAMPLE = ((262_144, 32), (2_048, 4_096), (16, 1 << 20)), 100_000_000
 #: Distinct words, and characters of them, that a task counts before it passes them on.
 COUNTED, COUNTED_CHARS = 150_000, 1 << 22
 #: Bytes of a batch that a task gives at once.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -39,17 +39,21 @@ def default_tokenizer() -> str:
 
 def encode_documents(
     df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    tiers: tuple[tuple[int, int], ...] = TIERS, sample: int = SAMPLE,
+    tiers: tuple[tuple[int, int], ...] = TIERS, sample: int = SAMPLE, decode: bool = False,
 ) -> DataFrame:
     """The ids of whole texts: doc_id, ids (binary: little-endian unsigned 32-bit numbers), as the tokenizer of `path` gives them without special tokens.
 
+    With `decode` also n_tokens and decoded, as `decode_documents` gives them.
+
     The tokenizer must drop white space, so that a text's ids are those of its
     words one after another; `Splitter` says what a word is. Each distinct word
     is encoded once, by the tokenizer itself, into a table, and ids go back to
     their positions by two joins: words that a sample shows to be frequent are
-    encoded first and broadcast with their ids (`tiers` bound them); all other
-    words of a document, each once, meet the table by a shuffle. Texts become
-    numbers of words before they are shuffled to the ids of their other words.
+    encoded first and broadcast with their ids (`tiers` bound them, and any word
+    in a large share of the rows is among them). All other words of a document,
+    each once, are shuffled and sorted by word, so that the rows of a word meet
+    its ids where these are made. Texts become numbers of words before they are
+    shuffled to the ids of their other words.
 
     Null text: empty, no ids. Rows keep their number, repeated ones included;
     a null doc_id is one like another. Very long texts and words are whole.
@@ -69,15 +73,16 @@ def encode_documents(
     keyed = docs.withColumns({"key": F.xxhash64(row, "text"), "key_2": F.xxhash64("text", row)})
 
     missed = keyed.select("key", "key_2", "text").mapInArrow(_misses(known, splitter), "key long, key_2 long, place int, word string")
-    missed = missed.repartition("word")  # one exchange for the table and for the join with it
-    table = encode_words(missed.groupBy("word").agg(F.count("*").alias("n")), path)
-    found = missed.join(table.select("word", F.col("ids").alias("word_ids")), "word").select("key", "key_2", "place", "word_ids")
+    found = encode_words(missed.repartition("word").sortWithinPartitions("word"), path).drop("word").withColumnRenamed("ids", "word_ids")
     # a set, as repeated rows miss the same words at the same places
     found = found.repartition("key", "key_2").groupBy("key", "key_2").agg(F.sort_array(F.collect_set(F.struct("place", "word_ids"))).alias("found"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     filled = keyed.mapInArrow(_filler(known, splitter), f"doc_id {kind}, key long, key_2 long, n long, numbers binary")
     told = filled.join(found, ["key", "key_2"], "left").select("doc_id", "n", "numbers", F.col("found.word_ids").alias("found"))
-    return told.mapInArrow(_joiner(known), f"doc_id {kind}, ids binary")
+    if not decode:
+        return told.mapInArrow(_joiner(known), f"doc_id {kind}, ids binary")
+    join, read = _joiner(known), _decoder(path)
+    return told.mapInArrow(lambda batches: read(join(batches)), f"doc_id {kind}, {_DECODED}")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -87,8 +92,14 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     size is bounded) in Arrow batches; pieces are joined as the tokenizer's
     decoder does.
     """
-    path = path or default_tokenizer()
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path or default_tokenizer()), f"doc_id {kind}, {_DECODED}")
+
+
+_DECODED = "ids binary, n_tokens long, decoded string"
+
+
+def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     named, plain = piece_list(_load(path)), _load(path).decoder is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +118,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     text = pa.array(map(_load(path).decoder.decode, lists.to_pylist()), pa.large_string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(sizes), text.cast(pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded string")
+    return run
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -124,16 +135,24 @@ def piece_list(tokenizer: Tokenizer) -> list[str | None]:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """A table of distinct words (word, n) with their ids: word, n, ids (binary)."""
+    """`words` (word, and other columns) with their ids (binary); rows of one word that stand together are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
+        last, last_ids = None, b""
         for batch in batches:
             for part in _parts(batch, "word"):
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part["word"].to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part["word"], part["n"], pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    return words.mapInArrow(run, "word string, n long, ids binary")
+                runs = pc.run_end_encode(part["word"], run_end_type=pa.int64())
+                distinct = runs.values.to_pylist()
+                fresh = distinct[1:] if distinct[0] == last else distinct  # a run may go on from the part before
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(fresh, add_special_tokens=False)]
+                ids = [last_ids, *ids] if len(fresh) < len(distinct) else ids
+                last, last_ids = distinct[-1], ids[-1]
+                of_run = np.repeat(np.arange(len(ids)), np.diff(runs.run_ends.to_numpy(), prepend=0))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()).take(pa.array(of_run))], [*part.schema.names, "ids"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInArrow(run, f"{kinds}, ids binary")
 
 
 _loaded: dict[str, Tokenizer] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_by_collisions
-from .bpe import decode_documents, encode_documents
+from .bpe import encode_documents
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .lloyd import delta_lloyd
@@ -85,7 +85,7 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_documents(encode_documents(_table(spark, sf_dir, "documents")))
+    found = encode_documents(_table(spark, sf_dir, "documents"), decode=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

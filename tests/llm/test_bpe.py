@@ -66,9 +66,17 @@ def test_words_have_the_ids_of_their_text():
 
 
 def test_table_of_words(spark):
-    words = spark.createDataFrame([("the", 3), ("It's", 1), ("", 1)], "word string, n long")
-    table = {r.word: (r.n, np.frombuffer(r.ids, "<u4").tolist()) for r in encode_words(words, default_tokenizer()).collect()}
-    assert table == {w: (n, reference(w)[0]) for w, n in [("the", 3), ("It's", 1), ("", 1)]}
+    rows = [("the", 3), ("the", 4), ("It's", 1), ("", 1), ("", 2), ("the", 5)]
+    got = encode_words(spark.createDataFrame(rows, "word string, n long").coalesce(1), default_tokenizer()).collect()
+    assert [(r.word, r.n, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(w, n, reference(w)[0]) for w, n in rows]
+
+
+def test_runs_of_a_word_across_batches(spark):
+    rows = [("w" * 50, n) for n in range(9)] + [("the", n) for n in range(90)] + [("a", 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    got = encode_words(spark.createDataFrame(rows, "word string, n long").coalesce(1), default_tokenizer()).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.word, r.n, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(w, n, reference(w)[0]) for w, n in rows]
 
 
 def test_very_long_texts_and_words(spark):
