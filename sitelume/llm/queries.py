@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest_by_collisions
 from .bpe import encode_documents
 from .language import identify_languages, learn_languages
+from .lexical import rank_documents
 from .line_dedup import dedup_lines
 from .lloyd import delta_lloyd
 from .mixing import mix_documents
@@ -84,6 +85,10 @@ def op10_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(_table(spark, sf_dir, "documents"), decode=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_lexicon": op8_toxicity_lexicon,
     "op9_collision_ann": op9_collision_ann,
     "op10_minmax_near_dup": op10_minmax_near_dup,
+    "op11_inverted_treaps": op11_inverted_treaps,
     "op12_word_table_bpe": op12_word_table_bpe,
     "op13_delta_lloyd": op13_delta_lloyd,
 }
