@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slices
+
 HOUR = 3_600_000
 # Named rule sets, as (requests, hours).
 PRESETS = {
@@ -69,22 +70,34 @@ def search(index: DataFrame, text: str) -> DataFrame:
 def trailing_counts(requests: DataFrame, hours: list[int]) -> DataFrame:
     """Requests in the trailing windows of each request, both ends included: n_<hours>h, and oldest_<hours>h (ms).
 
-    Requests of one millisecond are counted first; what is left is dealt to
-    buckets as long as the longest window, each of which also holds the bucket
-    before it, which windows reach back into.
+    Requests of one millisecond are counted first. A window's count is the
+    running sum at its end less the running sum before its start: starts are
+    merged with the requests in the order of time, so that each row is read once,
+    however many requests a window holds. Running sums are worked out by the
+    hour and over a row for each hour; requests without a time have no window.
     """
     told = requests.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    counts = told.groupBy("ms").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.col("ms") / (max(hours) * HOUR))
-    spread = counts.withColumn("bucket", bucket).withColumn("of", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    for h in hours:
-        w = Window.partitionBy("of").orderBy("ms").rangeBetween(-h * HOUR, 0)
-        spread = spread.withColumns({f"n_{h}h": F.sum("n").over(w), f"oldest_{h}h": F.min("ms").over(w)})
-    return told.join(spread.where("of = bucket").drop("of", "bucket", "n"), "ms")
+    counts = told.where("ms IS NOT NULL").groupBy("ms").agg(F.count("*").alias("n"))
+    # h = 0: the request itself; else the start of its window of h hours
+    ends = [F.struct((F.col("ms") - h * HOUR).alias("at"), F.lit(h).alias("h"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("own")) for h in hours]
+    own = F.struct(F.col("ms").alias("at"), F.lit(0).alias("h"), "n", F.col("ms").alias("own"))
+    merged = counts.select("ms", F.inline(F.array(own, *ends))).withColumn("hour", F.floor(F.col("at") / HOUR))
+    is_own = F.col("h") == 0
+    up = Window.partitionBy("hour").orderBy("at", is_own).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("hour").orderBy(F.desc("at"), is_own.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumns({"sum": F.coalesce(F.sum("n").over(up), F.lit(0)), "next": F.min("own").over(down)})
+    by_hour = counts.groupBy(F.floor(F.col("ms") / HOUR).alias("hour")).agg(F.sum("n").alias("n"), F.min("ms").alias("first"))
+    every = merged.select("hour").distinct().join(by_hour, "hour", "left")  # a row an hour
+    before, after = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.min("first").over(after).alias("later"))
+    merged = merged.join(every, "hour").select("ms", "h", (F.col("start") + F.col("sum")).alias("sum"), F.coalesce("next", "later").alias("next"))
+    pick = lambda c, h: F.max(F.when(F.col("h") == h, F.col(c)))
+    aggs = [(pick("sum", 0) - pick("sum", h)).alias(f"n_{h}h") for h in hours] + [pick("next", h).alias(f"oldest_{h}h") for h in hours]
+    return told.join(merged.groupBy("ms").agg(*aggs), "ms", "left")
 
 
 def limit_status(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: Column) -> DataFrame:
-    """State of each rule now: requests in its window, whether it blocks, when it next has room."""
+    """State of each rule (by its place in the list) now: requests in its window, whether it blocks, when it next has room."""
     ms, at = F.unix_millis(F.col("ts").cast("timestamp")), F.unix_millis(now)
     aggs = []
     for k, (_, hours) in enumerate(rules):
@@ -94,6 +107,7 @@ def limit_status(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: C
     rows = F.array(
         *[
             F.struct(
+                F.lit(k).alias("rule"),
                 F.lit(most).alias("max_requests"),
                 F.lit(hours).alias("window_hours"),
                 F.col(f"n{k}").alias("current"),
@@ -109,11 +123,11 @@ def limit_status(requests: DataFrame, rules: tuple[tuple[int, int], ...], now: C
 
 def limit_summary(status: DataFrame, now: Column) -> DataFrame:
     """One row over the rules of `limit_status`: is_blocked, the last rule that blocks, when a request is allowed again."""
-    order = F.struct("window_hours", "max_requests")
     blocks = F.col("is_blocked")
+    last = F.max_by(F.struct("max_requests", "window_hours"), F.when(blocks, F.col("rule")))
     return status.agg(
         F.coalesce(F.bool_or(blocks), F.lit(False)).alias("is_blocked"),
-        F.max(F.when(blocks, order)).alias("rule"),
+        F.when(F.coalesce(F.bool_or(blocks), F.lit(False)), last).alias("rule"),
         F.greatest(F.unix_millis(now), F.max(F.when(blocks, F.col("next_reset_ms")))).alias("next_allowed_ms"),
     ).select("is_blocked", F.col("rule.max_requests").alias("max_requests"), F.col("rule.window_hours").alias("window_hours"), "next_allowed_ms")
 
@@ -149,69 +163,90 @@ def admit(times: list[int], most: int, window_ms: int) -> list[bool]:
     return [limiter.hit(now) for now in times]
 
 
-def in_order(rows: DataFrame, key: str, order: list[str], new: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
-    """Fold over the rows of each key in order: `step` gets the key's state and a row (as `rows` has it) and gives an output row.
+_ADMITTED = {"is_admitted": ("boolean", pa.bool_())}
 
-    A task reads its keys sorted, batch by batch, and holds the state of one
-    key at a time, however many rows the key has.
-    """
-    names = rows.columns
-    at = names.index(key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[at] != now:
-                    now, state = row[at], new()
-                out.append(step(state, row))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+def _segments(rows: DataFrame, keys: list[str], cut: Column, last: Column) -> DataFrame:
+    """`rows` (keys, ms, seq) with segment, which grows at each row where `cut` holds: there a key's state is that of a new key.
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    `cut` may use _last, the last value of `last` in the key's rows before.
+    """
+    told = slices.last_before(slices.sliced(rows, keys, F.col("ms")), last, ["ms", "seq"], "_last")
+    told = slices.running_sum(told, F.when(cut, 1).otherwise(0), ["ms", "seq"], "segment")
+    return told.select(*rows.columns, "segment")
 
 
 def sliding_limiter(requests: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
-    """Requests (key, ts, seq) with is_admitted; keys are independent. State is at most `most` times."""
-    told = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq")
-    kind = requests.schema[key].dataType.simpleString()
-    step = lambda limiter, row: (*row, limiter.hit(row[1]))
-    return in_order(told, key, ["ms", "seq"], lambda: Limiter(most, window_ms), step, f"{key} {kind}, ms long, seq long, is_admitted boolean")
+    """Requests (key, ts, seq) with is_admitted; keys are independent, and null is one of them. State is at most `most` times.
+
+    A key's requests are split where none came for a whole window, as nothing
+    is remembered there, so a key with most rows is many tasks if it ever rests.
+    """
+    told = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq").where("ms IS NOT NULL")
+    told = _segments(told, [key], F.col("ms") - F.col("_last") >= window_ms, F.col("ms"))
+    step = lambda limiter, row: (limiter.hit(row[1]),)
+    return slices.fold(told, [key, "segment"], ["ms", "seq"], lambda: Limiter(most, window_ms), step, _ADMITTED).drop("segment")
 
 
 def bucket_limiter(requests: DataFrame) -> DataFrame:
-    """Requests (bucket, key, ts, seq) with is_admitted, each kind under its own limit; mail addresses in lower case."""
+    """Requests (bucket, key, ts, seq) with is_admitted, each kind under its own limit; mail addresses in lower case.
+
+    A null key and an empty one have limits of their own.
+    """
     name = F.when(F.col("bucket") == "email-send", F.lower("key")).otherwise(F.col("key"))
-    told = requests.where(F.col("bucket").isin(*BUCKETS)).select(
-        F.concat_ws("\n", "bucket", name).alias("of"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq"
-    )
+    told = requests.where(F.col("bucket").isin(*BUCKETS)).select("bucket", name.alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq")
+    window = F.element_at(F.create_map(*[F.lit(x) for bucket, (_, ms) in BUCKETS.items() for x in (bucket, ms)]), F.col("bucket"))
+    told = _segments(told.where("ms IS NOT NULL"), ["bucket", "key"], F.col("ms") - F.col("_last") >= window, F.col("ms"))
 
     def step(state: dict, row: tuple) -> tuple:
-        bucket, _, key = row[0].partition("\n")
         if not state:
-            state["limiter"] = Limiter(*BUCKETS[bucket])
-        return bucket, key, row[1], row[2], state["limiter"].hit(row[1])
+            state["limiter"] = Limiter(*BUCKETS[row[0]])
+        return (state["limiter"].hit(row[2]),)
+
+    return slices.fold(told, ["bucket", "key", "segment"], ["ms", "seq"], dict, step, _ADMITTED).drop("segment")
+
 
-    return in_order(told, "of", ["ms", "seq"], dict, step, "bucket string, key string, ms long, seq long, is_admitted boolean")
+class Rotation:
+    """Failures of a domain in a row, and whether the user agent rotates: at the third, unless it did a minute ago or less."""
+
+    def __init__(self, run: int = 0, last: int | None = None):
+        self.run, self.last = run, last
+
+    def response(self, ms: int, failed: bool, missing: bool) -> tuple[int, bool]:
+        self.run = self.run + 1 if failed else 0 if missing else self.run
+        turn = failed and self.run >= FAILURES and (self.last is None or ms - self.last > ROTATION_MS)
+        told = self.run
+        if turn:
+            self.run, self.last = 0, ms
+        return told, turn
+
+
+def refused(responses: DataFrame) -> Column:
+    """Whether a response counts as refused: status 403, or an error (if there is such a column) that says 403 or blocked."""
+    told = F.coalesce(F.col("status") == 403, F.lit(False))
+    if "error" in responses.columns:
+        told |= F.coalesce(F.col("error").contains("403") | F.col("error").contains("blocked"), F.lit(False))
+    return told
 
 
 def rotations(responses: DataFrame, key: str = "domain") -> DataFrame:
-    """Responses (key, ts, seq, status) with failures (403s since the last 404 or rotation) and is_rotated.
+    """Responses (key, ts, seq, status, and error if there is one) with failures (refused since the last 404 or rotation) and is_rotated.
 
-    The third 403 rotates the user agent, unless that happened a minute ago or less.
+    The third refusal rotates the user agent, unless that happened a minute ago
+    or less. A key's responses are split at each 404 that has no refusal in the
+    minute before it, as nothing is remembered there. Null is a key like another.
     """
-    told = responses.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq", F.coalesce("status", F.lit(0)).alias("status"))
-    kind = responses.schema[key].dataType.simpleString()
+    told = responses.select(
+        key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq", F.coalesce("status", F.lit(0)).alias("status"), refused(responses).alias("_refused")
+    ).where("ms IS NOT NULL")
+    rests = ~F.col("_refused") & (F.col("status") == 404) & F.coalesce(F.col("ms") - F.col("_last") > ROTATION_MS, F.lit(True))
+    told = _segments(told, [key], rests, F.when(F.col("_refused"), F.col("ms")))
 
-    def step(state: dict, row: tuple) -> tuple:
-        _, ms, _, status = row
-        run, last = state.get("run", 0), state.get("last")
-        run = run + 1 if status == 403 else 0 if status == 404 else run
-        turn = status == 403 and run >= FAILURES and (last is None or ms - last > ROTATION_MS)
-        state.update(run=0 if turn else run, last=ms if turn else last)
-        return *row, run, turn
+    def step(state: Rotation, row: tuple) -> tuple:
+        return state.response(row[1], row[4], row[3] == 404)
 
-    return in_order(told, key, ["ms", "seq"], dict, step, f"{key} {kind}, ms long, seq long, status int, failures int, is_rotated boolean")
+    added = {"failures": ("int", pa.int32()), "is_rotated": ("boolean", pa.bool_())}
+    return slices.fold(told, [key, "segment"], ["ms", "seq"], Rotation, step, added).drop("segment", "_refused")
 
 
 def kept_jobs(jobs: DataFrame, now: Column) -> DataFrame:
@@ -250,12 +285,19 @@ def running_jobs(jobs: DataFrame) -> DataFrame:
     return told.select("ts", "job_id", "kind", (F.col("at_hour") + F.col("inside")).alias("running"))
 
 
-def streaks(events: DataFrame, key: str, order: list[str], failed: Column, least: int = 3) -> DataFrame:
-    """Runs of `least` or more failures in a row of each key: key, first, last, failures."""
-    w = Window.partitionBy(key).orderBy(*order)
-    told = events.withColumn("is_failed", failed)
-    told = told.withColumn("island", F.count_if(~F.col("is_failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = told.where("is_failed").groupBy(key, "island").agg(
+def _islands(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
+    """Failures with the island (run of failures) of their key that they are in; order[0] is a time."""
+    told = slices.sliced(events.withColumn("is_failed", failed), [key], F.unix_millis(F.col(order[0]).cast("timestamp")))
+    return slices.running_sum(told, F.when(~F.col("is_failed"), 1).otherwise(0), order, "island").where("is_failed")
+
+
+def streaks(events: DataFrame, key: str, order: list[str], failed: Column, least: int = FAILURES) -> DataFrame:
+    """Runs of `least` or more failures in a row of each key: key, first, last, failures.
+
+    A key's events are worked on by time slices, and a run is added up from its
+    parts. Null is a key like another.
+    """
+    runs = _islands(events, key, order, failed).groupBy(key, "island").agg(
         F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("failures")
     )
     return runs.where(F.col("failures") >= least).drop("island")
@@ -263,13 +305,10 @@ def streaks(events: DataFrame, key: str, order: list[str], failed: Column, least
 
 def alerts(events: DataFrame, key: str, order: list[str], failed: Column, least: int = FAILURES) -> DataFrame:
     """A row for each failure that is the `least`-th in a row of its key, or a later one: key, ts, failures, message."""
-    w = Window.partitionBy(key).orderBy(*order)
-    told = events.withColumn("is_failed", failed)
-    told = told.withColumn("island", F.count_if(~F.col("is_failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(key, "island").orderBy(*order))
-    told = told.where("is_failed").withColumn("failures", place).where(F.col("failures") >= least)
+    told = _islands(events, key, order, failed).select(key, *order, "_slice", F.struct(key, "island").alias("_key"))
+    told = slices.running_sum(told, F.lit(1), order, "failures").where(F.col("failures") >= least)
     message = F.concat(F.lit('[ALERT] Domain "'), F.col(key).cast("string"), F.lit('" failed '), F.col("failures"), F.lit(" crawls in a row"))
-    return told.select(key, order[0], "failures", message.alias("message"))
+    return told.select(key, order[0], F.col("failures").cast("int").alias("failures"), message.alias("message"))
 
 
 def frontier(seeds: DataFrame, index: DataFrame) -> DataFrame:

@@ -143,20 +143,20 @@ def sitemap_documents(spark: SparkSession, d: str) -> DataFrame:
 
 # --- limits and jobs -------------------------------------------------------------
 
-_STATUS = """lim AS (SELECT r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o
+_STATUS = """lim AS (SELECT r.i, r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o
   FROM (SELECT (epoch_us(ts) // 1000) AS ms, max((epoch_us(ts) // 1000)) OVER () - 7200000 AS now FROM events) e
-  CROSS JOIN (VALUES (1, 1), (2, 3), (100000, 5)) AS r(m, h) GROUP BY r.m, r.h, now)"""
+  CROSS JOIN (VALUES (0, 2, 3), (1, 1, 1), (2, 100000, 5)) AS r(i, m, h) GROUP BY r.i, r.m, r.h, now)"""
 
 
 @R.query(
     "limit_summary",
-    f"""WITH {_STATUS} SELECT bool_or(n >= m) AS is_blocked, arg_max(m, h) FILTER (n >= m) AS max_requests, max(h) FILTER (n >= m) AS window_hours,
+    f"""WITH {_STATUS} SELECT bool_or(n >= m) AS is_blocked, arg_max(m, i) FILTER (n >= m) AS max_requests, arg_max(h, i) FILTER (n >= m) AS window_hours,
   greatest(max(now), coalesce(max(o + h * 3600000) FILTER (n >= m), 0)) AS next_allowed_ms FROM lim""",
 )
 def limit_summary(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     now = F.timestamp_millis(F.lit(events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] - 2 * state.HOUR))
-    return state.limit_summary(state.limit_status(events, ((1, 1), (2, 3), (100_000, 5)), now), now)
+    return state.limit_summary(state.limit_status(events, ((2, 3), (1, 1), (100_000, 5)), now), now)
 
 
 @R.query(

@@ -389,10 +389,10 @@ def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "rate_limit_status",
-    """SELECT m AS max_requests, h AS window_hours, n AS current, greatest(0, m - n) AS remaining, n >= m AS is_blocked,
+    """SELECT i AS rule, m AS max_requests, h AS window_hours, n AS current, greatest(0, m - n) AS remaining, n >= m AS is_blocked,
   coalesce(o + h * 3600000, now) AS next_reset_ms FROM (
-  SELECT r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o
-  FROM (SELECT (epoch_us(ts) // 1000) AS ms, max((epoch_us(ts) // 1000)) OVER () - 7200000 AS now FROM events) e CROSS JOIN (VALUES (120, 1), (300, 3), (600, 5)) AS r(m, h) GROUP BY r.m, r.h, now)""",
+  SELECT r.i, r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o
+  FROM (SELECT (epoch_us(ts) // 1000) AS ms, max((epoch_us(ts) // 1000)) OVER () - 7200000 AS now FROM events) e CROSS JOIN (VALUES (0, 120, 1), (1, 300, 3), (2, 600, 5)) AS r(i, m, h) GROUP BY r.i, r.m, r.h, now)""",
 )
 def rate_limit_status(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")

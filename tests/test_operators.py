@@ -220,8 +220,15 @@ def test_rotations_and_buckets(spark):
         return datetime(2024, 1, 1, 0, k, s)
 
     rows = [("d", at(0, s), s, 403) for s in range(3)] + [("d", at(0, 10 + s), 10 + s, 403) for s in range(3)] + [("d", at(1, 30), 40, 403), ("d", at(1, 31), 41, 404), ("d", at(1, 32), 42, 403)]
-    got = state.rotations(spark.createDataFrame(rows, "domain string, ts timestamp, seq int, status int")).orderBy("ms").collect()
-    assert [(r.failures, r.is_rotated) for r in got] == [(1, False), (2, False), (3, True), (1, False), (2, False), (3, False), (4, True), (0, False), (1, False)]
+    want = [(1, False), (2, False), (3, True), (1, False), (2, False), (3, False), (4, True), (0, False), (1, False)]
+    for domain in ("d", None):
+        told = [(domain, *r[1:]) for r in rows]
+        got = state.rotations(spark.createDataFrame(told, "domain string, ts timestamp, seq int, status int")).orderBy("ms").collect()
+        assert [(r.failures, r.is_rotated) for r in got] == want
+    # the same, told by error messages
+    errors = [(d, ts, seq, None if status == 403 else status, "net: blocked" if status == 403 else None) for d, ts, seq, status in rows]
+    got = state.rotations(spark.createDataFrame(errors, "domain string, ts timestamp, seq int, status int, error string")).orderBy("ms").collect()
+    assert [(r.failures, r.is_rotated) for r in got] == want
     hits = [("email-send", key, at(0, s), s) for s, key in enumerate(["A@x.cz", "a@X.cz"] * 4)] + [("crawl-start", "ip", at(0, s), 50 + s) for s in range(6)]
     told = state.bucket_limiter(spark.createDataFrame(hits, "bucket string, key string, ts timestamp, seq int")).orderBy("seq").collect()
     assert [r.is_admitted for r in told] == [True] * 5 + [False] * 3 + [True] * 5 + [False]
