@@ -12,7 +12,7 @@ from sitelume.operators import groups, html, keywords, robots, sitemaps, state
 
 from .fixtures import CTE, crawl, edges, recrawl, site_pages, table
 from .registry import Registry
-from .site_queries import _EVENTS, _KW, _ROBOTS, _diff, _keywords, _status_events
+from .site_queries import _EVENTS, _KW, _ROBOTS, _diff, _keywords, _status_events, limiter_sql
 from .site_queries import _DIFF as _DIFF_SQL
 
 R = Registry()
@@ -169,22 +169,52 @@ def unexpired_requests(spark: SparkSession, d: str) -> DataFrame:
     return state.unexpired(events, state.parse_rules("tiered"), now).select("event_id")
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
+def _requests(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(F.lit("crawl-start"), F.lit("crawl-read"), F.lit("email-send"), F.lit("other")), (F.col("user_id") % 4 + 1).cast("int"))
     key = F.concat(F.when(F.col("event_id") % 2 == 0, "Key").otherwise("key"), (F.col("user_id") % 12).cast("string"))
-    return table(spark, d, "events").select(kind.alias("bucket"), key.alias("key"), "ts", F.col("event_id").alias("seq"))
+    return events.select(kind.alias("bucket"), key.alias("key"), "ts", F.col("event_id").alias("seq"))
 
 
-@R.query("bucket_limits")
+_BUCKETS = limiter_sql(
+    """SELECT bucket, CASE WHEN bucket = 'email-send' THEN lower(key) ELSE key END AS key, ms, seq FROM (
+  SELECT ['crawl-start', 'crawl-read', 'email-send', 'other'][user_id % 4 + 1] AS bucket, CASE WHEN event_id % 2 = 0 THEN 'Key' ELSE 'key' END || (user_id % 12) AS key,
+    epoch_us(ts) // 1000 AS ms, event_id AS seq FROM events) WHERE bucket <> 'other'""",
+    "bucket, key",
+    "CASE bucket WHEN 'crawl-read' THEN 120 ELSE 5 END",
+    "CASE bucket WHEN 'email-send' THEN 86400000 ELSE 3600000 END",
+)
+
+
+@R.query("bucket_limits", _BUCKETS)
 def bucket_limits(spark: SparkSession, d: str) -> DataFrame:
-    return state.bucket_limiter(_requests(spark, d))
+    return state.bucket_limiter(_requests(table(spark, d, "events")))
+
+
+_ROTATIONS = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id AS seq,
+    CASE WHEN event_type IN ('click', 'view') THEN 403 WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
+    event_type = 'purchase' AND event_id % 2 = 0 AS told, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT user_id, ms, seq, status, r, CASE WHEN status = 403 OR told THEN 1 ELSE 0 END AS failures, FALSE AS is_rotated, CASE WHEN status = 403 OR told THEN 1 ELSE 0 END AS run,
+    CAST(NULL AS BIGINT) AS last FROM e WHERE r = 1
+  UNION ALL
+  SELECT user_id, ms, seq, status, r, n, turn, CASE WHEN turn THEN 0 ELSE n END, CASE WHEN turn THEN ms ELSE last END
+  FROM (SELECT *, refused AND n >= 3 AND (last IS NULL OR ms - last > 60000) AS turn
+    FROM (SELECT e.user_id, e.ms, e.seq, e.status, e.r, f.last, e.status = 403 OR e.told AS refused,
+        CASE WHEN e.status = 403 OR e.told THEN f.run + 1 WHEN e.status = 404 THEN 0 ELSE f.run END AS n
+      FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)))
+SELECT user_id, ms, seq, status, failures, is_rotated FROM f"""
+
+
+def _responses(events: DataFrame) -> DataFrame:
+    """Refusals by status, and some that only their message tells."""
+    kind = F.col("event_type")
+    status = F.when(kind.isin("click", "view"), 403).when(kind == "error", 404).otherwise(200)
+    error = F.when((kind == "purchase") & (F.col("event_id") % 2 == 0), "request was blocked")
+    return events.select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"), error.alias("error"))
 
 
-@R.query("agent_rotations")
+@R.query("agent_rotations", _ROTATIONS)
 def agent_rotations(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("event_type").isin("click", "view"), 403).when(F.col("event_type") == "error", 404).otherwise(200)
-    events = table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"))
-    return state.rotations(events, "user_id")
+    return state.rotations(_responses(table(spark, d, "events")), "user_id")
 
 
 _JOBS = """jobs AS (SELECT event_id AS job_id, ts AS started_at, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 HOUR * (event_id % 50) END AS finished_at FROM events WHERE event_id % 3 = 0)"""

@@ -400,7 +400,22 @@ def rate_limit_status(spark: SparkSession, d: str) -> DataFrame:
     return state.limit_status(events, state.parse_rules("tiered"), now)
 
 
-@R.query("sliding_limiter")
+def limiter_sql(rows: str, keys: str, most: str, window_ms: str) -> str:
+    """A sliding limiter row by row: `rows` is SQL of (keys, ms, seq); limit and window are SQL of a row's keys."""
+    mine = ", ".join(f"e.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms, seq) AS r, {most} AS most, {window_ms} AS win FROM ({rows})),
+f AS (SELECT {keys}, ms, seq, r, most > 0 AS is_admitted, [ms] AS held FROM e WHERE r = 1
+  UNION ALL
+  SELECT {keys}, ms, seq, r, len(k) < most AS is_admitted, CASE WHEN len(k) < most THEN list_append(k, ms) ELSE k END AS held
+  FROM (SELECT {mine}, e.ms, e.seq, e.r, e.most, list_filter(f.held, lambda t: t > e.ms - e.win) AS k
+    FROM f JOIN e ON {" AND ".join(f"e.{k} IS NOT DISTINCT FROM f.{k}" for k in keys.split(", "))} AND e.r = f.r + 1))
+SELECT {keys}, ms, seq, is_admitted FROM f"""
+
+
+_LIMITER = limiter_sql("SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id AS seq FROM events", "user_id", "5", "86400000")
+
+
+@R.query("sliding_limiter", _LIMITER)
 def sliding_limiter(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"))
     return state.sliding_limiter(events, "user_id", 5, 24 * state.HOUR)

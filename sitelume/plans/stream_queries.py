@@ -12,7 +12,8 @@ from sitelume.streaming import state
 
 from .fixtures import table
 from .registry import Registry
-from .site_queries import _EVENTS, _STREAKS
+from .run_queries import _BUCKETS, _ROTATIONS, _requests, _responses
+from .site_queries import _EVENTS, _LIMITER, _STREAKS
 
 R = Registry()
 
@@ -80,7 +81,18 @@ def streaming_streak_alerts(spark: SparkSession, d: str) -> DataFrame:
     return state.run_once(alerts, "append", shared_folder(spark, "alerts"))
 
 
-@R.query("streaming_limiter")
+@R.query("streaming_limiter", _LIMITER)
 def streaming_limiter(spark: SparkSession, d: str) -> DataFrame:
     events = _stream(spark, d).withColumnRenamed("event_id", "seq")
     return state.run_once(state.limiter(events, "user_id", 5, 24 * HOUR), "append", shared_folder(spark, "limiter"))
+
+
+@R.query("streaming_buckets", _BUCKETS)
+def streaming_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return state.run_once(state.bucket_limiter(_requests(_stream(spark, d))), "append", shared_folder(spark, "buckets"))
+
+
+@R.query("streaming_rotations", _ROTATIONS)
+def streaming_rotations(spark: SparkSession, d: str) -> DataFrame:
+    rotations = state.rotations(_responses(_stream(spark, d)), "user_id", ttl_ms=10_000 * HOUR)
+    return state.run_once(rotations, "append", shared_folder(spark, "rotations"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
-from sitelume.operators.state import HOUR, Limiter
+from sitelume.operators.state import BUCKETS, HOUR, Rotation, refused
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int = 100) -> DataFrame:
@@ -40,69 +41,174 @@ def fold_status(events: DataFrame) -> DataFrame:
     )
 
 
-def streak_alerts(events: DataFrame, key: str, failed: Column, least: int = 3, ttl_ms: int = 30 * 24 * HOUR, late: str = "1 day") -> DataFrame:
-    """A row whenever a key's failures in a row reach `least` (once for each run).
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
 
-    Rows of a micro-batch are read in the order of ts and seq; across batches
-    the order of arrival holds, and rows later than `late` are dropped. State is
-    one number for each key, and goes when a key has been quiet for `ttl_ms`.
-    """
-    kind = events.schema[key].dataType.simpleString()
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run = state.get[0] if state.exists else 0
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        for bad, ts in zip(rows["is_failed"], rows["ts"], strict=True):
-            run = run + 1 if bad else 0
-            if run == least:
-                out.append((name[0], ts))
-        state.update((run,))
-        _expire(state, rows, ttl_ms)
-        yield pd.DataFrame(out, columns=[key, "ts"])
-
-    told = _timed(events.select(key, "ts", "seq", failed.alias("is_failed")), late)
-    return told.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, ts timestamp_ntz", "run int", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """Keyed state with timers needs the state store that keeps each value by itself on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
-def _timed(events: DataFrame, late: str) -> DataFrame:
-    return events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
+class KeyState(StatefulProcessor):
+    """State of one key that goes by an event-time timer, once the key has been quiet for `ttl_ms`.
+
+    The rows of a key in a micro-batch are read in the order of ms and seq;
+    across batches the order of arrival holds. No data frame is made of them.
+    """
+
+    def __init__(self, names: list[str], ttl_ms: int):
+        self.names, self.ttl_ms = names, ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+        self.open(handle)
 
-def _expire(state: GroupState, rows: pd.DataFrame, ttl_ms: int) -> None:
-    """Let a key's state go once the stream is `ttl_ms` past its last row."""
-    last = int(rows["event_time"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        told = sorted(((r.ms, r.seq, r) for r in rows if r.ms is not None), key=lambda r: r[:2])
+        if not told:
+            return
+        yield from self.read(key, [r for _, _, r in told])
+        old, at = self.timer.get(), told[-1][0] + self.ttl_ms
+        if old is None or at > old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            at = max(at, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class LimiterState(KeyState):
+    """Admitted times of a key: each is a value of its own, written once and removed once; `limit_of` gives the key's limit and window."""
+
+    def __init__(self, names: list[str], limit_of: Callable[[tuple], tuple[int, int]], ttl_ms: int):
+        super().__init__(names, ttl_ms)
+        self.limit_of = limit_of
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "place long", "ms long")
+        self.ends = handle.getValueState("ends", "first long, next long")
+
+    def read(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        most, window_ms = self.limit_of(key)
+        first, then = self.ends.get() or (0, 0)
+        gone, fresh = first, deque()  # places gone to then are stored, and after them come the fresh ones
+        head = self.held.getValue((gone,))[0] if gone < then else None
+        for row in rows:
+            while head is not None and head <= row.ms - window_ms:
+                gone += 1
+                head = self.held.getValue((gone,))[0] if gone < then else None
+            while head is None and fresh and fresh[0] <= row.ms - window_ms:
+                fresh.popleft()
+            free = then - gone + len(fresh) < most
+            if free:
+                fresh.append(row.ms)
+            yield Row(**dict(zip(self.names, key, strict=True)), ms=row.ms, seq=row.seq, is_admitted=free)
+        for place in range(first, gone):
+            self.held.removeKey((place,))
+        for place, ms in enumerate(fresh, then):
+            self.held.updateValue((place,), (ms,))
+        self.ends.update((gone, then + len(fresh)))
+
+    def forget(self) -> None:
+        self.held.clear()
+        self.ends.clear()
+
+
+class StreakState(KeyState):
+    """Failures of a key in a row; a row whenever they reach `least`."""
+
+    def __init__(self, names: list[str], least: int, ttl_ms: int):
+        super().__init__(names, ttl_ms)
+        self.least = least
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "n int")
+
+    def read(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        n = (self.run.get() or (0,))[0]
+        for row in rows:
+            if row.is_failed is not None:
+                n = n + 1 if row.is_failed else 0
+            if row.is_failed and n == self.least:
+                yield Row(**dict(zip(self.names, key, strict=True)), ts=row.ts)
+        self.run.update((n,))
+
+    def forget(self) -> None:
+        self.run.clear()
+
+
+class RotationState(KeyState):
+    """A domain's refusals in a row and its last rotation, as `operators.state.Rotation` has them."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.domain = handle.getValueState("domain", "run int, last long")
+
+    def read(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        rotation = Rotation(*(self.domain.get() or (0, None)))
+        for row in rows:
+            failures, turn = rotation.response(row.ms, row.is_refused, row.status == 404)
+            yield Row(**dict(zip(self.names, key, strict=True)), ms=row.ms, seq=row.seq, status=row.status, failures=failures, is_rotated=turn)
+        self.domain.update((rotation.run, rotation.last))
+
+    def forget(self) -> None:
+        self.domain.clear()
+
+
+def _ms() -> Column:
+    return F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")
+
+
+def _by_key(events: DataFrame, keys: list[str], state: KeyState, out: str) -> DataFrame:
+    with_rocksdb(events.sparkSession)
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    return events.groupBy(*keys).transformWithState(state, f"{kinds}, {out}", "append", "eventTime")
 
 
 def limiter(events: DataFrame, key: str, most: int, window_ms: int, late: str = "1 day") -> DataFrame:
-    """Hits with is_admitted, as `operators.state.sliding_limiter`.
+    """Hits with is_admitted, as `operators.state.sliding_limiter`; null is a key like another.
 
     State is at most `most` times for each key, and goes an hour after its
     window if the key is quiet. Rows later than `late` are dropped.
     """
-    kind = events.schema[key].dataType.simpleString()
+    told = _timed(events.select(key, "ts", _ms(), "seq"), late)
+    return _by_key(told, [key], LimiterState([key], lambda _: (most, window_ms), window_ms + HOUR), "ms long, seq long, is_admitted boolean")
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        limiter = Limiter(most, window_ms, list(state.get[0]) if state.exists else [])
-        rows = pd.concat(list(frames)).sort_values(["ms", "seq"], kind="stable")
-        admitted = [limiter.hit(int(now)) for now in rows["ms"]]
-        state.update((list(limiter.held),))
-        _expire(state, rows, window_ms + HOUR)
-        yield pd.DataFrame({key: name[0], "ms": rows["ms"], "seq": rows["seq"], "is_admitted": admitted})
-
-    told = _timed(events.select(key, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq"), late)
-    return told.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, ms long, seq long, is_admitted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+def bucket_limiter(requests: DataFrame, late: str = "1 day") -> DataFrame:
+    """Requests (bucket, key, ts, seq) with is_admitted, as `operators.state.bucket_limiter`."""
+    name = F.when(F.col("bucket") == "email-send", F.lower("key")).otherwise(F.col("key"))
+    told = _timed(requests.where(F.col("bucket").isin(*BUCKETS)).select("bucket", name.alias("key"), "ts", _ms(), "seq"), late)
+    longest = max(window for _, window in BUCKETS.values())
+    state = LimiterState(["bucket", "key"], lambda key: BUCKETS[key[0]], longest + HOUR)
+    return _by_key(told, ["bucket", "key"], state, "ms long, seq long, is_admitted boolean")
+
+
+def rotations(responses: DataFrame, key: str = "domain", ttl_ms: int = 24 * HOUR, late: str = "1 day") -> DataFrame:
+    """Responses with failures and is_rotated, as `operators.state.rotations`; a domain quiet for `ttl_ms` begins anew."""
+    told = responses.select(key, "ts", _ms(), "seq", F.coalesce("status", F.lit(0)).alias("status"), refused(responses).alias("is_refused"))
+    return _by_key(_timed(told, late), [key], RotationState([key], ttl_ms), "ms long, seq long, status int, failures int, is_rotated boolean")
+
+
+def streak_alerts(events: DataFrame, key: str, failed: Column, least: int = 3, ttl_ms: int = 30 * 24 * HOUR, late: str = "1 day") -> DataFrame:
+    """A row whenever a key's failures in a row reach `least` (once for each run).
+
+    State is one number for each key, and goes when a key has been quiet for
+    `ttl_ms`. Rows later than `late` are dropped.
+    """
+    told = _timed(events.select(key, "ts", _ms(), "seq", failed.alias("is_failed")), late)
+    kind = events.schema["ts"].dataType.simpleString()
+    return _by_key(told, [key], StreakState([key], least, ttl_ms), f"ts {kind}")
 
 
 def write_alerts(alerts: DataFrame, folder: str, checkpoint: str):
