@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import json
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +13,7 @@ from sitelume.llm import vectors as vectors_module
 from sitelume.llm.ann import count_collisions, nearest_by_collisions
 from sitelume.llm.topk import exact_top_k, scan_blocks
 
+ROOT = Path(__file__).resolve().parent.parent.parent
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
@@ -98,6 +103,44 @@ def test_recall_on_the_real_table(spark):
     assert verified < 0.5 * len(queries) * len(ids)
 
 
+@pytest.mark.parametrize("search", [exact_top_k, nearest_by_collisions])
+def test_results_depend_on_the_rows_alone(spark, search):
+    """Other partitions, shuffles and cores give the same rows, of approximate searches too."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    plain = sorted(tuple(r) for r in search(table).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    other = sorted(tuple(r) for r in search(table.repartition(7).orderBy("label")).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plain == other
+    code = f"""
+import json, sys
+sys.path.insert(0, {str(ROOT)!r})
+from sitelume.session import build_session
+from sitelume.llm.{search.__module__.rsplit(".", 1)[1]} import {search.__name__}
+spark = build_session("other", "local[1]", **{{"spark.sql.shuffle.partitions": "3", "spark.ui.showConsoleProgress": "false"}})
+rows = {search.__name__}(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+print(json.dumps(sorted(tuple(r) for r in rows)))
+"""
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert [tuple(r) for r in json.loads(told.splitlines()[-1])] == plain
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0], 1), (2, [0.5, 0.5], 1)] + [(3, [0.9, 0.1], 1)] * 30
+    got = [(r["rank"], r.vec_id) for r in exact_top_k(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()]
+    assert got == [(n, 3) for n in range(1, 11)]
+
+
+def test_ties_at_the_last_place(spark):
+    """Equal vectors of many ids: the smaller ids win."""
+    rows = [(k, [1.0, 0.0], 1) for k in range(40)] + [(40 + k, [0.0, 1.0], 1) for k in range(40)]
+    for search, n in ((exact_top_k, 10), (nearest_by_collisions, 5)):
+        got = [r.vec_id for r in search(spark.createDataFrame(rows, SCHEMA)).where("query_id = 0").orderBy("rank").collect()]
+        assert got == list(range(1, n + 1))
+
+
 @pytest.mark.parametrize("search", [exact_top_k, nearest_by_collisions])
 def test_few_and_no_vectors(spark, search):
     one = spark.createDataFrame([(0, [1.0, 0.0], 1), (3, [0.5, 0.5], 1)], SCHEMA)
