@@ -129,8 +129,8 @@ def analyse(pages: DataFrame) -> DataFrame:
         has("canonical").alias("has_canonical"),
         F.when(has("canonical"), F.col("canonical")).alias("canonical_url"),
         has("description").alias("has_description"),
-        F.length(F.coalesce("description", F.lit(""))).cast("bigint").alias("description_length"),
-        F.length(F.coalesce("title", F.lit(""))).cast("bigint").alias("title_length"),
+        t.js_length(F.coalesce("description", F.lit(""))).alias("description_length"),
+        t.js_length(F.coalesce("title", F.lit(""))).alias("title_length"),
         has("og_title").alias("has_og_title"),
         has("og_description").alias("has_og_description"),
         has("og_image").alias("has_og_image"),

@@ -8,19 +8,38 @@ from pyspark.sql import functions as F
 from sitelume.config import Config
 from sitelume.functions import ids, urls
 
-from . import robots
+from . import filters, robots
+
+#: Entries of a list that a plan holds as values.
+SHORT = 16
 
 
 def followed(links: DataFrame, config: Config, rules: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Links that a crawl queues: http(s), of an allowed domain, not of an excluded domain or path, allowed by robots.
 
     An invalid URL is not followed. `rules` are the rows of `robots.rules_table`.
+    A list of more than `SHORT` entries is a table that hosts or paths are
+    looked up in, so the plan does not grow with it.
     """
     told = links.withColumn("_p", urls.parts(F.col(url)))
     host, targets = F.col("_p.host"), config.targets
-    kept = F.col("_p.scheme").isin("http", "https") & urls.allows(host, config.allowed_domains())
-    kept &= ~urls.excludes(host, targets["excludedDomains"]) & ~urls.under(F.col("_p.path"), targets["excludedPaths"])
-    told = told.where(F.coalesce(kept, F.lit(False)))
+    told = told.where(F.col("_p.scheme").isin("http", "https")).withColumns({"_host": host, "_path": F.col("_p.path")})
+    domains, banned, paths = config.allowed_domains(), targets["excludedDomains"], targets["excludedPaths"]
+    table = lambda values, name: links.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
+    if len(domains) > SHORT:
+        told = told.join(filters.allowed_hosts(told.select(F.col("_host").alias("host")), table(domains, "domain")), F.col("_host") == F.col("host"), "left_semi")
+    else:
+        told = told.where(F.coalesce(urls.allows(F.col("_host"), domains), F.lit(False)))
+    if len(banned) > SHORT:
+        told = told.join(filters.excluded_hosts(told.select(F.col("_host").alias("host")), table(banned, "domain")), F.col("_host") == F.col("host"), "left_anti")
+    else:
+        told = told.where(F.coalesce(~urls.excludes(F.col("_host"), banned), F.lit(False)))
+    if len(paths) > SHORT:
+        told = told.join(filters.paths_under(told.select(F.col("_path").alias("path")), table(paths, "prefix")), F.col("_path") == F.col("path"), "left_anti")
+    else:
+        told = told.where(F.coalesce(~urls.under(F.col("_path"), paths), F.lit(False)))
+    told = told.drop("_host", "_path")
+    host = F.col("_p.host")
     if rules is None:
         return told.drop("_p")
     told = told.withColumn("domain", host).withColumn("_url", F.col(url))

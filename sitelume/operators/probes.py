@@ -63,7 +63,8 @@ def reverify(probes: DataFrame, again: DataFrame) -> DataFrame:
 def broken(targets_: DataFrame, probes: DataFrame, site: str) -> DataFrame:
     """Targets without a status or with one of 400 or more, with the classes they count in, worst status first.
 
-    Classes overlap: an image may also be an internal link.
+    Classes overlap: an image may also be an internal link. URLs of a status
+    are in the order of a language, not of code points: a before B, e before é.
     """
     bad = probes.where("status IS NULL OR status >= 400").select("url", "status")
     names = F.split("kinds", ",")
@@ -77,7 +78,7 @@ def broken(targets_: DataFrame, probes: DataFrame, site: str) -> DataFrame:
         image.alias("is_image"),
         (~inside & ~image).alias("is_external"),
     )
-    return told.orderBy(F.desc(F.coalesce("status", F.lit(999))), "url")
+    return told.orderBy(F.desc(F.coalesce("status", F.lit(999))), F.collate("url", "UNICODE"), "url")
 
 
 def broken_summary(broken_: DataFrame) -> DataFrame:

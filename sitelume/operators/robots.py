@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sitelume.functions import urls
 
+from . import filters
+
 
 def parse(content: str, agent: str = "SEO-Crawler") -> dict[str, list[str]]:
     """Rules of the groups that name `agent` by a prefix of it, or all agents."""
@@ -53,20 +55,17 @@ def rules_table(robots: DataFrame, agent: str = "SEO-Crawler") -> DataFrame:
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """`pages` (url, domain) with is_allowed: the longest rule that is a prefix of path and query wins, disallow on ties.
 
-    Rules join by domain as one row with an array, so no page is multiplied.
+    Rules are found by equal keys (domain and prefix, `filters.prefix_matches`),
+    once for each distinct path of a domain, so neither many rules of a domain
+    nor many pages of one make a large row.
     """
-    rows = rules.where("kind <> 'sitemap'").groupBy("domain").agg(F.collect_list(F.struct("kind", "pattern")).alias("rules"))
-    target = F.concat(urls.path(F.col("url")), urls.query(F.col("url")))
-    told = pages.join(rows, "domain", "left").withColumn("target", target)
-    longest = lambda kind: F.coalesce(
-        F.array_max(
-            F.transform(
-                F.filter("rules", lambda r: (r["kind"] == kind) & F.startswith(F.col("target"), r["pattern"])),
-                lambda r: F.length(r["pattern"]),
-            )
-        ),
-        F.lit(-1),
-    )
-    return told.withColumn("is_allowed", (longest("disallow") == -1) | (longest("allow") > longest("disallow"))).drop(
-        "rules", "target"
-    )
+    kind = F.col("kind")
+    patterns = rules.where("kind <> 'sitemap'").groupBy("domain", "pattern").agg(
+        F.max(F.when(kind == "allow", F.length("pattern"))).alias("allow"), F.max(F.when(kind == "disallow", F.length("pattern"))).alias("disallow")
+    )
+    told = pages.withColumn("_target", F.concat(urls.path(F.col("url")), urls.query(F.col("url"))))
+    targets = told.select("domain", F.col("_target").alias("target")).distinct()
+    found = filters.prefix_matches(targets, patterns).groupBy("domain", "target").agg(F.max("allow").alias("_allow"), F.max("disallow").alias("_disallow"))
+    found = found.withColumnRenamed("target", "_target")
+    free = F.col("_disallow").isNull() | (F.coalesce("_allow", F.lit(-1)) > F.col("_disallow"))
+    return told.join(found, ["domain", "_target"], "left").select(*pages.columns, free.alias("is_allowed"))

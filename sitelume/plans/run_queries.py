@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelume import config as settings
@@ -126,13 +126,25 @@ def same_host_links(spark: SparkSession, d: str) -> DataFrame:
     return sitemaps.same_host_links(table(spark, d, "pages").select(href.alias("href")), "https://site.example/")
 
 
-@R.query("sitemap_reach", "SELECT 'm' || n AS sitemap_url FROM range(0, 24) t(n)")
+_CHAIN = 24  # index files of a chain
+
+
+@R.query(
+    "sitemap_reach",
+    f"""WITH RECURSIVE m AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS n, count(*) OVER () AS size FROM (SELECT DISTINCT url FROM pages)),
+e AS (SELECT n, CASE WHEN (n + 1) % {_CHAIN} <> 0 AND n + 1 < size THEN n + 1 ELSE n - n % {_CHAIN} END AS child FROM m),
+r AS (SELECT n FROM m WHERE n % {3 * _CHAIN} = 0 UNION SELECT e.child FROM r JOIN e ON e.n = r.n)
+SELECT url AS sitemap_url FROM m JOIN r USING (n)""",
+)
 def sitemap_reach(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of 24 index files that ends in a cycle, and others that nothing leads to."""
-    child = F.when(F.col("id") < 23, F.col("id") + 1).otherwise(F.col("id") % 23)
-    xml = F.concat(F.lit("<sitemapindex><sitemap><loc> m"), child, F.lit(" </loc></sitemap></sitemapindex>"))
-    maps = spark.range(40).select(F.concat(F.lit("m"), "id").alias("sitemap_url"), xml.alias("xml"))
-    return sitemaps.reachable(maps, spark.createDataFrame([("m0",), ("m0",)], "sitemap_url string"))
+    """Chains of index files named by the pages, each ending in a cycle; only every third chain is listed at the start."""
+    named = table(spark, d, "pages").select("url").distinct().withColumn("n", F.row_number().over(Window.orderBy("url")) - 1)
+    nexts = named.select(F.col("url").alias("child_url"), F.col("n").alias("child"))
+    last = F.max("n").over(Window.partitionBy())
+    child = F.when(((F.col("n") + 1) % _CHAIN != 0) & (F.col("n") < last), F.col("n") + 1).otherwise(F.col("n") - F.col("n") % _CHAIN)
+    told = named.withColumn("child", child).join(nexts, "child")
+    xml = F.concat(F.lit("<sitemapindex><sitemap><loc> "), "child_url", F.lit(" </loc></sitemap></sitemapindex>"))
+    return sitemaps.reachable(told.select(F.col("url").alias("sitemap_url"), xml.alias("xml")), named.where(f"n % {3 * _CHAIN} = 0").select(F.col("url").alias("sitemap_url")))
 
 
 @R.query("sitemap_documents")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import text as t
 from sitelume.operators import audit, issues, keywords, links
+from sitelume.session import shared_folder
 
 from .readers import crawl_dates
 
@@ -17,9 +18,49 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+PARTITIONS = ["domain", "crawl_date"]
+
+
 def write_lake(pages: DataFrame, path: str) -> None:
-    """Page records as Parquet by domain and crawl date, so that reports prune what they don't read."""
-    pages.repartition("domain", "crawl_date").write.mode("append").partitionBy("domain", "crawl_date").parquet(path)
+    """Page records as Parquet by domain and crawl date, so that reports prune what they don't read.
+
+    Partitions that `pages` has rows of are replaced, others stay, so writing the
+    same records again changes nothing. Large partitions are several files.
+    """
+    told = pages.hint("rebalance", *PARTITIONS)
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
+def merge_lake(pages: DataFrame, path: str, order: str = "timestamp") -> None:
+    """Add page records to a lake: of a URL and crawl date the record of the latest `order` stays (a new one on ties), equal records once.
+
+    Only partitions that `pages` has rows of are read and replaced. What is to
+    stand there is written to the shared folder first, so a run that fails in
+    between leaves the lake as it was and can be run again.
+    """
+    spark = pages.sparkSession
+    told = pages.withColumn("_is_new", F.lit(1))
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        kinds = {c: pages.schema[c].dataType for c in PARTITIONS}
+        old = old.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in old.columns])
+        touched = pages.select(*PARTITIONS).distinct()
+        told = told.unionByName(old.join(touched, PARTITIONS, "left_semi").withColumn("_is_new", F.lit(0)), allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy(*PARTITIONS, "url").orderBy(F.desc_nulls_last(order), F.desc("_is_new")))
+    folder = shared_folder(spark, "lake")
+    told.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_is_new").write.parquet(folder)
+    write_lake(spark.read.schema(told.drop("_is_new").schema).parquet(folder), path)
+    _hadoop(spark, folder)[0].delete(_hadoop(spark, folder)[1], True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _hadoop(spark, path)
+    return fs.exists(place)
 
 
 def report_csv(df: DataFrame, path: str) -> None:
