@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelume.operators import html
 from sitelume.operators.state import HOUR
 from sitelume.session import shared_folder
+from sitelume.streaming import pages as page_streams
 from sitelume.streaming import state
 
 from .fixtures import table
@@ -96,3 +97,10 @@ def streaming_buckets(spark: SparkSession, d: str) -> DataFrame:
 def streaming_rotations(spark: SparkSession, d: str) -> DataFrame:
     rotations = state.rotations(_responses(_stream(spark, d)), "user_id", ttl_ms=10_000 * HOUR)
     return state.run_once(rotations, "append", shared_folder(spark, "rotations"))
+
+
+@R.query("streaming_seen_counts", "SELECT user_id || ':' || event_type AS url, count(*) AS crawl_count FROM events GROUP BY ALL HAVING count(*) > 1")
+def streaming_seen_counts(spark: SparkSession, d: str) -> DataFrame:
+    visits = _stream(spark, d).select(F.concat_ws(":", "user_id", "event_type").alias("url"), "ts", F.col("event_id").alias("seq"))
+    told = state.run_once(page_streams.seen_counts(visits), "append", shared_folder(spark, "counts"))
+    return told.groupBy("url").agg(F.max("crawl_count").alias("crawl_count")).where("crawl_count > 1")
