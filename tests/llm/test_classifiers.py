@@ -41,13 +41,17 @@ def test_terms_boundaries_and_exceptions():
     assert matches(Lexicon().automaton(), " x ") == []
 
 
-def test_toxicity_held_out(larger):
-    docs, labels = larger
+def test_toxicity_held_out(spark):
+    """On rows that nothing was learned from: what is missed has no term of the lexicon at all."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     lexicon = learn_lexicon(docs, labels.where(~held()))
-    told = score_toxicity(docs, lexicon).join(labels, "doc_id")
-    right = told.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
-    assert right > 0.94
-    assert told.where("toxic = 0 AND predicted = 1").count() <= 3
+    told = score_toxicity(docs, lexicon).join(labels, "doc_id").where(held())
+    found, toxic, right, bare = told.agg(
+        F.count_if(F.col("predicted") == 1), F.count_if(F.col("toxic") == 1),
+        F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.count_if((F.col("predicted") == 0) & (F.col("toxic") == 1) & (F.col("hits") == 0)),
+    ).first()
+    assert toxic > 80 and right >= 0.8 * toxic and right >= 0.95 * found
+    assert toxic - right - bare <= 2
 
 
 def test_obfuscated_words_are_found(spark, larger):
