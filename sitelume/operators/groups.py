@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest groups that are joined by broadcast; all others are smaller than one in so many rows.
-HOT = 256
+#: Tasks that the rows of one group are dealt to.
+SALTS = 8
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of `rows` with `groups` (one row for each key, with its size in rows).
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of `rows` with `groups` (one row for each key), inner or left.
 
-    The HOT largest groups, no more rows than that, are broadcast; the rows of
-    the others meet their group by a shuffle, in which no key is large.
+    The rows of a key are dealt to SALTS tasks by a hash of the row, and each
+    group goes to all of them, so the largest group is no single task, and rows
+    and groups are each worked out once. Rows without a key are dealt alike.
     """
-    hot = groups.orderBy(F.desc(size), key).limit(HOT)
-    keys = F.broadcast(hot.select(key))
-    cold = rows.join(keys, key, "left_anti").join(groups.join(keys, key, "left_anti"), key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
+    every = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(every, [key, "_salt"], how).drop("_salt")
 
 
 def sample_of_each(rows: DataFrame, keys: list[str], order: list[str], n: int = 3) -> DataFrame:

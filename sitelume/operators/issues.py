@@ -54,7 +54,7 @@ def repeated(pages: DataFrame, column: str, others_of: str = "url") -> DataFrame
     """Rows whose value (blank ones aside) another row has too: value, url, pages (rows of the value)."""
     full = pages.where(~t.is_blank(F.col(column))).select(F.col(column).alias("value"), others_of)
     groups = full.groupBy("value").agg(F.count("*").alias("pages")).where("pages > 1")
-    return join_groups(full, groups, "value", "pages")
+    return join_groups(full, groups, "value")
 
 
 def duplicates(pages: DataFrame, column: str) -> DataFrame:
@@ -68,10 +68,12 @@ def value_issues(pages: DataFrame, column: str, chars: tuple[int, int], pixels:
     `duplicates` gives the pages themselves. Blank values never meet in a join.
     """
     value = F.col(column)
-    own = pages.select("url", column, F.explode(length_issues(value, chars, pixels)).alias("issue"), F.lit(None).cast("bigint").alias("others"))
-    same = repeated(pages, column).select("url", F.col("value").alias(column), F.lit("duplicate").alias("issue"), (F.col("pages") - 1).alias("others"))
-    return own.unionByName(same).select(
-        "url", "issue", t.js_length(value).alias("chars"), t.pixel_width(value).alias("pixels"), "others"
+    told = pages.select("url", column, F.when(~t.is_blank(value), value).alias("value"))
+    groups = told.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("pages")).where("pages > 1")
+    told = join_groups(told, groups, "value", "left")
+    found = F.concat(length_issues(value, chars, pixels), F.when(F.col("pages") > 1, F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>")))
+    return told.select("url", column, "pages", F.explode(found).alias("issue")).select(
+        "url", "issue", t.js_length(value).alias("chars"), t.pixel_width(value).alias("pixels"), F.when(F.col("issue") == "duplicate", F.col("pages") - 1).alias("others")
     )
 
 
@@ -91,7 +93,7 @@ def h1_issues(pages: DataFrame, column: str = "h1s") -> DataFrame:
     size = rows.select("url", "h1", short_or_long.alias("issue"), F.lit(None).cast("bigint").alias("others")).where("issue IS NOT NULL")
     groups = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
     on_page = rows.groupBy("url", "h1").agg(F.count("*").alias("own"))
-    same = join_groups(on_page, groups, "h1", "n").select(
+    same = join_groups(on_page, groups, "h1").select(
         "url", "h1", F.explode(F.array_repeat(F.lit("duplicate"), F.col("own").cast("int"))).alias("issue"), (F.col("n") - F.col("own")).alias("others")
     )
     return page.unionByName(size).unionByName(same)

@@ -38,9 +38,17 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def by_position(keywords: DataFrame, engine: str) -> DataFrame:
-    """Keywords with their place in the order of an engine's positions, unranked ones last."""
-    order = Window.orderBy(F.coalesce(f"position_{engine}", F.lit(61)), "keyword")  # one export of one site
-    return keywords.withColumn("place", F.row_number().over(order))
+    """Keywords with their place in the order of an engine's positions, unranked ones last.
+
+    Keywords are counted by position and first letters, and numbered within
+    these, so no task sorts the whole export.
+    """
+    cell = ["_position", "_head"]
+    told = keywords.withColumns({"_position": F.coalesce(f"position_{engine}", F.lit(61)), "_head": F.substring("keyword", 1, 3)})
+    before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    starts = told.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("keyword"))
+    return told.withColumn("_place", inside).join(starts, cell).select(*keywords.columns, (F.col("_start") + F.col("_place")).cast("int").alias("place"))
 
 
 def summary(keywords: DataFrame) -> DataFrame:

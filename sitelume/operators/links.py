@@ -35,8 +35,7 @@ def reverse_graph(edges: DataFrame) -> DataFrame:
 def broken_internal(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for each link occurrence whose target was crawled with a status of 400 or more."""
     bad = pages.where("status >= 400").select(F.col("url").alias("href"), "status")
-    inbound = edges.join(bad.select("href"), "href", "left_semi").groupBy("href").agg(F.count("*").alias("n"))
-    return join_groups(edges, bad.join(inbound, "href"), "href", "n").select("src_url", "pos", "href", "status")
+    return join_groups(edges, bad, "href").select("src_url", "pos", "href", "status")
 
 
 def orphaned_redirects(edges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -85,15 +85,14 @@ def difference(current: DataFrame, previous: DataFrame, index: DataFrame, now: C
     Of a URL listed more than once the latest date holds, of the index the
     latest entry.
     """
-    latest = lambda df, name: df.where("url IS NOT NULL").groupBy("url").agg(
-        F.max(F.col("lastmod").try_cast("timestamp")).alias(name), F.lit(True).alias(f"is_{name}")
-    )
-    known = index.groupBy("url").agg(
-        F.max_by("status", F.struct(F.col("crawled_at").isNotNull(), "crawled_at", "status")).alias("status"),
-        F.max("crawled_at").alias("crawled_at"),
-        F.lit(True).alias("is_known"),
-    )
-    told = latest(current, "cur").join(latest(previous, "old"), "url", "full_outer").join(known, "url", "left")
+    listed = lambda df, src: df.select("url", F.lit(src).alias("src"), F.col("lastmod").try_cast("timestamp").alias("at"), F.lit(None).cast("string").alias("status"))
+    entries_ = index.select("url", F.lit("index").alias("src"), F.col("crawled_at").cast("timestamp").alias("at"), "status")
+    of = lambda src, value: F.when(F.col("src") == src, value)
+    told = listed(current, "cur").unionByName(listed(previous, "old")).unionByName(entries_).where("url IS NOT NULL").groupBy("url").agg(
+        *[F.max(of(src, F.col("at"))).alias(name) for src, name in (("cur", "cur"), ("old", "old"), ("index", "crawled_at"))],
+        *[F.max(of(src, F.lit(True))).alias(f"is_{name}") for src, name in (("cur", "cur"), ("old", "old"), ("index", "known"))],
+        F.max(of("index", F.struct(F.col("at").isNotNull().alias("dated"), "at", "status"))).alias("entry"),
+    ).where("is_cur OR is_old").withColumn("status", F.col("entry.status"))
     newer = F.coalesce(F.col("cur") > F.col("old"), F.lit(False))
     failed = F.coalesce(F.col("status") != "completed", F.lit(True))
     stale = F.coalesce(F.timestamp_diff("SECOND", F.col("crawled_at"), now) > STALE_DAYS * 86_400, F.lit(False))
