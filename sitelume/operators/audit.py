@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitelume.functions import text as t
 from sitelume.functions import urls
@@ -47,34 +42,31 @@ def jsonld_types(blocks: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(of_block), lambda x: x.isNotNull() & (x != "")))
 
 
-def _types_of(node: object) -> list[str]:
-    """Every @type of a JSON-LD value, those of arrays and nested @graphs included."""
-    found, open_ = [], [node]
-    while open_:
-        at = open_.pop()
-        if isinstance(at, list):
-            open_ += reversed(at)
-        elif isinstance(at, dict):
-            kind = at.get("@type")
-            if kind:
-                found += [x if isinstance(x, str) else json.dumps(x) for x in (kind if isinstance(kind, list) else [kind])]
-            if isinstance(at.get("@graph"), list):
-                open_ += reversed(at["@graph"])
-    return found
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def all_types(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All types of an array of JSON-LD texts, repeated ones too; JSON of any depth has no SQL form."""
-
-    def read(text: str) -> object:
-        try:
-            return json.loads(text)
-        except ValueError:
-            return None
-
-    for batch in blocks:
-        yield batch.map(lambda texts: [x for text in (texts if texts is not None else []) for x in _types_of(read(text))])
+def all_types(blocks: Column) -> Column:
+    """All types of an array of JSON-LD texts, repeated ones too: those of arrays and nested @graphs, at any depth.
+
+    All values of a level are opened at once. Each level opens an array, so a
+    text has no more levels than brackets. Texts that are no JSON have no
+    types; values that count as false are none.
+    """
+    none, no_texts = F.array().cast("array<variant>"), F.array().cast("array<string>")
+    text = F.coalesce(F.array_join(blocks, ""), F.lit(""))
+    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))))
+
+    def inner(v: Column) -> Column:
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, '$["@graph"]', "array<variant>"), none)
+
+    def named(v: Column) -> Column:
+        several = F.transform(F.try_variant_get(v, '$["@type"]', "array<variant>"), lambda k: F.coalesce(k.cast("string"), F.lit("null")))
+        one = F.filter(F.array(F.try_variant_get(v, '$["@type"]', "string")), lambda k: k.isNotNull() & ~k.isin("", "0", "false"))
+        return F.coalesce(several, one, no_texts)
+
+    start = F.struct(F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull()).alias("open"), no_texts.alias("found"))
+    step = lambda at, _: F.struct(
+        F.flatten(F.transform(at["open"], inner)).alias("open"),
+        F.concat(at["found"], F.flatten(F.transform(at["open"], named))).alias("found"),
+    )
+    return F.coalesce(F.aggregate(levels, start, step, lambda at: at["found"]), no_texts)
 
 
 def type_occurrences(pages: DataFrame, blocks: str = "blocks") -> DataFrame:

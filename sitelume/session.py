@@ -27,7 +27,8 @@ def build_session(app: str = "sitelume", master: str | None = None, **conf: str)
 
 
 def share(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it; of a key that JSON repeats the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")

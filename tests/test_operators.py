@@ -213,6 +213,19 @@ def test_types_at_any_depth(spark):
     df = spark.createDataFrame([("u", blocks), ("v", [])], "url string, blocks array<string>")
     assert [tuple(r) for r in audit.type_occurrences(df).collect()] == [("B", 2), ("A", 1), ("C", 1)]
     assert {r.url: r.issue for r in audit.jsonld_issues(df).collect()} == {"v": "missing"}
+    plan = audit.type_occurrences(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_odd_types(spark):
+    deep = "[" * 900 + '{"@type":"D"}' + "]" * 900
+    blocks = [
+        [deep], ['{"@type":"A","@type":"B"}'], ['{"@type":["A",null,5,{"x":1}]}'], ['{"@type":""}', '{"@type":0}', '{"@type":false}', '{"@type":null}'],
+        ['{"@type":true}', '{"@type":7}'], ['{"@graph":{"@type":"not a list"}}'], [None, ""], None, ['{"@type":[]}'], ["[" * 5000],
+    ]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(blocks)], "k int, blocks array<string>")
+    got = {r.k: r.types for r in df.select("k", audit.all_types(F.col("blocks")).alias("types")).collect()}
+    assert got == {0: ["D"], 1: ["B"], 2: ["A", "null", "5", '{"x":1}'], 3: [], 4: ["true", "7"], 5: [], 6: [], 7: [], 8: [], 9: []}
 
 
 def test_rotations_and_buckets(spark):
