@@ -54,8 +54,10 @@ def index_answer(index: DataFrame, command: str, status: str | None, text: str |
 
 
 def show(df: DataFrame, form: str, out: str | None) -> None:
-    """To a folder as CSV or JSON lines, or the first rows to the screen."""
-    if out:
+    """To a folder as CSV or JSON lines, to one JSON file of the total and all rows, or the first rows to the screen."""
+    if out and form == "document":
+        sinks.report_document(df, out)
+    elif out:
         sinks.index_json(df, out) if form == "json" else sinks.index_csv(df, out)
     else:
         df.show(50, truncate=False)
@@ -63,7 +65,7 @@ def show(df: DataFrame, form: str, out: str | None) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sitelume")
-    parser.add_argument("--format", choices=("csv", "json"), default="csv")
+    parser.add_argument("--format", choices=("csv", "json", "document"), default="csv")
     parser.add_argument("--out")
     commands = parser.add_subparsers(dest="command", required=True)
     report = commands.add_parser("report", help="a report over the latest crawl of a domain")

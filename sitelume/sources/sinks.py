@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import text as t
@@ -18,6 +19,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+COPY_BYTES = 4 << 20
 PARTITIONS = ["domain", "crawl_date"]
 
 
@@ -78,6 +80,46 @@ def report_json(df: DataFrame, path: str, name: str = "issues") -> None:
     df.agg(F.count("*").alias("total")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
+def report_document(df: DataFrame, path: str, *order: str, name: str = "issues") -> None:
+    """One JSON file at `path`, {"total": n, <name>: [...]}, a line for each row in the `order` of columns.
+
+    Rows are sorted and turned to JSON in parts by all tasks. As most stores
+    let a file have one writer only, the parts are then copied one after the
+    other through a buffer of fixed size, so a report of any size needs no more
+    memory. The file appears under its name when it is whole; an earlier one is
+    replaced. Keys of null values are left out, as in `report_json`.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, "document")
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    # only the first row of a part has no comma before it
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = (df.orderBy(*order) if order else df).select(F.concat(F.when(first, "").otherwise(","), row).alias("value"))
+    counted = Observation()
+    lines.observe(counted, F.count("*").alias("total")).write.option("maxRecordsPerFile", 0).text(folder)
+    fs, parts = _hadoop(spark, folder)
+    target_fs, target = _hadoop(spark, path)
+    _, unfinished = _hadoop(spark, f"{path}.unfinished")
+    files = sorted((f for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+    jvm = spark.sparkContext._jvm
+    out = target_fs.create(unfinished, True)
+    try:
+        out.writeBytes(f'{{"total":{counted.get["total"]},{json.dumps(name)}:[\n')
+        for k, part in enumerate(files):
+            out.writeBytes("," if k else "")
+            source = fs.open(part.getPath())
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, COPY_BYTES, False)
+            finally:
+                source.close()
+        out.writeBytes("]}\n")
+    finally:
+        out.close()
+    target_fs.delete(target, False)
+    target_fs.rename(unfinished, target)
+    fs.delete(parts, True)
+
+
 def not_found_csv(referrers: DataFrame, path: str) -> None:
     """A row for each page not found and page that links to it (`links.referrers`); the origin of those without one."""
     origin = F.when(F.col("referrer").isNull(), "seeded_or_sitemap").otherwise("linked")

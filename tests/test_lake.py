@@ -61,6 +61,24 @@ def test_jsonl_is_appended_and_merged(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out").count() == 4
 
 
+def test_one_document_of_any_size(spark, tmp_path):
+    path = f"{tmp_path}/report.json"
+    rows = spark.range(200_000, numPartitions=7).select(F.concat(F.lit('"\n'), "id").alias("url"), F.array(F.col("id") % 3).alias("n"), F.when(F.col("id") % 2 == 0, "x").alias("issue"))
+    sinks.report_document(spark.range(3).toDF("old"), path)
+    sinks.report_document(rows, path, "url", name="all")
+    told = json.loads((tmp_path / "report.json").read_text())
+    want = sorted(f'"\n{k}' for k in range(200_000))
+    assert told["total"] == 200_000 and [r["url"] for r in told["all"]] == want
+    assert all(r.get("issue") == ("x" if int(r["url"][2:]) % 2 == 0 else None) for r in told["all"])
+    assert not (tmp_path / "report.json.unfinished").exists()
+
+
+@pytest.mark.parametrize("rows", [[], [(1,)], [(1,)] * 5])
+def test_small_documents(spark, tmp_path, rows):
+    sinks.report_document(spark.createDataFrame(rows, "`a.b` int").repartition(9), f"{tmp_path}/r.json", "`a.b`")
+    assert json.loads((tmp_path / "r.json").read_text()) == {"total": len(rows), "issues": [{"a.b": 1}] * len(rows)}
+
+
 def test_alerts_are_written_once(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int").coalesce(1).write.parquet(f"{tmp_path}/in")
     source = stream.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
