@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import quote
 
@@ -25,18 +26,19 @@ class Parts(NamedTuple):
 
 
 def parse(raw: str | None, base: str | None = None) -> Parts | None:
-    """The parts of an absolute URL, or of one relative to `base`; None if it is invalid."""
+    """The parts of an absolute URL, or of one relative to `base`; None if it is invalid. A bare ? or # is kept in href alone."""
     if raw is None:
         return None
     text = re.sub(r"[\t\n\r]", "", raw.strip("".join(map(chr, range(33)))))
     found = _SCHEME.match(text)
     scheme = found[0].lower() if found else ""
-    start = parse(base) if base and not (scheme and scheme not in PORTS) else None
+    start = _base(base) if base and not (scheme and scheme not in PORTS) else None
     rest = text[len(scheme) + 1 :] if scheme else text
     if scheme and scheme not in PORTS:
         return _opaque(scheme, rest)
-    rest, _, fragment = rest.partition("#")
+    rest, hash_, fragment = rest.partition("#")
     rest, mark, query = rest.partition("?")
+    fragment, query = hash_ + fragment, mark + query
     rest = rest.replace("\\", "/")
     if scheme and not (start and start.scheme == scheme and not rest.startswith("/")):
         where = rest.lstrip("/")  # any number of slashes leads to the host
@@ -46,7 +48,7 @@ def parse(raw: str | None, base: str | None = None) -> Parts | None:
         scheme, where = start.scheme, rest[2:]
     else:
         path = rest if rest.startswith("/") else start.path.rpartition("/")[0] + "/" + rest if rest else start.path
-        query = query if mark else "" if rest else start.query[1:]
+        query = query if mark or rest else start.query
         return _join(start.scheme, start.host, start.port, path, query, fragment)
     place, slash, path = where.partition("/")
     place = place.rpartition("@")[2]
@@ -58,6 +60,12 @@ def parse(raw: str | None, base: str | None = None) -> Parts | None:
     return _join(scheme, host, "" if port == PORTS[scheme] else port, slash + path, query, fragment)
 
 
+@lru_cache(maxsize=64)
+def _base(url: str) -> Parts | None:
+    """The parts of a base; the links of a page share one."""
+    return parse(url)
+
+
 def _opaque(scheme: str, rest: str) -> Parts | None:
     rest, mark, fragment = rest.partition("#")
     path, ask, query = rest.partition("?")
@@ -67,8 +75,8 @@ def _opaque(scheme: str, rest: str) -> Parts | None:
         path = slash + path
         if _BAD_HOST.search(host.rpartition("@")[2].partition(":")[0]):
             return None
-    query, fragment = ask + query if query else "", mark + fragment if fragment else ""
-    return Parts(f"{scheme}:{'//' + host if host else ''}{path}{query}{fragment}", scheme, host, "", path, query, fragment)
+    href = f"{scheme}:{'//' + host if host else ''}{path}{ask}{query}{mark}{fragment}"
+    return Parts(href, scheme, host, "", path, ask + query if query else "", mark + fragment if fragment else "")
 
 
 def _host(name: str) -> str | None:
@@ -116,6 +124,7 @@ def _join(scheme: str, host: str, port: str, path: str, query: str, fragment: st
         elif not dots:
             out.append(piece)
     path = "/" + quote("/".join(out), "%/:=&~+!$,;'@()*[]|")
-    query = "?" + quote(query, "%/:=&?~+!$,;@()*[]|{}^`\\") if query else ""
-    fragment = "#" + quote(fragment, "%/:=&?~#+!$,;'@()*[]|{}^\\") if fragment else ""
-    return Parts(f"{scheme}://{host}{':' + port if port else ''}{path}{query}{fragment}", scheme, host, port, path, query, fragment)
+    query = query[:1] + quote(query[1:], "%/:=&?~+!$,;@()*[]|{}^`\\")
+    fragment = fragment[:1] + quote(fragment[1:], "%/:=&?~#+!$,;'@()*[]|{}^\\")
+    href = f"{scheme}://{host}{':' + port if port else ''}{path}{query}{fragment}"
+    return Parts(href, scheme, host, port, path, query if query != "?" else "", fragment if fragment != "#" else "")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelume.functions import weburl
@@ -75,19 +75,28 @@ FIELDS = {
 }
 
 
+#: What reads the tags that only these fields need.
+READERS = {
+    "title": {"title"}, "a": {"links"}, "img": {"images"}, "picture": {"images"}, "source": {"images"}, "script": {"json_ld"},
+    "link": {"canonical", "alternate", "single_rels", "multi_rels"},
+    "meta": {"meta", "http_equiv", "custom", "tags", "rating", "boost", "page_map"},
+} | {h: {"headings"} for h in HEADINGS}
+
+
 class _Page(HTMLParser):
-    """Collects what the record needs while it reads, in time that grows with the page.
+    """Collects what the wanted fields need while it reads, in time that grows with the page.
 
     Text is kept once, in order; an element that wants its text remembers where
     it began.
     """
 
-    def __init__(self, url: str | None, html: str):
+    def __init__(self, url: str | None, html: str, wanted: frozenset[str] = frozenset(FIELDS)):
         super().__init__(convert_charrefs=True)
         self.url, self.html = url, html
-        self.lines = [0]
-        for m in re.finditer("\n", html):
-            self.lines.append(m.end())
+        self.reads = {tag for tag, fields in READERS.items() if fields & wanted}
+        self.wants_items, self.wants_text = "microdata" in wanted, "full_text" in wanted
+        self.places = frozenset(MAIN_PLACES if wanted & {"main_html", "main_selector"} else ())
+        self.at = 0
         self.meta: dict[str, str] = {}
         self.http_equiv: dict[str, str] = {}
         self.named: list[tuple[str, str]] = []  # (key, content) of meta tags, for custom metadata
@@ -113,9 +122,13 @@ class _Page(HTMLParser):
         self.visible: list[str] = []
         self.hidden = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """The parser tells how far it is in what it has not thrown away; lines are not counted."""
+        self.at = j
+        return j
+
     def _offset(self) -> int:
-        line, column = self.getpos()
-        return self.lines[min(line, len(self.lines)) - 1] + column
+        return len(self.html) - len(self.rawdata) + self.at
 
     def _text(self, start: int) -> str:
         return "".join(self.chunks[start:])
@@ -133,25 +146,24 @@ class _Page(HTMLParser):
         if self.body_from is None and (tag == "body" or tag not in HEAD_TAGS):
             self.body_from = len(self.chunks)
         ends: list = []
-        if a.get("itemprop"):
+        if self.wants_items and a.get("itemprop"):
             self._property(tag, a, ends)
-        if handler := getattr(self, f"_on_{tag}", None):
-            handler(a, ends)
-        elif tag in HEADINGS:
+        if tag in self.reads and tag not in HEADINGS:
+            getattr(self, f"_on_{tag}")(a, ends)
+        elif tag in self.reads:
             entry, start = {"level": int(tag[1]), "text": ""}, len(self.chunks)
             self.headings.append(entry)
             ends.append(lambda _: entry.update(text=self._text(start).strip()))
-        for place in MAIN_PLACES:
-            if place not in self.main and _matches(place, tag, a):
-                self.main[place] = (inner, inner)
-                ends.append(lambda at, place=place: self.main.update({place: (inner, at)}))
+        for place in self.places & _names(tag, a) - self.main.keys() if self.places else ():
+            self.main[place] = (inner, inner)
+            ends.append(lambda at, place=place: self.main.update({place: (inner, at)}))
         if tag in BLOCKS:
             self.visible.append(" ")
         if tag in VOID:
             for end in ends:
                 end(inner)
             return
-        scope = "itemscope" in a
+        scope = self.wants_items and "itemscope" in a
         if scope:
             item = {"types": a["itemtype"].split(" ") if "itemtype" in a else [], "found": []}
             self.items.append(item)
@@ -179,12 +191,14 @@ class _Page(HTMLParser):
                 end(at)
             if scope:
                 self.scopes.pop()
-            if name == "picture":
+            if name == "picture" and self.pictures:
                 self.pictures.pop()
             if name == tag:
                 return
 
     def finish(self) -> None:
+        """What is still open ends with the page."""
+        self.at = len(self.rawdata)
         while self.stack:
             self._end(self.stack[-1][0])
 
@@ -192,7 +206,7 @@ class _Page(HTMLParser):
         self.chunks.append(data)
         if self.body_from is None and not self.hidden and data.strip():
             self.body_from = len(self.chunks) - 1
-        if not self.hidden:
+        if self.wants_text and not self.hidden:
             self.visible.append(data)
 
     def _property(self, tag: str, a: dict, ends: list) -> None:
@@ -255,7 +269,7 @@ class _Page(HTMLParser):
     def _json(self, raw: str) -> None:
         try:
             value = json.loads(raw)
-        except ValueError:
+        except (ValueError, RecursionError):  # broken, or nested beyond any use
             return
         if value or isinstance(value, (list, dict)):  # of the values that count as false, empty lists and objects stay
             self.json_ld.append(raw.strip())
@@ -280,12 +294,12 @@ class _Page(HTMLParser):
             sources.append({"srcset": a.get("srcset", ""), "media": a.get("media") or None, "type": a.get("type") or None})
 
 
-def _matches(selector: str, tag: str, a: dict) -> bool:
-    if selector[0] == "#":
-        return a.get("id") == selector[1:]
-    if selector[0] == ".":
-        return selector[1:] in a.get("class", "").split()
-    return a.get("role") == "main" if selector[0] == "[" else tag == selector
+def _names(tag: str, a: dict) -> set[str]:
+    """The simple selectors that an element answers to."""
+    names = {tag, "#" + a["id"]} if "id" in a else {tag}
+    if a.get("role") == "main":
+        names.add('[role="main"]')
+    return names.union("." + c for c in a["class"].split()) if a.get("class") else names
 
 
 def _properties(found: list[list[str]]) -> dict[str, list[str]]:
@@ -305,13 +319,13 @@ def _number(text: str | None) -> float | None:
     return float(found[0]) or None if found else None
 
 
-def extract(html: str | None, url: str | None) -> dict:
-    """The record of one page; a null or empty page has empty fields.
+def extract(html: str | None, url: str | None, wanted: frozenset[str] = frozenset(FIELDS)) -> dict:
+    """The record of one page; a null or empty page has empty fields, as have those not wanted.
 
     HTML of the main content is cut out of the source as it is. Words are those
     of all text in the body, that of scripts included; no text is one word.
     """
-    page = _Page(url, html or "")
+    page = _Page(url, html or "", wanted)
     page.feed(page.html)
     page.close()
     page.finish()
@@ -358,13 +372,17 @@ def extract(html: str | None, url: str | None) -> dict:
 
 
 def page_records(pages: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-    """Records of `pages` (url, html), with the wanted `fields`: each page is parsed once, in Arrow batches, without a shuffle."""
+    """Records of `pages` (url, html), with the wanted `fields`: each page is parsed once, in Arrow batches, without a shuffle.
+
+    Tags that no wanted field needs are passed over.
+    """
+    wanted = frozenset(fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for html, url in zip(batch["html"], batch["url"], strict=True):
-                record = extract(html, url)
+                record = extract(html, url, wanted)
                 rows.append({name: record[name] for name in fields})
             yield pd.DataFrame(rows, columns=list(fields))
 
@@ -375,3 +393,33 @@ def link_rows(records: DataFrame) -> DataFrame:
     """Edges of records: src_url, src_title, pos, href, text, rel."""
     rows = records.select(F.col("url").alias("src_url"), F.col("title").alias("src_title"), F.posexplode("links").alias("pos", "link"))
     return rows.select("src_url", "src_title", "pos", "link.href", "link.text", "link.rel")
+
+
+class _Anchors:
+    """Rows of one page for the table function `anchors(html, url)`: pos, text, href, raw, rel, link_title."""
+
+    def eval(self, page: str | None, url: str | None) -> Iterator[tuple]:
+        for pos, x in enumerate(extract(page, url, frozenset({"links"}))["links"]):
+            yield pos, x["text"], x["href"], x["raw"], x["rel"], x["link_title"]
+
+
+class _Images:
+    """Rows of one page for the table function `images(html)`: pos, src, alt, title, width, height, srcset, loading, class_list."""
+
+    def eval(self, page: str | None) -> Iterator[tuple]:
+        for pos, x in enumerate(extract(page, None, frozenset({"images"}))["images"]):
+            yield pos, x["src"], x["alt"], x["title"], x["width"], x["height"], x["srcset"], x["loading"], x["class_list"]
+
+
+anchors = F.udtf(_Anchors, returnType="pos long, text string, href string, raw string, rel string, link_title string", useArrow=True)
+images = F.udtf(
+    _Images,
+    returnType="pos long, src string, alt string, title string, width string, height string, srcset string, loading string, class_list array<string>",
+    useArrow=True,
+)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table functions known to SQL: `SELECT url, a.* FROM pages, LATERAL anchors(html, url) a`."""
+    spark.udtf.register("anchors", anchors)
+    spark.udtf.register("images", images)

@@ -10,7 +10,7 @@ from sitelume.functions import urls
 from sitelume.operators import crawl as crawling
 from sitelume.operators import groups, html, keywords, robots, sitemaps, state
 
-from .fixtures import CTE, crawl, edges, recrawl, site_pages, table
+from .fixtures import _URL, CTE, crawl, edges, recrawl, site_pages, table
 from .registry import Registry
 from .site_queries import _EVENTS, _KW, _ROBOTS, _diff, _keywords, _status_events, limiter_sql
 from .site_queries import _DIFF as _DIFF_SQL
@@ -153,6 +153,14 @@ def sitemap_documents(spark: SparkSession, d: str) -> DataFrame:
     return files.select("file", F.regexp_count("xml", F.lit("<url>")).alias("urls"), F.col("xml").startswith("<?xml").alias("has_head"))
 
 
+@R.query("sitemap_documents_read", f"WITH site AS (SELECT {_URL} AS url FROM pages) SELECT DISTINCT replace(url, '&', '&amp;') AS url, '2024-03-01' AS lastmod FROM site")
+def sitemap_documents_read(spark: SparkSession, d: str) -> DataFrame:
+    """What the written sitemap files say when they are read again; addresses stay escaped."""
+    files = sitemaps.sitemap_files(site_pages(spark, d), "2024-03-01", most=100)
+    told = files.select(F.format_string("https://s.example/map-%d.xml", "file").alias("sitemap_url"), "xml")
+    return sitemaps.entries(told).select("url", "lastmod")
+
+
 # --- limits and jobs -------------------------------------------------------------
 
 _STATUS = """lim AS (SELECT r.i, r.m, r.h, now, count(*) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS n, min(ms) FILTER (ms >= now - r.h * 3600000 AND ms <= now) AS o

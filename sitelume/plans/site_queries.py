@@ -151,7 +151,12 @@ def html_sitemap_links(spark: SparkSession, d: str) -> DataFrame:
     return told.where("startswith(href, '/') AND NOT contains(href, 'sitemap')").select(F.concat("site", "href").alias("url")).distinct()
 
 
-@R.query("html_sitemap_urls")
+@R.query(
+    "html_sitemap_urls",
+    """SELECT DISTINCT url FROM (SELECT regexp_extract(page, '^(https?://[^/?#]*)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url, page
+  FROM (SELECT url AS page, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages))
+WHERE url <> page AND NOT contains(url, 'sitemap')""",
+)
 def html_sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return sitemaps.html_links(table(spark, d, "pages").select("url", "html"))
 

@@ -19,7 +19,24 @@ from .site_queries import _EVENTS, _LIMITER, _STREAKS
 R = Registry()
 
 
-@R.query("full_page_record")
+# text as the test pages have it: no script in the body, four entities, tags of blocks part words
+_TEXT = r"""regexp_replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+_BLOCK = r"'</?(p|div|li|br|tr|section|article|ul|ol|table|h[1-6])(\s[^>]*)?>'"
+_LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@R.query(
+    "full_page_record",
+    rf"""SELECT url, title, words, ceil(words / 200.0)::BIGINT || ' min' AS reading_time, headings, links, images, no_snippet,
+  CASE WHEN length(trim(article)) > 100 THEN 'article' ELSE 'body' END AS main_selector, CAST(length(visible) AS INT) AS text_length
+FROM (SELECT url, {_LINE.format(_TEXT.format("title"))} AS title, article,
+    CAST(len(string_split({_LINE.format(_TEXT.format("body"))}, ' ')) AS BIGINT) AS words,
+    {_LINE.format(_TEXT.format(f"regexp_replace(body, {_BLOCK}, ' ', 'g')"))} AS visible,
+    CAST(len(regexp_extract_all(body, '<h[1-6][ >]')) AS INT) AS headings, CAST(len(regexp_extract_all(body, '<a [^>]*href')) AS INT) AS links,
+    CAST(len(regexp_extract_all(body, '<img')) AS INT) AS images, contains(body, 'data-nosnippet') AS no_snippet
+  FROM (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article,
+      regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g') AS body FROM pages))""",
+)
 def full_page_record(spark: SparkSession, d: str) -> DataFrame:
     wanted = ("url", "title", "words", "reading_time", "headings", "links", "images", "no_snippet", "main_selector", "full_text")
     records = html.page_records(table(spark, d, "pages"), wanted)
@@ -40,6 +57,18 @@ def parsed_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("src_url", F.col("pos").cast("bigint").alias("pos"), F.col("link.raw").alias("raw"))
 
 
+@R.query(
+    "lateral_anchors",
+    rf"""SELECT src_url, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS raw, {_LINE.format(_TEXT.format("a"))} AS text
+FROM (SELECT url AS src_url, unnest(range(len(a))) AS pos, unnest(a) AS a
+  FROM (SELECT url, regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>') AS a FROM pages))""",
+)
+def lateral_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors by the table function that `html.register` makes known to SQL."""
+    found = html.anchors(F.col("html").outer(), F.col("url").outer())
+    return table(spark, d, "pages").lateralJoin(found).select(F.col("url").alias("src_url"), "pos", "raw", "text")
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     return (
