@@ -26,14 +26,15 @@ def targets(*kinds: tuple[str, DataFrame]) -> DataFrame:
     )
 
 
-def resolve_attempts(attempts: DataFrame) -> DataFrame:
+def resolve_attempts(attempts: DataFrame, probe: tuple[str, ...] = ()) -> DataFrame:
     """One result for each URL from attempts (url, method, status, error).
 
-    GET counts where HEAD failed or was refused (no status, 403, 405, 501),
+    A URL that is probed several times has a result for each probe, where the
+    columns `probe` tell whose an attempt is. GET counts where HEAD failed or was refused (no status, 403, 405, 501),
     unless GET itself had a network error.
     """
     one = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
-    told = attempts.groupBy("url").agg(
+    told = attempts.groupBy("url", *probe).agg(
         one("HEAD", "status").alias("head"), one("GET", "status").alias("get"),
         one("HEAD", "error").alias("head_error"), one("GET", "error").alias("get_error"),
     )

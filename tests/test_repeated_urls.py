@@ -34,6 +34,10 @@ NAMES = [
     "html_issue_counts",
     "roadmap_tasks",
     "executive_summary",
+    "broken_targets",
+    "broken_summary",
+    "probe_status_distribution",
+    "reverified_probes",
 ]
 
 
