@@ -7,6 +7,7 @@ import random
 import re
 from html import escape
 
+import pandas as pd
 import pytest
 
 from sitelume.operators import html
@@ -234,3 +235,22 @@ def test_table_functions(spark):
     assert [tuple(r) for r in found] == [(1, 0, "K k", "https://e.com/k", "/k", "r", ""), (1, 1, "x", "https://e.com/d#", "#", "", "")]
     found = spark.sql("SELECT id, i.src, i.class_list FROM some_pages, LATERAL images(html) i ORDER BY id").collect()
     assert [tuple(r) for r in found] == [(1, "i.png", ["c", "d"])]
+
+
+def test_records_are_handed_on_by_parts():
+    """A task holds the records of a few MB of HTML, however many rows a batch has."""
+
+    class Pages:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    sizes = [0, 10, html.PART_CHARS + 1, 5, html.PART_CHARS // 2, html.PART_CHARS // 2, 7, 0]
+    pages = ["<title>t</title>" + "x" * n for n in sizes] + [None]
+    batch = pd.DataFrame({"url": [str(n) for n in range(len(pages))], "html": pages})
+    parts = list(html.page_records(Pages(), ("url", "words"))(iter([batch])))
+    assert [u for part in parts for u in part["url"]] == list(batch["url"])
+    assert len(parts) >= 3
+    assert all(sum(len(pages[int(u)] or "") for u in part["url"][1:]) <= html.PART_CHARS for part in parts)
