@@ -30,10 +30,11 @@ class SeenState(KeyState):
     def open(self, handle) -> None:
         self.seen = handle.getValueState("seen", "n long")
 
-    def read(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+    def read(self, key: tuple, parts: Iterator[list[tuple]]) -> Iterator[Row]:
         before = (self.seen.get() or (0,))[0]
-        self.seen.update((before + len(rows),))
-        yield Row(**dict(zip(self.names, key, strict=True)), crawl_count=before + len(rows), is_first=before == 0)
+        now = before + sum(map(len, parts))
+        self.seen.update((now,))
+        yield Row(**dict(zip(self.names, key, strict=True)), crawl_count=now, is_first=before == 0)
 
     def forget(self) -> None:
         self.seen.clear()

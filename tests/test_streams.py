@@ -9,6 +9,7 @@ from datetime import timedelta
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_state import BEGIN, events
 
@@ -130,3 +131,34 @@ def test_seen_counts_end_at_the_counts(spark, tmp_path):
         got = stream.run_once(seen, "append", f"file://{tmp_path}/run").collect()
     assert {u: max(r.crawl_count for r in got if r.url == u) for u in {r.url for r in got}} == dict(Counter(r[0] for r in rows))
     assert Counter(r.url for r in got if r.is_first) == dict.fromkeys({r[0] for r in rows}, 1)
+
+
+def test_rows_of_a_key_are_held_as_numbers():
+    """All rows that come of a key are held until its last one is read: they are few, of arrays."""
+
+    class Value:
+        def get(self):
+            return None
+
+        def update(self, value):
+            pass
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getMapState(self, name, key, value):
+            return type("Map", (), {"updateValue": lambda *a: None, "removeKey": lambda *a: None})()
+
+        def registerTimer(self, at):
+            pass
+
+    n = 25_000
+    state = stream.LimiterState(["key"], lambda _: (1, 10), 10)
+    state.init(Handle())
+    rows = (Row(key="a", ms=ms, seq=None if ms == 5 else ms) for ms in reversed(range(n)))
+    told = list(state.handleInputRows(("a",), rows, type("Times", (), {"getCurrentWatermarkInMs": lambda self: 0})()))
+    assert len(told) <= -(-n // stream.PART_ROWS)
+    assert [ms for r in told for ms in r.ms] == list(range(n))
+    assert [seq for r in told for seq in r.seq] == [None if ms == 5 else ms for ms in range(n)]
+    assert [free for r in told for free in r.is_admitted] == [ms % 10 == 0 for ms in range(n)]
